@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -193,7 +194,7 @@ class WordBpe:
 
 def _rows(batch: pa.RecordBatch, most_chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded sum of text, so that results stay small as well."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if i > start and total + n > most_chars:
