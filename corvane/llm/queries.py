@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, quality, secrets, sharding, url_filter, wordpiece
+from corvane.llm import bpe, decontaminate, near_dedup, quality, secrets, sharding, url_filter, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -134,3 +134,8 @@ def contamination_digests(found):
     """The columns of the contract from the operator's words, hits and items."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query("op8_near_dedup")
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
