@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, near_dedup, quality, secrets, sharding, url_filter, wordpiece
+from corvane.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, sharding, url_filter, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -139,3 +139,8 @@ def contamination_digests(found):
 @_query("op8_near_dedup")
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_lm_score")
+def op10_lm_score(spark, sf_dir):
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
