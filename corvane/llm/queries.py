@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, sharding, url_filter, wordpiece
+from corvane.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, sharding, substring_dedup, url_filter, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -144,3 +144,9 @@ def op8_near_dedup(spark, sf_dir):
 @_query("op10_lm_score")
 def op10_lm_score(spark, sf_dir):
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
