@@ -1,3 +1,93 @@
-"""The corpus pipeline: stages applied one after another to the documents."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
 
-STAGES = []
+Quality rules drop what they reject, near-dedup leaves one document of each group, decontamination
+drops documents with benchmark windows, secrets are replaced by a mark, and the rest is encoded.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import decontaminate, digests, near_dedup, quality, secrets
+from corvane.llm.shared import cut
+
+#: Ids of dropped documents that are broadcast at most; beyond, they are joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
+SECRET_MARK = "[SECRET]"
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less those whose doc_id is in dropped."""
+    ids = cut(dropped.select("doc_id").where("doc_id is not null").distinct())
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    named = docs.select(*[F.col(c).alias(f"doc_{c}") for c in docs.columns])
+    judged = quality.quality_filter(named, labels, id_col="doc_doc_id", text_col="doc_text", stratum_col="doc_lang", reread=True, keep=named.columns)
+    return judged.where("kept").select(*[F.col(f"doc_{c}").alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the lowest id of each group; of repeated rows one stays."""
+    found = cut(near_dedup.near_duplicates(docs))
+    left = _without(docs, found.where("not kept"))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.find_contamination(docs, items).where("n_hit > 0"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each found secret replaced by the mark; n_chars follows the new text."""
+    others = [c for c in docs.columns if c != "text"]
+    marked = secrets.scan_secrets(docs, keep=others, mark=SECRET_MARK)
+    changed = F.size("secrets") > 0
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    return digests.bpe_digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret scan", secret_scan),
+    ("bpe encoding", bpe_encoding),
+]
+
+#: SQL cannot express MinHash groups or BPE; tests compare run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows by way of a Parquet table in the shared folder that the cluster names."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
+    path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = _stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

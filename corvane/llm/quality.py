@@ -106,6 +106,7 @@ def quality_filter(
     false_rejection: float = 0.02,
     error: float = 0.05,
     max_strata: int = 100_000,
+    reread: bool = False,
 ) -> DataFrame:
     """Add the counts, base_failed and kept to each document; rows are never dropped.
 
@@ -113,15 +114,17 @@ def quality_filter(
     not base_failed, and no signal above its stratum's proven cutoff. labels (id, quality): a
     document is a good one if all its labels say 1; null labels and unknown ids do not count. A
     null stratum is a stratum. Repeated rows are judged alike; input columns with the names of new
-    ones are replaced. The texts are read once; counts go through a checkpoint. The cutoffs, a
-    row a stratum, are broadcast up to max_strata.
+    ones are replaced. The texts are read once and the kept columns and counts go through a
+    checkpoint; with reread they are counted twice instead, for when texts are to be kept. The
+    cutoffs, a row a stratum, are broadcast up to max_strata.
     """
     new = [*COUNTS, "base_failed", "kept"]
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in new and not c.startswith("_")]
     source = docs.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(kept)], col(id_col).alias("_id"), F.coalesce(col(stratum_col), F.lit("")).alias("_stratum"), col(text_col).alias("_text"))
     counts = text_counts(source, "_text").drop("_text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = cut(counts.withColumn("base_failed", failed))
+    counts = counts.withColumn("base_failed", failed)
+    counts = counts if reread else cut(counts)
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good")).where("_good = 1")
     labelled = counts.where("not base_failed").join(good, counts["_id"] == good["doc_id"], "left_semi")
     cutoffs = cut(proven_cutoffs(labelled, false_rejection, error))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, lm_score, near_dedup, quality, secrets, sharding, substring_dedup, url_filter, wordpiece
+from corvane.llm import decontaminate, digests, lm_score, near_dedup, quality, sharding, substring_dedup, url_filter, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,20 +23,9 @@ def _query(name, oracle=None):
     return add
 
 
-def bpe_digests(docs):
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    coded = bpe.bpe_encode(docs, keep=["doc_id"])
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
-
-
 @_query("op1_bpe")
 def op1_bpe(spark, sf_dir):
-    return bpe_digests(_table(spark, sf_dir, "documents"))
+    return digests.bpe_digests(_table(spark, sf_dir, "documents"))
 
 
 @_query("op3_token_counts")
@@ -88,17 +77,9 @@ def op9_quality(spark, sf_dir):
     return quality.quality_filter(docs, labels, keep=["doc_id"])
 
 
-def secret_digests(docs):
-    """Counts, the base digest and all spans of each document."""
-    found = secrets.scan_secrets(docs, keep=["doc_id"])
-    base = F.filter("secrets", lambda s: s["kind"].isin(secrets.BASE_KINDS))
-    counts = [F.expr(f"cast(size(filter(secrets, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
-
-
 @_query("op6_secrets")
 def op6_secrets(spark, sf_dir):
-    return secret_digests(_table(spark, sf_dir, "documents"))
+    return digests.secret_digests(_table(spark, sf_dir, "documents"))
 
 
 @_query("op7_sharding")
@@ -127,13 +108,7 @@ def op7_sharding(spark, sf_dir):
 )
 def op2_decontamination(spark, sf_dir):
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return contamination_digests(decontaminate.find_contamination(docs, items))
-
-
-def contamination_digests(found):
-    """The columns of the contract from the operator's words, hits and items."""
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return digests.contamination_digests(decontaminate.find_contamination(docs, items))
 
 
 @_query("op8_near_dedup")
