@@ -6,14 +6,11 @@ drops documents with benchmark windows, secrets are replaced by a mark, and the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, digests, near_dedup, quality, secrets
-from corvane.llm.shared import cut
+from corvane.llm.shared import cut, stored
 
 #: Ids of dropped documents that are broadcast at most; beyond, they are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
@@ -76,18 +73,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows by way of a Parquet table in the shared folder that the cluster names."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
-    path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = _stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import shingles as S
-from corvane.llm.shared import col, cut
+from corvane.llm.shared import col, cut, stored
 
 GRAM, LONGEST_RUN = 40, 1024
 #: Distinct stretches of a shard, and of one least hash that still goes to a shard.
@@ -96,34 +96,52 @@ def _least_hashes(source: DataFrame, length: int) -> DataFrame:
     return source.select("_text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least")
 
 
-def _filter_bits(repeated: DataFrame, bits: int) -> np.ndarray:
+def _filter_bits(hashes: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the hashes' highest bits; its size does not follow the data."""
-    shift = 64 - bits
+    block = min(1 << 13, (1 << bits) // 8)
 
     def run(batches):
-        marks = np.zeros(1 << bits, bool)
-        for batch in batches:
-            marks[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)] = True
-        packed = np.packbits(marks).reshape(-1, min(1 << 13, max(1, (1 << bits) // 8)))
-        at = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([packed[i].tobytes() for i in at], pa.binary())], names=["block", "bits"])
+        values = [b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits) for b in batches]
+        slot = np.unique(np.concatenate(values)) if values else np.zeros(0, np.uint64)
+        mask = (np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
+        at = (slot >> np.uint64(3)).astype(np.int64)
+        for a, b in zip(*_runs(at // block), strict=True):
+            out = np.zeros(block, np.uint8)
+            np.bitwise_or.at(out, at[a:b] % block, mask[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([at[a] // block]), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
 
     def join(key, table):
         merged = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
         return pa.table({"block": [key[0].as_py()], "bits": pa.array([merged.tobytes()], pa.binary())})
 
     schema = "block long, bits binary"
-    rows = repeated.repartition(8).mapInArrow(run, schema).groupBy("block").applyInArrow(lambda k, t: join(k, t), schema).collect()  # at most the bitmap
-    out = np.zeros(((1 << bits) // 8) // min(1 << 13, max(1, (1 << bits) // 8)) * min(1 << 13, max(1, (1 << bits) // 8)), np.uint8)
-    size = min(1 << 13, max(1, (1 << bits) // 8))
-    for r in rows:
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    rows = hashes.mapInArrow(run, schema).groupBy("block").applyInArrow(lambda k, t: join(k, t), schema)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():  # at most the bitmap
+        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _repeated_stretches(source: DataFrame, marks, bits: int, length: int, with_bytes: bool) -> DataFrame:
-    """Stretches that pass the filter: sid (identity), where they are, or their bytes."""
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return first, np.r_[first[1:], len(x)] if len(x) else first
+
+
+def _bits_for(n: int) -> int:
+    return max(16, min(MOST_BITS.bit_length() - 1, int(n * 64).bit_length()))
+
+
+COUNTED = "sid binary, least long, windows long"
+PLACED = "sid binary, doc_id long, text_hash long, at long"
+WITH_BYTES = "sid binary, least long, part binary"
+
+
+def _repeated_stretches(source: DataFrame, hashes: DataFrame, bits: int, length: int, what: str) -> DataFrame:
+    """Stretches whose least hash passes a filter of hashes: COUNTED, PLACED or WITH_BYTES."""
+    marks = source.sparkSession.sparkContext.broadcast(_filter_bits(hashes, bits))
     shift = np.uint64(64 - bits)
+    names = [x.split()[0] for x in what.split(", ")]
 
     def run(batches):
         known = marks.value
@@ -136,17 +154,15 @@ def _repeated_stretches(source: DataFrame, marks, bits: int, length: int, with_b
                 first, n, least = first[hit], n[hit], least[hit]
                 raw = data.tobytes()
                 parts = [raw[a : a + k + length - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-                sid = pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary())
-                least = pa.array(least.view(np.int64))
-                if with_bytes:
-                    yield pa.RecordBatch.from_arrays([sid, least, pa.array(parts, pa.binary())], names=["sid", "least", "part"])
-                else:
+                columns = {"sid": pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary()), "least": pa.array(least.view(np.int64)), "windows": pa.array(n)}
+                if what == WITH_BYTES:
+                    columns["part"] = pa.array(parts, pa.binary())
+                if what == PLACED:
                     row = np.searchsorted(ends, first, "right") - 1
-                    row_ids = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([sid, batch.column(0).take(row_ids), batch.column(1).take(row_ids), pa.array(first - ends[row])], names=["sid", "doc_id", "text_hash", "at"])
+                    columns |= {"doc_id": batch.column(0).take(pa.array(row)), "text_hash": batch.column(1).take(pa.array(row)), "at": pa.array(first - ends[row])}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    schema = "sid binary, least long, part binary" if with_bytes else "sid binary, doc_id long, text_hash long, at long"
-    return source.select("doc_id", "text_hash", "_text").mapInArrow(run, schema)
+    return source.select("doc_id", "text_hash", "_text").mapInArrow(run, what)
 
 
 def _windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,24 +218,29 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_hash, first, stop): bytes of each text within repeated strings."""
     repeated = cut(_least_hashes(source, length))
     n = repeated.count()
-    bits = max(16, min(MOST_BITS.bit_length() - 1, int(n * 16).bit_length()))
     rounds = max(1, -(-n * 8 // MOST_BITS))
     out = None
     for turn in range(rounds):
         mine = repeated if rounds == 1 else repeated.where(F.pmod(F.xxhash64("least"), F.lit(rounds)) == turn)
-        marks = source.sparkSession.sparkContext.broadcast(_filter_bits(mine, bits))
-        parts = _repeated_stretches(source, marks, bits, length, True)
-        segments = cut(parts.groupBy("sid", "least").agg(F.count(F.lit(1)).alias("weight"), F.first("part").alias("part")))
-        kinds = segments.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"))
-        hot = cut(kinds.where(F.col("kinds") > HOT).select("least"))  # their number is bounded by rows / HOT
-        cold = segments.join(hot, "least", "left_anti")
+        bits = _bits_for(-(-n // rounds))
+        counted = _repeated_stretches(source, mine, bits, length, COUNTED)
+        kinds = cut(counted.groupBy("sid", "least", "windows").agg(F.count(F.lit(1)).alias("weight")).join(mine, "least", "left_semi"))
+        # A stretch that is the only kind with its least hash is repeated whole, or not at all;
+        # one that occurs once may repeat itself.
+        by_least = cut(kinds.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("weight")))
+        several = by_least.where("kinds > 1 or weight = 1").select("least")
+        whole = kinds.join(by_least.where("kinds = 1 and weight > 1").select("least"), "least", "left_semi").select("sid", F.lit(0).cast("long").alias("first"), F.col("windows").alias("stop"))
+        parts = _repeated_stretches(source, several, _bits_for(several.count()), length, WITH_BYTES).join(several, "least", "left_semi")
+        weights = kinds.select("sid", "weight")
+        hot = cut(by_least.where(F.col("kinds") > HOT).select("least"))  # their number is bounded by rows / HOT
+        segments = stored(parts.groupBy("sid").agg(F.first("least").alias("least"), F.first("part").alias("part")).join(weights, "sid"))
         shards = max(1, -(-segments.count() // SHARD_ROWS))
-        sorted_spans = cold.select("sid", "weight", "part", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(lambda t: _sort_shard(t, length), "sid binary, first long, stop long")
-        spans = sorted_spans
+        cold = segments.join(hot, "least", "left_anti").select("sid", "weight", "part", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard"))
+        spans = whole.unionByName(cold.groupBy("shard").applyInArrow(lambda t: _sort_shard(t, length), "sid binary, first long, stop long"))
         if not hot.isEmpty():
             spans = spans.unionByName(_hot_spans(segments.join(hot, "least", "left_semi"), length))
         by_sid = spans.groupBy("sid").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))  # a stretch has at most LONGEST_RUN windows
-        places = _repeated_stretches(source, marks, bits, length, False)
+        places = _repeated_stretches(source, mine, bits, length, PLACED)
         found = places.join(by_sid, "sid").select("doc_id", "text_hash", "at", F.explode("spans").alias("s"))
         found = found.select("doc_id", "text_hash", (F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.stop") + length - 1).alias("stop"))
         out = found if out is None else out.unionByName(found)
