@@ -1 +1,3 @@
+"""Named queries over the library's operators."""
 
+from corvane.plans import q_columns, q_joins, q_reports  # noqa: F401
