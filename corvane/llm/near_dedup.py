@@ -19,7 +19,7 @@ from corvane.llm import shingles as S
 from corvane.llm.shared import col, cut
 
 BANDS, ROWS = 14, 2
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 _seeds = np.random.default_rng(77).integers(1, 1 << 63, (2, 2 * BANDS * ROWS), dtype=np.uint64)
 
 
@@ -77,8 +77,10 @@ def buckets(nodes: DataFrame) -> DataFrame:
     cells = left.select("node", "n", "a", "b", "i", F.explode("at_b").alias("j"))
     key = F.xxhash64("i", "j", F.get("a", F.col("i")), F.get("b", F.col("j")))
     rows = cut(cells.select(key.alias("key"), "node", "n"))
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return cut(rows.join(full, "key"))
+    # Tables often have the same bucket again: of buckets with the same members one is enough.
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mix2")).where("c > 1")
+    once = full.groupBy("c", "mix", "mix2").agg(F.min("key").alias("key")).select("key")
+    return cut(rows.join(once, "key"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -88,8 +90,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label"))
+    labels = cut(labels)
     while True:
-        labels = cut(labels)
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["x"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -108,7 +110,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * common >= percent * (F.size("sx") + F.size("sy") - common)).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (lowest id reachable) and kept.
 
     Texts are linked whose sets of distinct word shingles have 100 * common >= percent * union;
@@ -129,27 +131,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     members = cut(members.join(degree, "node"))
-    labels = cut(members.select("node").distinct().withColumn("label", F.col("node")))
+    labels = members.select("node").distinct().withColumn("label", F.col("node"))
     tested = None
     for turn in range(STAR_ROUNDS + 1):
         labelled = members.join(labels, "node")
         rank = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by(F.struct("node", "n", "label"), rank).alias("centre")).where("l0 <> l1").select("key", "centre")
+        unsettled = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by(F.struct("node", "n", "label"), rank).alias("centre")).where("l0 <> l1").select("key", "centre")
+        rows = cut(labelled.join(unsettled, "key"))
+        if rows.isEmpty():
+            break
+        members = rows.select("key", "node", "n", "degree")
         if turn < STAR_ROUNDS:
-            raw = labelled.join(open_keys, "key").select("node", "n", "label", F.col("centre.node").alias("other"), F.col("centre.n").alias("m"), F.col("centre.label").alias("other_label"))
+            raw = rows.select("node", "n", "label", F.col("centre.node").alias("other"), F.col("centre.n").alias("m"), F.col("centre.label").alias("other_label"))
         else:
-            left = labelled.join(open_keys.select("key"), "key")
-            right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-            raw = left.join(right, "key")
+            right = rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
+            raw = rows.join(right, "key")
         near = (F.col("label") != F.col("other_label")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = raw.where(near).select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty():
-            if turn == STAR_ROUNDS or open_keys.isEmpty():
-                break
-            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _confirm(pairs, sets, percent)
         of = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
