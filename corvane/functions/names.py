@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 #: Extensions that are cut off, longest first, and words that name a condition.
@@ -28,7 +29,7 @@ def name_key(path: Column) -> Column:
     return F.trim(F.regexp_replace(stem(path), r"[\s_]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility folding, for which Spark has no function."""
     return text.str.normalize("NFKC")
