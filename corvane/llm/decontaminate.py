@@ -18,7 +18,7 @@ from corvane.llm.shared import ascii_lower, col, cut
 #: Runs of what separates words (after lower-casing).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Key of the one row that each document sends along besides its matches.
-_PRESENT = F.lit(0x5EED).cast("long")
+_PRESENT = 0x5EED
 
 
 def words_of(text: Column) -> Column:
@@ -69,12 +69,12 @@ def find_contamination(
         keyed = windows.select("window", "words", "size", "items", F.lit(0).alias("offset"), F.lit(0).cast("long").alias("h"))
     small = keyed.count() <= max_broadcast_rows
     light = F.broadcast if small else (lambda df: df)
-    wanted = light(keyed.select("h").distinct().unionByName(spark.range(1).select(_PRESENT.alias("h"))))
+    wanted = light(keyed.select("h").distinct().unionByName(spark.range(1).select(F.lit(_PRESENT).cast("long").alias("h"))))
 
     source = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("_text"))
     worded = source.select("doc_id", F.xxhash64("_text").alias("_text_hash"), words_of(F.col("_text")).alias("_w"))
     worded = worded.withColumn("n_words", F.size("_w").cast("long"))
-    hashes = F.concat(*[_shingles("_w", s) for s in sizes], F.array(_PRESENT))
+    hashes = F.concat(*[_shingles("_w", s) for s in sizes], F.array(F.lit(_PRESENT).cast("long")))
     places = worded.select("doc_id", "_text_hash", "n_words", "_w", F.posexplode(hashes).alias("_p", "h"))
     matched = places.join(wanted, "h")
     at = F.when(F.col("n_words") > 0, F.col("_p") % F.col("n_words")).otherwise(0).cast("int")
