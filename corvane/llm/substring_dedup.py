@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from corvane.llm import shingles as S
 from corvane.llm.shared import col, cut, stored
 
-GRAM, LONGEST_RUN = 40, 1024
+LONGEST_RUN = 1024
 #: Distinct stretches of a shard, and of one least hash that still goes to a shard.
 SHARD_ROWS, HOT = 20_000, 5_000
 #: Bits of the broadcast filter of repeated least hashes; more repeats are handled in more rounds.
@@ -32,6 +32,11 @@ def _rolling(sums: np.ndarray, n: int, length: int) -> np.ndarray:
     return S.mix((sums[length:] - sums[: n - length + 1]) * S.powers(S._INVERSE, n)[: n - length + 1])
 
 
+def _gram(length: int) -> int:
+    """Inner strings: long enough to be rarely alike by chance, short enough for long stretches."""
+    return max(8, 2 * length // 5)
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(S._BYTE[data] * S.powers(S._BASE, len(data)), out=sums[1:])
@@ -62,7 +67,8 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     at = _inside(ends, n, length)
     if not len(at):
         return at, at, np.zeros(0, np.uint64)
-    least = _sliding_min(_rolling(_sums(data), n, GRAM), length - GRAM + 1)[at]
+    gram = _gram(length)
+    least = _sliding_min(_rolling(_sums(data), n, gram), length - gram + 1)[at]
     new = np.r_[True, (least[1:] != least[:-1]) | (np.diff(at) > 1)]
     began = np.flatnonzero(new)
     run = np.arange(len(at)) - np.repeat(began, np.diff(np.r_[began, len(at)]))
@@ -75,11 +81,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 
     A place does so if, among the windows around it, the greatest of the least hashes is its own.
     """
-    n, w = len(data), length - GRAM + 1
+    n, gram = len(data), _gram(length)
+    w = length - gram + 1
     at = _inside(ends, n, length)
     if not len(at):
         return np.zeros(0, np.uint64)
-    grams = _rolling(_sums(data), n, GRAM)
+    grams = _rolling(_sums(data), n, gram)
     least = np.zeros(len(grams) + w - 1, np.uint64)
     least[at + w - 1] = _sliding_min(grams, w)[at]
     return grams[~_sliding_min(~least, w) == grams]
