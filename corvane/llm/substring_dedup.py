@@ -1,8 +1,8 @@
 """Removal of byte strings that occur more than once.
 
 Every window of `length` bytes belongs to the stretch of windows around it that share the least
-hash of their inner `GRAM`-byte strings; equal windows have equal least hashes, wherever they
-stand. Only stretches whose least hash occurs in two places are looked at further: equal
+hash of their inner strings, two fifths as long; equal windows have equal least hashes, wherever
+they stand. Only stretches whose least hash occurs in two places are looked at further: equal
 stretches become one with a weight, the distinct ones are dealt to shards by their least hash,
 and each shard sorts its windows and sums up the weights of equal ones. Very frequent least
 hashes are not put into one shard; their windows are summed up by a plain grouped aggregation.
