@@ -19,7 +19,8 @@ from corvane.llm import shingles as S
 from corvane.llm.shared import col, cut
 
 BANDS, ROWS = 14, 2
-STAR_ROUNDS = 3
+#: Rounds with centres at most, and pairs per bucket row from which on all of them are compared.
+STAR_ROUNDS, PAIRS_PER_ROW = 6, 8
 _seeds = np.random.default_rng(77).integers(1, 1 << 63, (2, 2 * BANDS * ROWS), dtype=np.uint64)
 
 
@@ -133,19 +134,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(members.join(degree, "node"))
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
     tested = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 1):  # it ends with the turn that compares all
         labelled = members.join(labels, "node")
-        rank = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        rank = F.struct("degree", "node") if turn == 0 else F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")
         unsettled = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by(F.struct("node", "n", "label"), rank).alias("centre")).where("l0 <> l1").select("key", "centre")
         rows = cut(labelled.join(unsettled, "key"))
         if rows.isEmpty():
             break
         members = rows.select("key", "node", "n", "degree")
-        if turn < STAR_ROUNDS:
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        n_rows, n_pairs = sizes.agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
+        last = turn == STAR_ROUNDS or (turn > 0 and n_pairs <= PAIRS_PER_ROW * n_rows)
+        if not last:
             raw = rows.select("node", "n", "label", F.col("centre.node").alias("other"), F.col("centre.n").alias("m"), F.col("centre.label").alias("other_label"))
-        else:
-            right = rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-            raw = rows.join(right, "key")
+        else:  # a pair comes from the first bucket that both are in
+            keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            left = rows.select("key", "node", "n", "label").join(keys, "node")
+            right = left.select(F.col("key").alias("other_key"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"))
+            alike = (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+            first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+            raw = left.join(right, (F.col("key") == F.col("other_key")) & alike & first)
         near = (F.col("label") != F.col("other_label")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = raw.where(near).select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         if tested is not None:
@@ -156,9 +164,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
         joined = cut(links.join(of[0], "x").join(of[1], "y").select("lx", "ly").distinct())
         if joined.isEmpty():
+            if last:
+                break
             continue
         merged = components(joined, "lx", "ly").select(F.col("node").alias("label"), F.col("label").alias("into"))
         labels = cut(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")))
+        if last:
+            break
 
     placed = nodes.select("node", "lowest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = placed.groupBy("label").agg(F.min("lowest").alias("component_id"))
