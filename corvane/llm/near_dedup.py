@@ -20,7 +20,7 @@ from corvane.llm.shared import col, cut
 
 BANDS, ROWS = 14, 2
 #: Rounds with centres at most, and pairs per bucket row from which on all of them are compared.
-STAR_ROUNDS, PAIRS_PER_ROW = 6, 8
+STAR_ROUNDS, PAIRS_PER_ROW = 3, 8
 _seeds = np.random.default_rng(77).integers(1, 1 << 63, (2, 2 * BANDS * ROWS), dtype=np.uint64)
 
 
