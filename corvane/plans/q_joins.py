@@ -131,7 +131,7 @@ def runs_using_set(spark, sf_dir):
     users = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("run")).distinct()
     ids = F.to_json(F.array(F.col("run") % 25, (F.col("run") + 7) % 25))
     runs = users.withColumn("set_ids", F.from_json(ids, "array<int>"))
-    names = runs.select("run", F.posexplode("set_ids").alias("p", "set_id")).join(F.broadcast(B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("set_id"), "n_name").limit(1000)), "set_id")
+    names = runs.select("run", F.posexplode("set_ids").alias("p", "set_id")).join(B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("set_id"), "n_name"), "set_id")
     out = names.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p", "n_name")))["n_name"], ", ").alias("names"), F.bool_or(F.col("set_id") == 3).alias("uses_set_3"))
     return out
 
