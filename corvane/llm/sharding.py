@@ -28,8 +28,11 @@ def _part_of(first: np.ndarray, second: np.ndarray, bounds_first: np.ndarray, bo
     """How many boundaries are at or below each (first, second)."""
     low = np.searchsorted(bounds_first, first, "left")
     high = np.searchsorted(bounds_first, first, "right")
-    for i in np.flatnonzero(high > low) if len(first) else []:
-        low[i] += np.searchsorted(bounds_second[low[i] : high[i]], second[i], "right")
+    tied = np.flatnonzero(high > low)
+    for value in np.unique(first[tied]):  # at most one a boundary
+        rows = tied[first[tied] == value]
+        a, b = low[rows[0]], high[rows[0]]
+        low[rows] = a + np.searchsorted(bounds_second[a:b], second[rows], "right")
     return low
 
 
