@@ -62,6 +62,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words above a count that at most FREQUENT words reach.
+
+    The count is read off a histogram of the counts' logarithms, so no task or driver sorts words.
+    """
+    bin_ = F.floor(F.log2("c") * 16).cast("int").alias("bin")
+    bins = counts.groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()  # 16 a doubling
+    least, held = None, 0
+    for b in sorted(bins, key=lambda b: -b["bin"]):
+        held += b["n"]
+        if held > FREQUENT:
+            break
+        least = b["least"]
+    return counts.where(F.col("c") >= least) if least is not None else counts.limit(0)
+
+
 class _Lookup:
     """Positions of hashes in a list; -1 where absent."""
 
@@ -202,7 +218,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
     counts = cut(word_counts(source.where("not held_out")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()  # bounded by FREQUENT
+    top = sorted(_frequent(counts).collect(), key=lambda r: (-r["c"], r["h"]))  # bounded by FREQUENT
     hashes, c = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.float64)
     encoded = cut(_encode(source, spark.sparkContext.broadcast((hashes, c))))
 

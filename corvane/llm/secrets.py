@@ -120,7 +120,7 @@ def is_signed_token(text: str) -> bool:
     head, body, signature = text.split(".")
     try:
         header, claims = (json.loads(decode_base64(x) or b"") for x in (head, body))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict) and (bool(signature) or header["alg"] == "none")
 
