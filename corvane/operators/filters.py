@@ -26,8 +26,8 @@ def feature_usability(df: DataFrame, group: str, features: list[str], least: int
     """For each group and feature: usable, or the reason why not."""
     stats = df.groupBy(group).agg(*[F.struct(F.count(c).alias("n"), (F.min(c) < F.max(c)).alias("varies")).alias(c) for c in features])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in features]))
-    reason = F.when(F.col("f.s.n") < least, "too few values").when(~F.coalesce(F.col("f.s.varies"), F.lit(False)), "constant").otherwise("usable")
-    return stats.select(group, rows.alias("f")).select(group, F.col("f.feature").alias("feature"), F.col("f.s.n").alias("n"), reason.alias("reason"))
+    reason = F.when(F.col("_f.s.n") < least, "too few values").when(~F.coalesce(F.col("_f.s.varies"), F.lit(False)), "constant").otherwise("usable")
+    return stats.select(group, rows.alias("_f")).select(group, F.col("_f.feature").alias("feature"), F.col("_f.s.n").alias("n"), reason.alias("reason"))
 
 
 def pooled_features(df: DataFrame, features: list[str]) -> list[str]:
