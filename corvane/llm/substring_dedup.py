@@ -25,6 +25,8 @@ LONGEST_RUN = 1024
 SHARD_ROWS, HOT = 20_000, 5_000
 #: Bits of the broadcast filter of repeated least hashes; more repeats are handled in more rounds.
 MOST_BITS = 1 << 29
+#: Stretches that a task remembers to have sent.
+SEEN = 500_000
 
 
 def _rolling(sums: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -151,7 +153,7 @@ def _repeated_stretches(source: DataFrame, hashes: DataFrame, bits: int, length:
     names = [x.split()[0] for x in what.split(", ")]
 
     def run(batches):
-        known = marks.value
+        known, seen = marks.value, set()
         for whole in batches:
             for batch in S.text_slices(whole, 2):
                 data, ends = S.raw_texts(batch.column(2))
@@ -162,8 +164,12 @@ def _repeated_stretches(source: DataFrame, hashes: DataFrame, bits: int, length:
                 raw = data.tobytes()
                 parts = [raw[a : a + k + length - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
                 columns = {"sid": pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary()), "least": pa.array(least.view(np.int64)), "windows": pa.array(n)}
-                if what == WITH_BYTES:
+                if what == WITH_BYTES:  # a stretch's bytes are needed once; a task sends few of its repeats
                     columns["part"] = pa.array(parts, pa.binary())
+                    fresh = [i for i, x in enumerate(columns["sid"].to_pylist()) if x not in seen and not seen.add(x)]
+                    columns = {c: x.take(pa.array(fresh, pa.int64())) for c, x in columns.items()}
+                    if len(seen) > SEEN:
+                        seen.clear()
                 if what == PLACED:
                     row = np.searchsorted(ends, first, "right") - 1
                     columns |= {"doc_id": batch.column(0).take(pa.array(row)), "text_hash": batch.column(1).take(pa.array(row)), "at": pa.array(first - ends[row])}
@@ -237,7 +243,7 @@ def repeated_spans(source: DataFrame, length: int) -> DataFrame:
         by_least = cut(kinds.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("weight")))
         several = by_least.where("kinds > 1 or weight = 1").select("least")
         whole = kinds.join(by_least.where("kinds = 1 and weight > 1").select("least"), "least", "left_semi").select("sid", F.lit(0).cast("long").alias("first"), F.col("windows").alias("stop"))
-        parts = _repeated_stretches(source, several, _bits_for(several.count()), length, WITH_BYTES).join(several, "least", "left_semi")
+        parts = _repeated_stretches(source, several, _bits_for(several.count()), length, WITH_BYTES)
         weights = kinds.select("sid", "weight")
         hot = cut(by_least.where(F.col("kinds") > HOT).select("least"))  # their number is bounded by rows / HOT
         segments = stored(parts.groupBy("sid").agg(F.first("least").alias("least"), F.first("part").alias("part")).join(weights, "sid"))
