@@ -1,10 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
-Signals are counted in each whole text. For a stratum and a signal, a cutoff may reject only if
-labelled good documents prove it: the exact binomial tail of the seen false rejections, under a
-false rejection rate of the allowed size, must be below the error level divided by the number of
-tests made (all strata, signals and cutoffs). The lowest proven cutoff is used; without one the
-signal rejects nothing.
+Signals are counted in each whole text. In a stratum one joint rule (a cutoff for each signal) may
+reject only if labelled good documents prove it: the exact binomial tail of the rule's false
+rejections, under a false rejection rate of the allowed size, must be below the error level. Rules
+are tested in a fixed order that lowers one cutoff at a time, up to the first that is not proven, so
+the level is divided by the strata only. Strata with too few labels take the rule of the pooled ones.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ SIGNALS = {
     "word_length": ("word_chars", "n_words", 40.0),
 }
 CUTOFFS = 20
+#: The order of lowered cutoffs (signal, step): all in turn, then symbols to the end, as prose has the
+#: fewest, and the mean word lengths of 4 and 2 last.
+_FIRST = [(s, j) for j in range(CUTOFFS - 1, 2, -1) for s in SIGNALS] + [("symbols", j) for j in (2, 1, 0)]
+_LINES = [(s, j) for j in (1, 0) for s in ("dup_lines", "repeats")]
+ORDER = [*_FIRST, *[(s, 2) for s in SIGNALS if s != "symbols"], *_LINES, ("word_length", 1), ("word_length", 0)]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -84,7 +89,7 @@ def proven_cutoffs(labelled: DataFrame, false_rejection: float = 0.02, error: fl
     """One row per stratum with a cutoff for each signal (null: none is proven).
 
     labelled: _stratum and the counts of good documents that the fixed rules keep. The allowed
-    false rejection is shared out equally among the signals.
+    false rejection is shared out equally among the signals, and the error among all tests.
     """
     share = false_rejection / len(SIGNALS)
     grid = [(s, j, SIGNALS[s][2] * (j + 1) / CUTOFFS) for s in SIGNALS for j in range(CUTOFFS)]
@@ -97,6 +102,34 @@ def proven_cutoffs(labelled: DataFrame, false_rejection: float = 0.02, error: fl
     return proven.groupBy("_stratum").agg(*[F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in SIGNALS])
 
 
+def joint_cutoffs(labelled: DataFrame, false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
+    """A row for each stratum with enough labels, and one with a null _stratum for all labels pooled.
+
+    labelled as in proven_cutoffs. The cutoffs (null: none) are those of the strictest proven joint
+    rule. A rule's false rejections only grow along ORDER, so the last proven one ends the sequence.
+    Only strata whose labels could prove a rule at all share the error, with the pool.
+    """
+    grid = [(t, s, SIGNALS[s][2] * (j + 1) / CUTOFFS) for t, (s, j) in enumerate(ORDER)]
+    first = F.array_min(F.array(*[F.when(_ratio(s) > c, F.lit(t)) for t, s, c in grid]))
+    seen = labelled.select("_stratum", first.alias("_first"))
+    by_rule = [F.count_if(F.col("_first") <= t).alias(f"k{t}") for t, _, _ in grid]
+    wide = cut(seen.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *by_rule))
+    least = math.log(error) / math.log1p(-false_rejection)
+    level = error / (1 + wide.where(F.col("n") >= least).count())
+    able = wide.where(F.col("n") >= math.log(level) / math.log1p(-false_rejection))
+    names = ["n", *[f"k{t}" for t, _, _ in grid]]
+    pool = wide.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).select(F.lit(None).cast("string").alias("_stratum"), *names)
+    tests = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"k{t}").alias("k")) for t, _, _ in grid])
+    long = able.unionByName(pool).select("_stratum", "n", F.explode(tests).alias("x")).select("_stratum", "n", "x.*")
+    proven = F.max(F.when(binomial_tail(F.col("k"), F.col("n"), false_rejection) <= level, F.col("t"))).alias("t")
+
+    def cutoff(signal):
+        steps = [[c for u, s, c in grid if s == signal and u <= t] for t, _, _ in grid]
+        return F.get(F.array(*[F.lit(min(x, default=None)).cast("double") for x in steps]), F.col("t")).alias(f"cut_{signal}")
+
+    return long.groupBy("_stratum").agg(proven).select("_stratum", *[cutoff(s) for s in SIGNALS])
+
+
 def quality_filter(
     docs: DataFrame,
     labels: DataFrame,
@@ -112,7 +145,8 @@ def quality_filter(
     """Add the counts, base_failed and kept to each document; rows are never dropped.
 
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept:
-    not base_failed, and no signal above its stratum's proven cutoff. labels (id, quality): a
+    not base_failed, and no signal above its cutoff in the stratum's proven joint rule; strata with
+    too few labels to prove one take the rule that all labels together prove. labels (id, quality): a
     document is a good one if all its labels say 1; null labels and unknown ids do not count. A
     null stratum is a stratum. Repeated rows are judged alike; input columns with the names of new
     ones are replaced. The texts are read once and the kept columns and counts go through a
@@ -128,11 +162,14 @@ def quality_filter(
     counts = counts if reread else cut(counts)
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good")).where("_good = 1")
     labelled = counts.where("not base_failed").join(good, counts["_id"] == good["doc_id"], "left_semi")
-    cutoffs = cut(proven_cutoffs(labelled, false_rejection, error))
-    if cutoffs.count() <= max_strata:
-        cutoffs = F.broadcast(cutoffs)
+    cutoffs = cut(joint_cutoffs(labelled, false_rejection, error))
+    pool = cutoffs.where("_stratum is null").first()
+    own = cutoffs.where("_stratum is not null").withColumn("_own", F.lit(True))
+    if own.count() <= max_strata:
+        own = F.broadcast(own)
     rejected = F.lit(False)
     for s in SIGNALS:
-        rejected = rejected | F.coalesce(_ratio(s) > F.col(f"cut_{s}"), F.lit(False))
-    judged = counts.join(cutoffs, "_stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+        cutoff = F.when(F.col("_own"), F.col(f"cut_{s}")).otherwise(F.lit(pool[f"cut_{s}"]).cast("double"))
+        rejected = rejected | F.coalesce(_ratio(s) > cutoff, F.lit(False))
+    judged = counts.join(own, "_stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
     return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *new)

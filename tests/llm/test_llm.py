@@ -251,6 +251,21 @@ def test_quality(spark, docs, rows, empty):
     assert quality.proven_cutoffs(good.limit(500)).count() == 0
 
 
+def test_quality_small_strata(spark):
+    """300 good labels of a language prove a rule; a language without labels takes the pooled one."""
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60))
+    rows = [(i, prose(), lang) for k, lang in enumerate("abcd") for i in range(400 * k, 400 * k + 300)]
+    rows += [(9000 + k, prose() + " $$$ ### $$$ ### $$$ ### $$$ ###", lang) for k, lang in enumerate("abcdz")]
+    rows += [(9100, prose(), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows[:1200]], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_filter(docs, labels, keep=["doc_id"]).collect()}
+    assert not any(kept[9000 + k] for k in range(5))
+    assert all(kept[r[0]] for r in rows[:1200]) and kept[9100]
+    assert sorted(quality.ORDER) == sorted((s, j) for s in quality.SIGNALS for j in range(quality.CUTOFFS))
+
+
 def test_binomial_tail(spark):
     cases = [(k, n) for n in (10, 300, 5000) for k in (0, 1, n // 100)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.03).alias("p")).collect()
