@@ -1,8 +1,8 @@
 """A gated recurrent language model with a class-factored output, in numpy.
 
 A word's probability is its class's probability times its share within the class. Documents are
-laid end to end in lanes; the hidden state is carried from window to window until a document
-ends, gradients stop at a window's start.
+laid end to end in lanes; the hidden state is carried from window to window until the next document
+begins, gradients stop at a window's start.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _softmax_rows(x: np.ndarray) -> np.ndarray:
 def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, update=None) -> np.ndarray:
     """The natural log probability of each document; with update(gradient, tokens), training goes along.
 
-    docs: word numbers, each document closed by end. update gets each window's summed gradient.
+    docs: word numbers; each begins with no state, whether or not the one before it closes with end. update gets each window's summed gradient.
     """
     p = views(flat, vocab)
     size = vocab // CLASSES
@@ -75,11 +75,13 @@ def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, up
     steps = -(-longest // WINDOW) * WINDOW
     words = np.full((steps, total), -1, np.int32)
     owner = np.zeros((steps, total), np.int32)
+    begins = np.zeros((steps, total), bool)
     for i, lane in enumerate(lanes):
         at = 0
         for d in lane:
             words[at : at + len(docs[d]), i] = docs[d]
             owner[at : at + len(docs[d]), i] = d
+            begins[at, i] = True
             at += len(docs[d])
     score = np.zeros(len(docs))
     hidden, before = np.zeros((total, HIDDEN), np.float32), np.full(total, end, np.int32)
@@ -90,7 +92,7 @@ def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, up
         T = min(WINDOW, longest - t0)
         w = words[t0 : t0 + T, :n]
         previous = np.concatenate([before[None, :n], w[:-1]])
-        previous = np.where(previous < 0, end, previous)
+        previous = np.where((previous < 0) | begins[t0 : t0 + T, :n], end, previous)
         fresh = previous == end
         x = p["inputs"][previous]
         h = hidden[:n]
@@ -164,7 +166,7 @@ def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, up
 
 
 class Adam:
-    """Steps along mean gradients scaled by their running size, one for at least BATCH tokens."""
+    """Steps along mean gradients scaled by their running size, one for at least BATCH tokens and one for the last ones."""
 
     BATCH = 4096
 
@@ -175,7 +177,12 @@ class Adam:
     def __call__(self, grad: np.ndarray, tokens: int) -> None:
         self.held += grad
         self.tokens += tokens
-        if self.tokens < self.BATCH:
+        if self.tokens >= self.BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        """The step for what is held, if anything is."""
+        if not self.tokens:
             return
         grad = self.held / self.tokens
         norm = float(np.sqrt((grad * grad).sum()))

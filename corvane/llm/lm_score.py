@@ -171,6 +171,7 @@ def train_round(encoded: DataFrame, flat: np.ndarray) -> np.ndarray:
             gru.run_lanes(mine, VOCAB, docs, END, step)
             tokens += sum(map(len, docs))
         if tokens:
+            step.flush()
             blocks = np.array_split(mine.astype(np.float64) * tokens, BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS)), pa.array([tokens] * BLOCKS), pa.array([b.tolist() for b in blocks])], names=["block", "tokens", "sums"])
 

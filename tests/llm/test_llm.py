@@ -8,10 +8,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, digests, lm_score, near_dedup, quality, secrets, sharding, substring_dedup, url_filter, wordpiece
+from corvane.llm import bpe, decontaminate, digests, gru, lm_score, near_dedup, quality, secrets, sharding, substring_dedup, url_filter, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, ids string, shard string"
 
@@ -291,6 +292,20 @@ def test_lm_score(docs, rows, empty, monkeypatch):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_lm_training_uses_every_token(spark):
+    """A partition of fewer tokens than a step is learned from; a stretch begins without a state."""
+    size = lm_score.VOCAB
+    flat = gru.start(size, np.ones(size))
+    encoded = spark.createDataFrame([([3, 4, 5, 0],)], "ids array<short>")
+    assert np.abs(lm_score.train_round(encoded, flat) - flat).max() > 0.001
+    first, second = np.array([3, 4, 5], np.int32), np.array([6, 7, 0], np.int32)
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(gru, "lanes_of", lambda docs, most=512: [list(range(len(docs)))])
+    together, alone = gru.run_lanes(flat, size, [first, second], 0), gru.run_lanes(flat, size, [second], 0)
+    monkey.undo()
+    assert math.isclose(together[1], alone[0], rel_tol=1e-5)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
