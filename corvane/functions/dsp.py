@@ -151,10 +151,32 @@ def edges(y: np.ndarray, fs: float, threshold: float, lag_s: float = 0.02, frame
     return out
 
 
-def detect_event(optical: np.ndarray, electrical: np.ndarray, fs: float, threshold: float = 4.5, share: float = 0.8) -> dict:
+def _single_edges(found: list[dict], n: int, tolerance: int) -> tuple[int, int, int, str]:
+    """Start, middle and end of a window of n samples without a usable pair of edges, and the method."""
+    marks, notes = [], []
+    one_sided = len({e["direction"] for e in found}) == 1
+    for direction, key, name, estimate in ((1, "start", "rise", 0), (-1, "stop", "fall", n - 1)):
+        mine = [e for e in found if e["direction"] == direction]
+        near = [min(e[key], n - 1) for e in mine if abs(min(e[key], n - 1) - estimate) <= tolerance]
+        if mine and one_sided:
+            marks.append(min(max(mine, key=lambda e: abs(e["z"]))[key], n - 1))
+            notes.append(f"{name} only")
+        elif near:
+            marks.append(min(near, key=lambda i: abs(i - estimate)))
+            notes.append(f"{name} snap")
+        else:
+            marks.append(estimate)
+            notes.append(f"no {name}")
+    start, end = marks[0], max(marks)
+    return start, min(max(n // 2, start), end), end, "fallback" if notes == ["no rise", "no fall"] else "; ".join(notes)
+
+
+def detect_event(optical: np.ndarray, electrical: np.ndarray, fs: float, threshold: float = 4.5, share: float = 0.8, tolerance: float = 0.015) -> dict:
     """Landmarks of one window: the best rise and fall, level crossings, electrical peaks and bases.
 
-    Without a usable pair the fallback is the window's start, middle and end, and the method says so.
+    Without a usable pair the window's start, middle and end are estimates. Where all edges go one way,
+    the one that stands out most gives its side; any other side takes the edge of its direction nearest
+    to the estimate, within tolerance seconds, and else keeps the estimate. The method says what was done.
     """
     y = zero_phase_filter(optical, bessel_sections(8, min(25.0, fs / 5), fs), fs)
     found = edges(y, fs, threshold)
@@ -169,7 +191,7 @@ def detect_event(optical: np.ndarray, electrical: np.ndarray, fs: float, thresho
                 best = (plateau - base, rise, fall, base, plateau)
     n = len(y)
     if best is None:
-        start, middle, end, method = 0, n // 2, n - 1, "fallback"
+        start, middle, end, method = _single_edges(found, n, round(tolerance * fs))
     else:
         _, rise, fall, base, plateau = best
         half = (base + plateau) / 2
