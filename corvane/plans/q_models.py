@@ -194,6 +194,8 @@ def event_measures(spark, sf_dir):
 
 
 DIMS = ["x0", "x1", "x2", "x3"]
+#: The settings of a whole run; with 25 replicates p can be as low as 1 / 26.
+RUN = {"max_k": 8, "n_init": 15, "alpha": 0.05, "n_boot": 25}
 
 
 def _points(spark, sf_dir):
@@ -235,19 +237,19 @@ def select_k(spark, sf_dir):
 
 @query()
 def min_cluster_filter(spark, sf_dir):
-    out = G.run_clustering(_points(spark, sf_dir), DIMS, 2, 1, 0.2, 4, 10.0, 2)
+    out = G.run_clustering(_points(spark, sf_dir), DIMS, **RUN, min_percent=10.0)
     return out.select("vec_id", "cluster", "k", "excluded")
 
 
 @query()
 def cluster_by_condition(spark, sf_dir):
     p = _points(spark, sf_dir).withColumn("half", F.col("vec_id") % 2)
-    return G.cluster_by_condition(p, "half", DIMS, max_k=2, n_init=1, alpha=0.2, n_boot=4).select("vec_id", "half", "cluster", "k")
+    return G.cluster_by_condition(p, "half", DIMS, **RUN).select("vec_id", "half", "cluster", "k")
 
 
 @query()
 def compare_runs(spark, sf_dir):
     p = _points(spark, sf_dir)
-    a = G.run_clustering(p.where("label < 5"), DIMS, 2, 1, 0.2, 4).select(F.lit("A").alias("grp"), "vec_id", "cluster")
-    b = G.run_clustering(p.where("label >= 5"), DIMS, 2, 1, 0.2, 4).select(F.lit("B").alias("grp"), "vec_id", "cluster")
+    a = G.run_clustering(p.where("label < 5"), DIMS, **RUN).select(F.lit("A").alias("grp"), "vec_id", "cluster")
+    b = G.run_clustering(p.where("label >= 5"), DIMS, **RUN).select(F.lit("B").alias("grp"), "vec_id", "cluster")
     return a.unionByName(b)

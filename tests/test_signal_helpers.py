@@ -95,3 +95,15 @@ def test_mixture_finds_separate_groups(spark):
     assert all(labels[i] == [0, int(i >= 300)] for i in range(400))
     p = G.bootstrap_lrt(df, best, len(x), 9, 1).first()["p"]
     assert p == 0.1 and G.select_k(G.bootstrap_lrt(df, best, len(x), 9, 1), 0.2) == 2
+
+
+def test_registered_run_leaves_out_a_small_cluster(spark, monkeypatch):
+    from corvane.plans import q_models
+
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(0, 1, (120, 4)), rng.normal(12, 1, (100, 4)), rng.normal(-12, 1, (16, 4))]
+    points = spark.createDataFrame([(i, 0, *map(float, v)) for i, v in enumerate(x)], "vec_id long, label int, x0 double, x1 double, x2 double, x3 double").coalesce(1).cache()
+    monkeypatch.setattr(q_models, "_points", lambda *_: points)
+    rows = q_models.min_cluster_filter(spark, "").collect()
+    assert {r["vec_id"] for r in rows if r["excluded"]} == set(range(220, 236))
+    assert {r["k"] for r in rows if not r["excluded"]} == {2}
