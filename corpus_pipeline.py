@@ -6,7 +6,7 @@ drops documents with benchmark windows, secrets are replaced by a mark, and the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, digests, near_dedup, quality, secrets
@@ -17,12 +17,16 @@ MAX_BROADCAST_IDS = 2_000_000
 SECRET_MARK = "[SECRET]"
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less those whose doc_id is in dropped."""
-    ids = cut(dropped.select("doc_id").where("doc_id is not null").distinct())
+    """docs less the rows whose (doc_id, text_hash) is in dropped; a null id is an id."""
+    ids = cut(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids, (_text_hash() == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +38,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each group; of repeated rows one stays."""
-    found = cut(near_dedup.near_duplicates(docs))
-    left = _without(docs, found.where("not kept"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """The document with the lowest id (then hash) of each group; of rows with equal id and text one stays."""
+    found = cut(near_dedup.near_duplicates(docs, row_key=True))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = found.where("component is not null").groupBy("component").agg(F.min(row).alias("first"))
+    left = _without(docs, found.join(first, "component").where(row != F.col("first")))
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return left if repeated.isEmpty() else left.withColumn("_hash", _text_hash()).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.find_contamination(docs, items).where("n_hit > 0"))
+    return _without(docs, decontaminate.find_contamination(docs, items, row_key=True).where("n_hit > 0"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,7 @@ def find_contamination(
     window: int = 10,
     shingle: int = 5,
     max_broadcast_rows: int = 2_000_000,
+    row_key: bool = False,
 ) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit and items (ids of items with windows in it).
 
@@ -57,7 +58,8 @@ def find_contamination(
     none, and a null item id is not listed. A null or wordless document has zeros. Repeated
     documents each get their row. Texts are read once: what leaves a document is one row and its
     places with a benchmark shingle, each with the words around it. The benchmark's shingles and
-    windows are broadcast up to max_broadcast_rows, and joined by shuffle beyond.
+    windows are broadcast up to max_broadcast_rows, and joined by shuffle beyond. With row_key there
+    is also text_hash, which tells rows with one id or none apart.
     """
     windows = cut(_windows(items, item_col, item_text_col, window).withColumn("window", F.xxhash64("words", "size")))
     sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle)).alias("s")).distinct().collect())  # at most `shingle` numbers
@@ -100,5 +102,6 @@ def find_contamination(
         lambda a, h: F.struct(F.greatest(a["end"], h["stop"]).alias("end"), (a["n"] + F.greatest(h["stop"] - F.greatest(a["end"], h["start"]), F.lit(0))).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    counted = by_doc.select("doc_id", "n_words", covered.alias("n_hit"), "items", "_copies")
-    return counted.select("doc_id", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_c")).drop("_c")
+    key = ["text_hash"] if row_key else []
+    counted = by_doc.withColumnRenamed("_text_hash", "text_hash").select("doc_id", "n_words", covered.alias("n_hit"), "items", *key, "_copies")
+    return counted.select("doc_id", "n_words", "n_hit", "items", *key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_c")).drop("_c")

@@ -34,8 +34,13 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(col(text_col), F.lit(""))
+    return docs.select(col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("text_hash"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """_id, n_shingles, node (identity of the shingle set) and the two collections of bands."""
+    """_id, text_hash, n_shingles, node (identity of the shingle set) and the two collections of bands."""
 
     def run(batches):
         for whole in batches:
@@ -45,10 +50,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 bands = [S.mix(lows[2 * i] + S.mix(lows[2 * i + 1] + np.uint64(i))) for i in range(2 * BANDS)]
                 node = S.segment_reduce(np.add, S.mix(values + np.uint64(99)), ends)
                 halves = [pa.FixedSizeListArray.from_arrays(_long(np.stack(bands[a : a + BANDS], 1).ravel()), BANDS).cast(pa.list_(pa.int64())) for a in (0, BANDS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), _long(node), *halves], names=["_id", "n_shingles", "node", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(ends)), _long(node), *halves], names=["_id", "text_hash", "n_shingles", "node", "a", "b"])
 
-    source = docs.select(col(id_col).cast("long").alias("_id"), F.coalesce(col(text_col), F.lit("")).alias("_text"))
-    return source.mapInArrow(run, "_id long, n_shingles long, node long, a array<long>, b array<long>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "_id long, text_hash long, n_shingles long, node long, a array<long>, b array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -111,23 +115,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * common >= percent * (F.size("sx") + F.size("sy") - common)).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, max_broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, max_broadcast_rows: int = 200_000, row_key: bool = False) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (lowest id reachable) and kept.
 
     Texts are linked whose sets of distinct word shingles have 100 * common >= percent * union;
     a text of fewer words is one shingle, and a null, empty or wordless one is linked with
     nothing. Equal texts, repeated rows included, are one component. A null id is never the
     lowest; a component of null ids only has a null component_id and is kept. Chance of missing
-    a link at exactly 0.75: about 2e-5, far less above.
+    a link at exactly 0.75: about 2e-5, far less above. With row_key there are also text_hash, which
+    tells rows with one id or none apart, and component (null for wordless texts), since components
+    of null ids or of repeated ids can have the same component_id.
     """
     signed = cut(signatures(docs, id_col, text_col, size))
-    nodes = cut(signed.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    nodes = cut(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    nodes = nodes.withColumn("lowest", F.col("row._id"))
     members = buckets(nodes)
-    wanted = cut(members.select("node").distinct().join(nodes.select("node", "lowest"), "node"))
+    wanted = cut(members.select("node").distinct().join(nodes.select("node", "row"), "node"))
     few = wanted.count() <= max_broadcast_rows
     light = F.broadcast if few else (lambda df: df)
-    source = docs.select(col(id_col).cast("long").alias("_id"), F.coalesce(col(text_col), F.lit("")).alias("_text"))
-    chosen = source.join(light(wanted.select(F.col("lowest").alias("_id")).distinct()), "_id", "left_semi")
+    one = light(wanted.select(F.col("row._id").alias("_one_id"), F.col("row.text_hash").alias("_one_hash")).distinct())
+    source = _source(docs, id_col, text_col)
+    chosen = source.join(one, (F.col("text_hash") == F.col("_one_hash")) & F.col("_id").eqNullSafe(F.col("_one_id")), "left_semi").select("_id", "_text")
     sets = cut(shingle_sets(chosen, size).dropDuplicates(["node"]))
 
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
@@ -174,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = nodes.select("node", "lowest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = placed.groupBy("label").agg(F.min("lowest").alias("component_id"))
-    by_node = cut(placed.join(lowest, "label").select("node", "component_id"))
-    some = signed.where("n_shingles > 0").select(F.col("_id").alias("doc_id"), "n_shingles", "node").join(by_node, "node").drop("node")
-    none = signed.where("n_shingles = 0").select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_id").alias("component_id"))
-    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    by_node = cut(placed.join(lowest, "label").select("node", "component_id", F.col("label").alias("component")))
+    some = signed.where("n_shingles > 0").select(F.col("_id").alias("doc_id"), "n_shingles", "node", "text_hash").join(by_node, "node").drop("node")
+    none = signed.where("n_shingles = 0").select(F.col("_id").alias("doc_id"), "n_shingles", "text_hash", F.col("_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    return some.unionByName(none).select("doc_id", "n_shingles", "component_id", kept, *(["text_hash", "component"] if row_key else []))

@@ -306,6 +306,27 @@ def test_lm_training_uses_every_token(spark):
     assert math.isclose(together[1], alone[0], rel_tol=1e-5)
 
 
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Texts under no id or one id are judged one by one."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    new = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d, e, near, leak = (new() for _ in range(7))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, e), (2, e + " tail"), (None, near), (None, near + " tail"), (3, near + " tail end")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    pair = [x for x in out if x[0] == 2]
+    assert len(pair) == 1 and pair[0][1].startswith(e)
+    assert out == Counter([(None, a), (None, b), (1, c), (1, d), pair[0], (3, near + " tail end")])
+
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, a), (4, leak), (4, b), (5, c)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, a), (4, b), (5, c)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
