@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Add event_id 1..m in the given order: places within range partitions, and the rows before each.
+
+    The partitions are written to the checkpoint folder first, so that both passes see the same ones.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("_part").count().collect()):  # a row per partition
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    at = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
+    return placed.join(starts, "_part").withColumn("event_id", at + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 def to_legacy(events: DataFrame, recordings: DataFrame, order: list[str]) -> DataFrame:
@@ -13,8 +33,7 @@ def to_legacy(events: DataFrame, recordings: DataFrame, order: list[str]) -> Dat
     Ids are given over the missing rows only (in the given order), as the file format has it; they
     can meet ids that are there.
     """
-    missing = events.where("event_id is null").withColumn("event_id", F.row_number().over(Window.orderBy(*order)).cast("long"))  # an export is one file
-    both = events.where("event_id is not null").unionByName(missing)
+    both = events.where("event_id is not null").unionByName(_numbered(events.where("event_id is null"), order))
     named = both.join(recordings.select("rec_id", F.col("file_name").alias("_f")), "rec_id", "left")
     return named.withColumn("file_name", F.coalesce("file_name", "_f", F.lit(""))).withColumn("notes", F.coalesce("notes", F.lit(""))).drop("_f")
 

@@ -88,3 +88,15 @@ def test_empty_cluster_has_its_row(spark):
     got = {r["c"]: (r["n"], r["v_mean"]) for r in R.cluster_summary(df, "c", ["v"], 3).collect()}
     assert got == {0: (2, 2.0), 1: (0, None), 2: (1, None)}
     assert rows(R.rank_clusters(df, "c", "r").select("c", "r")) == [(0, 0), (0, 0), (2, 1)]
+
+
+def test_legacy_numbers_without_one_task(spark):
+    from corvane.operators.events import to_legacy
+
+    rows = [(i * 7919 % 5003, None if i % 3 else 900 + i) for i in range(5003)]
+    events = spark.createDataFrame([(k, e, 1, None, None) for k, e in rows], "k long, event_id long, rec_id long, file_name string, notes string")
+    out = to_legacy(events, spark.createDataFrame([(1, "a.abf")], "rec_id long, file_name string"), ["k"])
+    got = {r["k"]: r["event_id"] for r in out.collect()}
+    free = sorted(k for k, e in rows if e is None)
+    assert got == {k: e for k, e in rows if e is not None} | {k: n for n, k in enumerate(free, 1)}
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
