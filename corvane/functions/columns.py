@@ -9,24 +9,58 @@ from pyspark.sql import functions as F
 
 #: Canonical feature names and the headers they go by, first match wins.
 FEATURE_ALIASES = {
-    "duration": ["duration", "dwell_time", "dwell"],
-    "OSC": ["osc", "optical_step_change"],
-    "RefOSC": ["refosc", "ref_osc"],
-    "entry_peak": ["entry_peak", "entry_peak_(pa)"],
-    "exit_peak": ["exit_peak", "exit_peak_(pa)"],
-    "entry_spike": ["entry_spike"],
-    "exit_spike": ["exit_spike"],
+    "duration": ["duration", "duration_val", "dur", "dwell", "dwell_time"],
+    "OSC": ["osc", "osc_pct", "step_osc", "optical_scatter"],
+    "RefOSC": ["refosc", "ref_osc", "refosc_pct", "reference_osc"],
+    "entry_peak": ["entry Peak (pA)", "entry_peak", "entry peak", "entry peak (pA)", "entry_peak_pa"],
+    "exit_peak": ["exit Peak (pA)", "exit_peak", "exit peak", "exit peak (pA)", "exit_peak_pa"],
+    "entry_spike": ["entry_spike", "entry spike", "entryspike", "entry_current", "ispike_entry"],
+    "exit_spike": ["exit_spike", "exit spike", "exitspike", "exit_current", "ispike_exit"],
 }
-#: Columns of the internal event schema, in order, with their kinds.
-TIMES = ["window_start", "window_end", "event_start", "event_end", "event_plateau", "entry_base_t", "entry_peak_t", "exit_peak_t", "exit_base_t"]
-AMPLITUDES = ["base_v", "step_v", "ref_base_v", "ref_step_v", "entry_base_pa", "entry_peak_pa", "exit_peak_pa", "exit_base_pa"]
+#: The same for the raw values that spike amplitudes are made of.
+RAW_ALIASES = {
+    "entry_base": ["entry Base (pA)", "entry_base", "entry base", "entry baseline", "entry_baseline", "entry baseline (pA)", "entry_base_pa"],
+    "entry_peak": ["entry Peak (pA)", "entry_peak", "entry peak", "entry peak (pA)", "entry_peak_pa"],
+    "exit_peak": ["exit Peak (pA)", "exit_peak", "exit peak", "exit peak (pA)", "exit_peak_pa"],
+    "exit_base": ["exit Base (pA)", "exit_base", "exit base", "exit baseline", "exit_baseline", "exit baseline (pA)", "exit_base_pa"],
+}
+#: Columns of the internal event schema by kind, and headers other than their names.
+TIMES = ["event_start", "event_end", "event_plateau", "entry_base_t", "entry_peak_t", "exit_peak_t", "exit_base_t", "window_start", "window_end"]
+AMPLITUDES = ["optical_base", "optical_rise", "optical_end", "opticalre_base", "opticalre_rise", "opticalre_end", "entry_base", "entry_peak", "exit_peak", "exit_base"]
 TEXTS = ["file_name", "sensor", "analytes", "solution", "notes"]
 INTERNAL = ["event_id", *TEXTS, *TIMES, *AMPLITUDES]
+EVENT_ALIASES = {
+    "file_name": ["file_name", "file name"],
+    "event_start": ["event_start (s)", "event_start_s", "event_start"],
+    "event_end": ["event_end (s)", "event_end_s", "event_end"],
+    "optical_base": ["Base (V)", "optical_base"],
+    "optical_rise": ["Step (V)", "optical_rise"],
+    "opticalre_base": ["RefBase (V)", "opticalre_base"],
+    "opticalre_rise": ["RefStep (V)", "opticalre_rise"],
+    "entry_base": ["entry Base (pA)", "entry_base"],
+    "entry_peak": ["entry Peak (pA)", "entry_peak"],
+    "exit_peak": ["exit Peak (pA)", "exit_peak"],
+    "exit_base": ["exit Base (pA)", "exit_base"],
+}
+#: Derived columns of event files, and the layouts of the two export forms.
+DERIVED = ["duration", "OSC", "RefOSC", "entry spike", "exit spike"]
+LEGACY = [
+    "event_id", "file_name", "sensor", "analytes", "solution", "event_start (s)", "event_end (s)", "notes",
+    "Base (V)", "Step (V)", "RefBase (V)", "RefStep (V)", "entry Base (pA)", "entry Peak (pA)", "exit Peak (pA)", "exit Base (pA)",
+    "duration", "OSC", "RefOSC", "entry spike", "exit spike", "event_plateau",
+    "entry_base_t", "entry_peak_t", "exit_peak_t", "exit_base_t", "window_start", "window_end",
+]
+PREDICTED = [
+    "event_id", "file_name", "sensor", "analytes", "solution", "event_start (s)", "event_end (s)", "notes",
+    "Base (V)", "Step (V)", "RefBase (V)", "RefStep (V)", "entry Base (pA)", "entry Peak (pA)", "exit Peak (pA)", "exit Base (pA)",
+    "duration", "OSC", "RefOSC", "entry spike", "exit spike", "event_plateau", "event_plateau_t",
+    "entry_base_t", "entry_peak_t", "exit_peak_t", "exit_base_t",
+]
 
 
 def feature_header(name: str) -> str:
-    """Trimmed, lower case, blanks to underscores."""
-    return re.sub(r"\s+", "_", name.strip().lower())
+    """Trimmed, lower case, each blank to an underscore."""
+    return name.strip().lower().replace(" ", "_")
 
 
 def event_header(name: str) -> str:
@@ -37,11 +71,10 @@ def event_header(name: str) -> str:
 def resolve_columns(df: DataFrame, aliases: dict[str, list[str]], normalise=feature_header) -> DataFrame:
     """Canonical columns by header alias; the first alias in the list that is there wins.
 
-    A canonical name without any header becomes a null string column.
+    Of headers that are alike after normalising the last counts. A canonical name without any
+    header becomes a null string column.
     """
-    have: dict[str, str] = {}
-    for c in df.columns:
-        have.setdefault(normalise(c), c)
+    have = {normalise(c): c for c in df.columns}
     picked = []
     for name, names in aliases.items():
         actual = next((have[normalise(a)] for a in names if normalise(a) in have), None)
@@ -69,11 +102,16 @@ def integral_id(c: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("long"))
 
 
-def to_internal(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """Any event file to the internal schema: fixed names and types, missing ones null."""
-    found = resolve_columns(df, {c: aliases.get(c, [c]) for c in INTERNAL}, event_header)
+def to_internal(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Any event file to the internal schema: 25 columns of fixed names and types, missing ones null.
+
+    derived comes after them: a map of the derived columns that have a number in the row, or null.
+    """
+    names = EVENT_ALIASES if aliases is None else aliases
+    found = resolve_columns(df, {c: names.get(c, [c]) for c in INTERNAL} | {c: [c] for c in DERIVED}, event_header)
     kinds = {c: clean_text for c in TEXTS} | {c: numeric for c in TIMES + AMPLITUDES} | {"event_id": integral_id}
-    return found.select(*[kinds[c](F.col(c)).alias(c) for c in INTERNAL])
+    stored = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, DERIVED)), F.array(*[numeric(F.col(f"`{c}`")) for c in DERIVED])), lambda k, v: v.isNotNull())
+    return found.select(*[kinds[c](F.col(c)).alias(c) for c in INTERNAL], F.when(F.size(stored) > 0, stored).alias("derived"))
 
 
 def drop_empty_columns(df: DataFrame, columns: list[str]) -> DataFrame:

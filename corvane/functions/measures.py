@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.columns import numeric
+
 
 def step_signed(base: Column, step: Column) -> Column:
     """Step change in percent of the mean level; null when the mean is zero."""
@@ -23,6 +25,28 @@ def spike(base: Column, peak: Column) -> Column:
     return peak - base
 
 
+def derived_measures(df: DataFrame, formula: Column | str, stored: str | None = None) -> DataFrame:
+    """Add duration, OSC, RefOSC, entry spike and exit spike to internal events.
+
+    A value in the stored map comes first, column by column; else end less start, the step changes
+    by the formula (nn: absolute, anything else: signed), and peak less base. Nulls give nulls.
+    """
+    kind = F.lit(formula) if isinstance(formula, str) else formula
+    made = {
+        "duration": F.col("event_end") - F.col("event_start"),
+        "OSC": derived(kind, F.lit(None).cast("double"), F.col("optical_base"), F.col("optical_rise")),
+        "RefOSC": derived(kind, F.lit(None).cast("double"), F.col("opticalre_base"), F.col("opticalre_rise")),
+        "entry spike": spike(F.col("entry_base"), F.col("entry_peak")),
+        "exit spike": spike(F.col("exit_base"), F.col("exit_peak")),
+    }
+    return df.withColumns({c: F.coalesce(F.col(stored)[c], v) if stored else v for c, v in made.items()})
+
+
+def filled_spike(base: Column, peak: Column) -> Column:
+    """Peak less base where both are numbers, whatever their types; null otherwise."""
+    return numeric(peak) - numeric(base)
+
+
 def derived(formula: Column, stored: Column, base: Column, step: Column) -> Column:
     """A stored value first, else by the set's formula: nn is absolute, anything else signed."""
     return F.coalesce(stored, F.when(formula == "nn", step_absolute(base, step)).otherwise(step_signed(base, step)))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-#: Extensions that are cut off, longest first, and words that name a condition.
-EXTENSIONS = [".parquet", ".abf", ".csv", ".npz"]
-CONDITIONS = "baseline|AC-AOM|AOM|AC|DC"
+#: Extensions that are cut off, the run number after the date, and the closing condition word.
+EXTENSIONS = [".fakeabf.npz", ".abf", ".csv", ".xlsx", ".xls"]
+RUN_PATTERN = r"^(\d{4}_\d{2}_\d{2})_(\d{3,5})(?=[\s_-]|$)"
+CONDITION_PATTERN = r"(?i)[\s_-]+(DC|AC[\s_-]*AOM|AC|AOM|baseline)$"
+UNNAMED = "Unnamed experiment"
 
 
 def base_name(path: Column) -> Column:
@@ -18,15 +20,20 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)
 
 
+def without_extension(name: Column) -> Column:
+    """The name without a known extension; anything else after a dot stays."""
+    return F.regexp_replace(name, "(?i)(" + "|".join(e.replace(".", "[.]") for e in EXTENSIONS) + ")$", "")
+
+
 def stem(path: Column) -> Column:
     """Base name without a known extension, lower case."""
-    pattern = "(" + "|".join(e.replace(".", "[.]") for e in EXTENSIONS) + ")$"
-    return F.regexp_replace(F.lower(base_name(path)), pattern, "")
+    return F.lower(without_extension(base_name(path)))
 
 
-def name_key(path: Column) -> Column:
-    """Forgiving key: the stem with runs of blanks and underscores as one blank, trimmed."""
-    return F.trim(F.regexp_replace(stem(path), r"[\s_]+", " "))
+def strict_key(path: Column) -> Column:
+    """Base name in lower case without its last extension, whatever that is; blank for null."""
+    name = F.element_at(F.split(F.trim(path), "/"), -1)
+    return F.coalesce(F.lower(F.regexp_replace(name, r"(?<=[^.])[.][^.]*$", "")), F.lit(""))
 
 
 @F.pandas_udf(StringType())
@@ -35,25 +42,47 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def name_key(path: Column) -> Column:
+    """Forgiving key: NFKC, no known extension, runs of blanks and underscores as one blank, lower case.
+
+    Blank for null. Folding runs in Arrow batches: apply this to distinct names, not to each row.
+    """
+    tidy = F.regexp_replace(without_extension(nfkc(base_name(F.trim(path)))), r"(?U)[\s_]+", " ")
+    return F.coalesce(F.lower(F.trim(tidy)), F.lit(""))
+
+
+def with_name_key(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Add the forgiving key of a name column; each distinct name is folded once. Null or blank: blank."""
+    keys = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(out, name_key(F.col(name)))
+    return df.join(keys, name, "left").withColumn(out, F.coalesce(out, F.lit("")))
+
+
 def normalize_condition(word: Column) -> Column:
-    """baseline in lower case, AC-AOM with one dash, anything else in upper case."""
-    tidy = F.upper(F.regexp_replace(F.trim(word), r"[\s_-]+", "-"))
-    return F.when(tidy == "BASELINE", "baseline").otherwise(tidy)
-
-
-def parse_file_name(df: DataFrame, column: str, run_pattern: str = r"^(\d{4}_\d{2}_\d{2})_(\d+)", strip_pattern: str = rf"(?i)\s+({CONDITIONS})$", prefix: str = "", fallback: str = "unnamed") -> DataFrame:
-    """Add experiment, condition and run: run number after the date and closing condition word cut off."""
-    body = F.regexp_replace(base_name(F.col(column)), r"[.][A-Za-z0-9]+$", "")
-    condition = F.regexp_extract(body, strip_pattern, 1)
-    left = F.regexp_replace(F.regexp_replace(body, run_pattern, "$1"), strip_pattern, "")
-    tidy = F.trim(F.regexp_replace(left, r"\s+", " "))
-    return df.withColumns(
+    """baseline in lower case, AC-AOM with a dash however it is written, anything else in upper case; blank for null."""
+    tidy = F.upper(F.regexp_replace(F.coalesce(word, F.lit("")), r"(?U)[\s_-]+", ""))
+    return F.when(tidy == "BASELINE", "baseline").when(tidy == "ACAOM", "AC-AOM").otherwise(tidy)
+
+
+def parse_file_name(df: DataFrame, column: str, run_pattern: str = RUN_PATTERN, strip_pattern: str = CONDITION_PATTERN, prefix: str = "") -> DataFrame:
+    """Add experiment, condition and run (null: none) as a file name tells them.
+
+    The name is folded by NFKC and white space, loses a known extension, the run number that
+    follows the date (group 1 of run_pattern stays) and the closing condition word (group 1 of
+    strip_pattern). Nothing left: the whole stem, and for a blank or null name a fixed one.
+    """
+    whole = F.trim(F.regexp_replace(nfkc(without_extension(base_name(F.coalesce(F.col(column), F.lit(""))))), r"(?U)\s+", " "))
+    named = df.withColumn("_stem", whole)
+    left = F.regexp_replace("_stem", run_pattern, "$1")
+    word = F.regexp_extract(left, strip_pattern, 1)
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(left, strip_pattern, ""), r"\s{2,}", " "), r"^[ _-]+|[ _-]+$", "")
+    name = F.trim(F.concat(F.lit(prefix), F.coalesce(F.nullif(tidy, F.lit("")), F.col("_stem"))))
+    return named.withColumns(
         {
-            "experiment": F.concat(F.lit(prefix), F.coalesce(F.nullif(tidy, F.lit("")), F.lit(fallback))),
-            "condition": F.when(condition != "", normalize_condition(condition)).otherwise(""),
-            "run": F.regexp_extract(body, run_pattern, 2),
+            "experiment": F.coalesce(F.nullif(name, F.lit("")), F.lit(UNNAMED)),
+            "condition": normalize_condition(word),
+            "run": F.nullif(F.regexp_extract("_stem", RUN_PATTERN, 2), F.lit("")),
         }
-    )
+    ).drop("_stem")
 
 
 def slugify(text: Column, fallback: str, most: int = 60) -> Column:

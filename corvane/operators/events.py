@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.columns import INTERNAL, LEGACY, PREDICTED, TEXTS
+from corvane.functions.measures import derived_measures
+
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Add event_id 1..m in the given order: places within range partitions, and the rows before each.
@@ -27,20 +30,38 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(starts, "_part").withColumn("event_id", at + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
-def to_legacy(events: DataFrame, recordings: DataFrame, order: list[str]) -> DataFrame:
-    """Export form: missing file names from the recording, missing texts blank, missing ids 1..m.
+#: Export headers of the internal columns that go by another name.
+_EXPORT_NAMES = {
+    "event_start (s)": "event_start", "event_end (s)": "event_end", "Base (V)": "optical_base", "Step (V)": "optical_rise",
+    "RefBase (V)": "opticalre_base", "RefStep (V)": "opticalre_rise", "entry Base (pA)": "entry_base", "entry Peak (pA)": "entry_peak",
+    "exit Peak (pA)": "exit_peak", "exit Base (pA)": "exit_base", "event_plateau_t": "event_plateau",
+}
 
-    Ids are given over the missing rows only (in the given order), as the file format has it; they
-    can meet ids that are there.
-    """
-    both = events.where("event_id is not null").unionByName(_numbered(events.where("event_id is null"), order))
+
+def _exported(events: DataFrame, recordings: DataFrame, order: list[str], formula: Column | str, layout: list[str]) -> DataFrame:
+    lacking = [c for c in INTERNAL if c not in events.columns]
+    whole = events.withColumns({c: F.lit(None).cast("string" if c in TEXTS else "double") for c in lacking})
+    both = whole.where("event_id is not null").unionByName(_numbered(whole.where("event_id is null"), order))
     named = both.join(recordings.select("rec_id", F.col("file_name").alias("_f")), "rec_id", "left")
-    return named.withColumn("file_name", F.coalesce("file_name", "_f", F.lit(""))).withColumn("notes", F.coalesce("notes", F.lit(""))).drop("_f")
+    named = named.withColumn("file_name", F.coalesce("file_name", "_f", F.lit("")))
+    named = named.withColumns({c: F.coalesce(c, F.lit("")) for c in TEXTS if c != "file_name"})
+    full = derived_measures(named, formula, "derived" if "derived" in events.columns else None)
+    return full.select(*[F.col(f"`{_EXPORT_NAMES.get(c, c)}`").alias(c) for c in layout])
+
+
+def to_legacy(events: DataFrame, recordings: DataFrame, order: list[str], formula: Column | str = "tagger") -> DataFrame:
+    """The 28-column export: missing file names from the recording, missing texts blank, missing ids 1..m.
+
+    events: internal columns (those that are not there are null), rec_id and, if values were stored, the
+    map derived. Derived values are the stored ones, else made by the formula. Ids are given over the
+    missing rows only (in the given order), as the file format has it; they can meet ids that are there.
+    """
+    return _exported(events, recordings, order, formula, LEGACY)
 
 
-def to_predicted(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Predicted form: the given columns in order, and the plateau time once more at the end."""
-    return events.select(*columns, F.col("event_plateau").alias("event_plateau_t"))
+def to_predicted(events: DataFrame, recordings: DataFrame, order: list[str]) -> DataFrame:
+    """The 27-column predicted form: absolute step changes, the plateau time twice, no window."""
+    return _exported(events, recordings, order, "nn", PREDICTED)
 
 
 def shift_times(events: DataFrame, offsets: DataFrame, times: list[str]) -> DataFrame:

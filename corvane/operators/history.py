@@ -42,16 +42,16 @@ def latest_edit(history: DataFrame, keys: list[str], order: list[str]) -> DataFr
 def fold_history(history: DataFrame) -> DataFrame:
     """Current state from an edit log: (event, at, action, changes map<string,string>).
 
-    Per event and field the last written value counts, written nulls included; a delete anywhere
-    after the last create marks the event deleted.
+    Per event and field the last written value counts, written nulls included. The first delete is
+    final: later rows of the event are refused, they change nothing and count for no version.
     """
-    order = F.struct("at")
-    fields = history.select("event", "at", F.explode("changes").alias("field", "value"))
-    values = fields.groupBy("event", "field").agg(F.max_by(F.struct("value"), order).alias("v"))
+    gone = history.groupBy("event").agg(F.min(F.when(F.col("action") == "delete", F.col("at"))).alias("_gone"))
+    valid = history.join(gone, "event").where(F.col("_gone").isNull() | (F.col("at") <= F.col("_gone")))
+    fields = valid.select("event", "at", F.explode("changes").alias("field", "value"))
+    values = fields.groupBy("event", "field").agg(F.max_by(F.struct("value"), F.col("at")).alias("v"))
     state = values.groupBy("event").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "v.value")))).alias("state"))
-    last = history.groupBy("event").agg(F.max(F.when(F.col("action") == "delete", F.col("at"))).alias("gone"), F.max(F.when(F.col("action") != "delete", F.col("at"))).alias("made"), F.count(F.lit(1)).alias("version"))
-    deleted = F.coalesce(F.col("gone") > F.coalesce("made", F.lit(-1)), F.lit(False))
-    return last.join(state, "event", "left").select("event", "version", deleted.alias("deleted"), "state")
+    last = valid.groupBy("event").agg(F.count(F.lit(1)).alias("version"), F.max(F.col("_gone").isNotNull()).alias("deleted"))
+    return last.join(state, "event", "left").select("event", "version", "deleted", "state")
 
 
 def _accept(rows, version: int, gone: bool):

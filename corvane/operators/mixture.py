@@ -73,10 +73,13 @@ def gmm_sweep(df: DataFrame, features: list[str], ks: list[int], n_init: int = 1
 
     Starts are rows in the order of a seeded hash, so they do not depend on partitioning.
     """
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in features]).cache()
+    raw = df.select(*[F.col(c).cast("double").alias(c) for c in features])
     d = len(features)
-    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in features]).first()
+    stats = raw.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in features], *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).first()
     n, spread = stats["n"], np.array([stats[c] or 1.0 for c in features])
+    # Second moments of centred values: far from zero, their differences would lose their digits.
+    centre = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
+    x = raw.select(*[(F.col(c) - float(m)).alias(c) for c, m in zip(features, centre, strict=True)]).cache()
     ks = [k for k in ks if k < n]
     if not ks:
         return {}
@@ -114,7 +117,7 @@ def gmm_sweep(df: DataFrame, features: list[str], ks: list[int], n_init: int = 1
         if not open_:
             break
     x.unpersist()
-    return best
+    return {k: (ll, (weights, means + centre, covs)) for k, (ll, (weights, means, covs)) in best.items()}
 
 
 def sweep_table(df: DataFrame, best: dict[int, tuple[float, Model]], n: int, d: int) -> DataFrame:
@@ -245,13 +248,13 @@ def run_clustering(df: DataFrame, features: list[str], max_k: int = 4, n_init: i
     return out
 
 
-def cluster_by_condition(df: DataFrame, condition: str, features: list[str], most: int = 100, **settings) -> DataFrame:
-    """One run per condition (at most so many), pooled again."""
-    values = [r[0] for r in df.select(condition).distinct().limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"more than {most} conditions")
+def cluster_by_condition(df: DataFrame, condition: str, features: list[str], **settings) -> DataFrame:
+    """One run per condition, pooled again; rows with a null condition are a condition of their own.
+
+    Conditions are names that people give to recordings, and each is a run of its own.
+    """
     out = None
-    for v in sorted(values):
-        one = run_clustering(df.where(F.col(condition) == v), features, **settings)
+    for v in sorted((r[0] for r in df.select(condition).distinct().collect()), key=lambda v: (v is not None, v)):
+        one = run_clustering(df.where(F.col(condition).eqNullSafe(v)), features, **settings)
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else run_clustering(df, features, **settings)

@@ -63,7 +63,7 @@ def causal_chunks(chunks: DataFrame, order: int = 8, cutoff: float = 100.0, halo
 
     A chunk needs only the end of the one before it, as long as the filter remembers: that tail is
     sent over by a join of neighbours, so recordings of any length are filtered chunk by chunk. The
-    first value of the recording stands for what was before it.
+    filter starts from zero at a recording's begin.
     """
     keep = F.ceil(F.col("fs") * halo_s).cast("int")
     tails = chunks.select("file", "channel", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.slice("values", F.greatest(F.size("values") - keep + 1, F.lit(1)), keep).alias("tail"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import columns as C
 from corvane.functions import measures as M
 from corvane.functions import names as N
+from corvane.operators import events as E
 from corvane.operators import filters as X
 from corvane.plans import bindings as B
 from corvane.plans.registry import query
@@ -16,7 +17,7 @@ ALIASES = {"duration": ["dwell", "L Quantity", "l_quantity"], "OSC": ["osc", "l_
 
 @query("SELECT l_orderkey, l_quantity AS duration, l_tax AS osc, NULL::VARCHAR AS entry_spike FROM lineitem")
 def resolve_columns(spark, sf_dir):
-    df = B.table(spark, sf_dir, "lineitem").withColumnRenamed("l_quantity", " L  Quantity ")
+    df = B.table(spark, sf_dir, "lineitem").withColumnRenamed("l_quantity", " L Quantity ")
     out = C.resolve_columns(df, {"l_orderkey": ["l_orderkey"], **ALIASES})
     return out.withColumnRenamed("OSC", "osc")
 
@@ -29,21 +30,26 @@ def coerce_numeric(spark, sf_dir):
     return p.select("p_partkey", C.numeric(raw).alias("value"))
 
 
-@query("""SELECT CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS event_id, 'f' || l_suppkey AS file_name, NULL::VARCHAR AS sensor, CASE WHEN l_linenumber <> 4 THEN l_returnflag END AS notes,
-  l_quantity AS window_start, l_quantity + 1 AS window_end, l_extendedprice AS base_v, l_tax AS entry_peak_pa FROM lineitem""")
+@query("""SELECT CASE WHEN l_linenumber <> 2 THEN l_orderkey END AS event_id, 'f' || l_suppkey AS file_name, NULL::VARCHAR AS sensor, NULL::VARCHAR AS analytes, NULL::VARCHAR AS solution, CASE WHEN l_linenumber <> 4 THEN l_returnflag END AS notes,
+  l_quantity AS event_start, NULL::DOUBLE AS event_end, NULL::DOUBLE AS event_plateau, NULL::DOUBLE AS entry_base_t, NULL::DOUBLE AS entry_peak_t, NULL::DOUBLE AS exit_peak_t, NULL::DOUBLE AS exit_base_t,
+  NULL::DOUBLE AS window_start, l_quantity + 1 AS window_end, l_extendedprice AS optical_base, l_extendedprice AS optical_rise, NULL::DOUBLE AS optical_end, NULL::DOUBLE AS opticalre_base, NULL::DOUBLE AS opticalre_rise,
+  l_discount AS opticalre_end, NULL::DOUBLE AS entry_base, l_tax AS entry_peak, NULL::DOUBLE AS exit_peak, NULL::DOUBLE AS exit_base, CASE WHEN l_linenumber <> 3 THEN l_tax END AS stored FROM lineitem""")
 def to_internal(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
     raw = li.select(
-        F.when(F.col("l_linenumber") != 2, F.col("l_orderkey").cast("string")).otherwise("1.5").alias("Event ID"),
-        F.concat(F.lit(" f"), "l_suppkey").alias("File Name"),
+        F.when(F.col("l_linenumber") != 2, F.col("l_orderkey").cast("string")).otherwise("1.5").alias("Event_ID"),
+        F.concat(F.lit(" f"), "l_suppkey").alias("File_Name"),
         F.when(F.col("l_linenumber") != 4, F.col("l_returnflag")).otherwise("NaN").alias("notes"),
-        F.col("l_quantity").cast("string").alias("window start"),
+        F.col("l_quantity").cast("string").alias("event_start (s)"),
         (F.col("l_quantity") + 1).cast("string").alias("window_end"),
         F.col("l_extendedprice").cast("string").alias("Base (V)"),
+        F.col("l_extendedprice").cast("string").alias("step (v)"),
+        F.col("l_discount").alias("opticalre_end"),
         F.col("l_tax").cast("string").alias("entry Peak (pA)"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("entry spike"),
     )
-    aliases = {"event_id": ["Event ID"], "file_name": ["File Name"], "window_start": ["window start"], "base_v": ["Base (V)"], "entry_peak_pa": ["entry Peak (pA)"]}
-    return C.to_internal(raw, aliases).select("event_id", "file_name", "sensor", "notes", "window_start", "window_end", "base_v", "entry_peak_pa")
+    out = C.to_internal(raw)
+    return out.select(*C.INTERNAL, F.col("derived")["entry spike"].alias("stored"))
 
 
 @query(f"""WITH {B.FEAT} SELECT source_file, source_row, round((step - base) / nullif((step + base) / 2, 0) * 100, 6) AS osc FROM feat""")
@@ -56,10 +62,16 @@ def osc_abs(spark, sf_dir):
     return B.feat(spark, sf_dir).select("source_file", "source_row", F.round(M.step_absolute(F.col("exit_peak"), F.col("entry_peak")), 6).alias("osc"))
 
 
-@query(f"""WITH {B.FEAT} SELECT source_file, source_row, round(step - base, 6) AS spike, round(duration + 1 - duration, 6) AS length FROM feat""")
+@query(f"""WITH {B.FEAT} SELECT source_file, source_row, round(cluster * 2 - duration, 6) AS length, round((step - base) / nullif((step + base) / 2, 0) * 100, 6) AS osc,
+ round(entry_peak - exit_peak, 6) + 0.0 AS entry_spike, round(exit_peak - entry_peak, 6) + 0.0 AS exit_spike FROM feat""")
 def derived_measures(spark, sf_dir):
     f = B.feat(spark, sf_dir)
-    return f.select("source_file", "source_row", F.round(M.spike(F.col("base"), F.col("step")), 6).alias("spike"), F.round(F.col("duration") + 1 - F.col("duration"), 6).alias("length"))
+    events = f.select(
+        "source_file", "source_row", F.col("duration").alias("event_start"), (F.col("cluster") * 2).alias("event_end"), F.col("base").alias("optical_base"), F.col("step").alias("optical_rise"),
+        F.col("step").alias("opticalre_base"), F.col("base").alias("opticalre_rise"), F.col("exit_peak").alias("entry_base"), "entry_peak", F.col("entry_peak").alias("exit_base"), "exit_peak",
+    )
+    out = M.derived_measures(events, "tagger")
+    return out.select("source_file", "source_row", F.round("duration", 6).alias("length"), F.round("OSC", 6).alias("osc"), (F.round("entry spike", 6) + 0.0).alias("entry_spike"), (F.round("exit spike", 6) + 0.0).alias("exit_spike"))
 
 
 @query(f"""WITH {B.FEAT}, c AS (SELECT source_file, count(CASE WHEN duration > 49 AND source_file = 'A' THEN entry_peak END) AS made, count(duration) AS given FROM feat GROUP BY 1)
@@ -80,7 +92,7 @@ def derived_precedence(spark, sf_dir):
 def fill_spikes(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
     peak = F.when(F.col("l_linenumber") != 2, F.col("l_tax").cast("string")).otherwise("n/a")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.numeric(peak) - C.numeric(F.col("l_discount")), 6).alias("entry_spike"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(M.filled_spike(F.col("l_discount"), peak), 6).alias("entry_spike"))
 
 
 def _landmarks(spark, sf_dir):
@@ -151,29 +163,42 @@ def drop_empty_columns(spark, sf_dir):
     return C.drop_empty_columns(li, ["l_quantity", "never", "l_tax"])
 
 
-@query("""WITH n AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS r, * FROM lineitem WHERE l_linenumber % 2 = 1 AND l_orderkey < 500)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, r AS event_id, upper(s_name) || '.ABF' AS file_name, '' AS notes FROM n JOIN supplier ON l_suppkey = s_suppkey
-UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_orderkey, 'own', '' FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey < 500""")
-def to_legacy(spark, sf_dir):
-    from corvane.operators.events import to_legacy as export
+_EXPORT = """SELECT {columns} FROM (SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN row_number() OVER (PARTITION BY l_linenumber % 2 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) ELSE l_orderkey END AS event_id,
+  CASE WHEN l_linenumber % 2 = 1 THEN upper(s_name) || '.ABF' ELSE 'own' END AS file_name, l_extendedprice * (1 - l_discount) AS step, CASE WHEN l_linenumber <> 3 THEN l_tax END AS exit_base FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+_EXPORT_HEAD = """event_id, file_name, '' AS sensor, l_returnflag AS analytes, '' AS solution, l_quantity AS "event_start (s)", l_quantity + l_linenumber AS "event_end (s)", '' AS notes, l_extendedprice AS "Base (V)", step AS "Step (V)",
+  l_tax AS "RefBase (V)", l_discount AS "RefStep (V)", l_discount AS "entry Base (pA)", l_tax AS "entry Peak (pA)", l_discount + 2 AS "exit Peak (pA)", exit_base AS "exit Base (pA)",
+  CASE WHEN l_linenumber = 4 THEN 7.5 ELSE round(l_quantity + l_linenumber - l_quantity, 6) END AS duration"""
+_EXPORT_TAIL = """round(l_tax - l_discount, 6) + 0.0 AS "entry spike", round(l_discount + 2 - exit_base, 6) AS "exit spike", l_quantity + 0.5 AS event_plateau, NULL::DOUBLE AS entry_base_t, NULL::DOUBLE AS entry_peak_t, NULL::DOUBLE AS exit_peak_t, l_quantity AS exit_base_t"""
+_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
-    li = B.table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
-    even = F.col("l_linenumber") % 2 == 0
-    events = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_suppkey").alias("rec_id"), F.when(even, F.col("l_orderkey")).alias("event_id"), F.when(even, "own").alias("file_name"), F.lit(None).cast("string").alias("notes"))
-    return export(events, B.rec(spark, sf_dir), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]).drop("rec_id")
 
+def _export_events(spark, sf_dir):
+    li = B.table(spark, sf_dir, "lineitem")
+    even, q, d = F.col("l_linenumber") % 2 == 0, F.col("l_quantity"), F.col("l_discount")
+    return li.select(
+        *_ORDER, F.col("l_suppkey").alias("rec_id"), F.when(even, F.col("l_orderkey")).alias("event_id"), F.when(even, "own").alias("file_name"), F.col("l_returnflag").alias("analytes"),
+        q.alias("event_start"), (q + F.col("l_linenumber")).alias("event_end"), (q + 0.5).alias("event_plateau"), F.col("l_extendedprice").alias("optical_base"), (F.col("l_extendedprice") * (1 - d)).alias("optical_rise"),
+        F.col("l_tax").alias("opticalre_base"), d.alias("opticalre_rise"), d.alias("entry_base"), F.col("l_tax").alias("entry_peak"), (d + 2).alias("exit_peak"), F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("exit_base"),
+        q.alias("exit_base_t"), q.alias("window_end"), F.when(F.col("l_linenumber") == 4, F.create_map(F.lit("duration"), F.lit(7.5))).alias("derived"),
+    )
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS event_start, l_quantity + 1 AS event_plateau, l_quantity + 1 AS event_plateau_t FROM lineitem""")
-def to_predicted(spark, sf_dir):
-    from corvane.operators.events import to_predicted as export
 
-    li = B.table(spark, sf_dir, "lineitem")
-    events = li.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("event_start"), (F.col("l_quantity") + 1).alias("event_plateau"))
-    return export(events, ["l_orderkey", "l_linenumber", "l_partkey", "event_start", "event_plateau"])
+def _rounded(df):
+    return df.withColumns({c: F.round(f"`{c}`", 6) + 0.0 for c in C.DERIVED})
+
+
+@query(_EXPORT.format(columns=_EXPORT_HEAD + """, round((step - l_extendedprice) / nullif((step + l_extendedprice) / 2, 0) * 100, 6) + 0.0 AS "OSC", round((l_discount - l_tax) / nullif((l_discount + l_tax) / 2, 0) * 100, 6) + 0.0 AS "RefOSC", """ + _EXPORT_TAIL + ", NULL::DOUBLE AS window_start, l_quantity AS window_end"))
+def to_legacy(spark, sf_dir):
+    return _rounded(E.to_legacy(_export_events(spark, sf_dir), B.rec(spark, sf_dir), _ORDER))
+
+
+@query(_EXPORT.format(columns=_EXPORT_HEAD + """, CASE WHEN step + l_extendedprice = 0 THEN 0 ELSE round(abs((step - l_extendedprice) / ((step + l_extendedprice) / 2) * 100), 6) END AS "OSC", CASE WHEN l_discount + l_tax = 0 THEN 0 ELSE round(abs((l_discount - l_tax) / nullif((l_discount + l_tax) / 2, 0) * 100), 6) END AS "RefOSC", l_quantity + 0.5 AS event_plateau_t, """ + _EXPORT_TAIL))
+def to_predicted(spark, sf_dir):
+    return _rounded(E.to_predicted(_export_events(spark, sf_dir), B.rec(spark, sf_dir), _ORDER))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '2026_09_14 B3S8-15 100 aM SiO2' WHEN 1 THEN '2026_09_14 ' || c_name ELSE c_name END AS experiment,
- CASE c_custkey % 3 WHEN 0 THEN 'AC-AOM' WHEN 1 THEN 'baseline' ELSE '' END AS condition, CASE c_custkey % 3 WHEN 2 THEN '' ELSE lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0') END AS run FROM customer""")
+ CASE c_custkey % 3 WHEN 0 THEN 'AC-AOM' WHEN 1 THEN 'baseline' ELSE '' END AS condition, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0') END AS run FROM customer""")
 def parse_file_name(spark, sf_dir):
     n = F.col("c_custkey")
     run = F.lpad((n % 1000).cast("string"), 4, "0")
@@ -194,9 +219,9 @@ def name_key(spark, sf_dir):
     return B.table(spark, sf_dir, "supplier").select("s_suppkey", N.name_key(path).alias("name_key"), N.stem(path).alias("stem"))
 
 
-@query("""SELECT doc_id, nfc_normalize(replace(replace(left(text, 40), 'ﬁ', 'fi'), '²', '2')) AS folded FROM documents""")
+@query("""SELECT doc_id, nfc_normalize(replace(replace(text, 'ﬁ', 'fi'), '²', '2')) AS folded FROM documents""")
 def nfkc(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", N.nfkc(F.substring("text", 1, 40)).alias("folded"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", N.nfkc(F.col("text")).alias("folded"))
 
 
 @query("""SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 60), ''), 'page') AS slug FROM pages""")
@@ -282,12 +307,15 @@ def failure_notes(spark, sf_dir):
     return B.table(spark, sf_dir, "lineitem").groupBy(F.coalesce(note, F.lit("ok")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {B.FEAT} SELECT source_file, source_row, duration, cluster, duration > 40 AS excluded FROM feat WHERE source_file = 'A' AND source_row = (SELECT min(source_row) FROM feat WHERE source_file = 'A' AND duration > 40)")
+@query(f"""WITH {B.FEAT}, k AS (SELECT min(CASE WHEN duration > 40 THEN source_row END) AS a, min(CASE WHEN duration <= 40 THEN source_row END) AS b FROM feat WHERE source_file = 'A')
+SELECT source_file, source_row, duration, cluster, duration > 40 AS excluded FROM feat, k WHERE source_file = 'A' AND source_row IN (a, b) AND duration IS NOT NULL""")
 def inspect_event(spark, sf_dir):
+    """One excluded row and one that is not."""
     f = B.feat(spark, sf_dir).select("source_file", "source_row", "duration", "cluster")
-    row = f.where("source_file = 'A' and duration > 40").agg(F.min("source_row").alias("m")).first()["m"]
-    excluded = f.where("duration > 40")
-    return X.inspect_event(f, excluded, {"source_file": "A", "source_row": row}).withColumn("excluded", F.col("duration") > 40)
+    low = F.min(F.when(F.col("duration") > 40, F.col("source_row"))), F.min(F.when(F.col("duration") <= 40, F.col("source_row")))
+    rows = f.where("source_file = 'A'").agg(*low).first()
+    found = [X.inspect_event(f, f.where("duration > 40"), {"source_file": "A", "source_row": r}) for r in rows]
+    return found[0].unionByName(found[1])
 
 
 @query("SELECT o_orderkey, o_totalprice AS duration FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 200000")

@@ -20,7 +20,7 @@ def _refs(spark, sf_dir):
     num = F.lpad(n.cast("string"), 9, "0")
     name = F.when(n % 10 == 3, F.concat(F.lit("unknown_"), num)).when(n % 10 == 4, F.lit("")).otherwise(F.concat(F.lit("C:\\data\\supplier__"), num, F.lit(".ABF")))
     ref = li.select("l_orderkey", "l_linenumber", "l_partkey", name.alias("ref"))
-    return ref.withColumn("key", N.name_key(F.col("ref")))
+    return N.with_name_key(ref, "ref", "key")
 
 
 def _keyed_rec(spark, sf_dir):
@@ -236,14 +236,13 @@ def set_revisions(spark, sf_dir):
     return H.set_revisions(rows)
 
 
-@query("""WITH f AS (SELECT conv_id AS event, turn AS tt, role, unnest([0, 1]) AS j, CASE WHEN turn % 3 <> 2 THEN CAST(length(text) AS VARCHAR) END AS val FROM conversations),
-last AS (SELECT event, max(tt) AS tt FROM f WHERE j = 0 GROUP BY 1)
-SELECT c.event, c.version, coalesce(gone > coalesce(made, -1), FALSE) AS deleted, val AS size FROM (SELECT conv_id AS event, count(*) AS version, max(CASE WHEN role = 'system' THEN turn END) AS gone, max(CASE WHEN role <> 'system' THEN turn END) AS made FROM conversations GROUP BY 1) c
-JOIN last ON last.event = c.event JOIN f ON f.event = c.event AND f.tt = last.tt AND f.j = 0""")
+@query("""WITH g AS (SELECT conv_id AS event, min(CASE WHEN role = 'user' AND turn > 1 THEN turn END) AS gone FROM conversations GROUP BY 1),
+f AS (SELECT c.conv_id AS event, turn, gone, CASE WHEN turn % 3 <> 2 THEN CAST(length(text) AS VARCHAR) END AS val FROM conversations c JOIN g ON g.event = c.conv_id WHERE gone IS NULL OR turn <= gone)
+SELECT event, count(*) AS version, bool_or(gone IS NOT NULL) AS deleted, (list(val ORDER BY turn DESC))[1] AS size FROM f GROUP BY 1""")
 def fold_history(spark, sf_dir):
     log = B.log(spark, sf_dir)
     value = F.when(F.col("at") % 3 != 2, F.col("size").cast("string"))
-    rows = log.select("event", "at", F.when(F.col("role") == "system", "delete").otherwise("update").alias("action"), F.create_map(F.lit("size"), value, F.col("role"), value).alias("changes"))
+    rows = log.select("event", "at", F.when((F.col("role") == "user") & (F.col("at") > 1), "delete").otherwise("update").alias("action"), F.create_map(F.lit("size"), value, F.col("role"), value).alias("changes"))
     return H.fold_history(rows).select("event", "version", "deleted", F.col("state")["size"].alias("size"))
 
 

@@ -104,9 +104,8 @@ def read_int16(data: bytes) -> tuple[np.ndarray, float]:
     return raw * scales + offsets, float(head[2])
 
 
-def decode_recordings(spark: SparkSession, root: str, decoder: Callable = read_int16, chunk: int = 131_072, pattern: str = "*.rec") -> DataFrame:
-    """signal_chunks (file, channel, chunk_idx, i0, fs, values) of all recordings, decoded in parallel."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+def decode_contents(files: DataFrame, decoder: Callable = read_int16, chunk: int = 131_072) -> DataFrame:
+    """signal_chunks (file, channel, chunk_idx, i0, fs, values) of recordings (path, content)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,6 +118,11 @@ def decode_recordings(spark: SparkSession, root: str, decoder: Callable = read_i
     return files.select("path", "content").mapInPandas(decode, "file string, channel int, chunk_idx long, i0 long, fs double, values array<float>")
 
 
+def decode_recordings(spark: SparkSession, root: str, decoder: Callable = read_int16, chunk: int = 131_072, pattern: str = "*.rec") -> DataFrame:
+    """The chunks of all recordings under a folder, decoded in parallel, a file a row."""
+    return decode_contents(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root), decoder, chunk)
+
+
 def write_results(tables: dict[str, DataFrame], root: str, form: str = "parquet") -> None:
     """Each table under its name, with a header where the form has one."""
     for name, df in tables.items():

@@ -16,7 +16,10 @@ from corvane.operators.history import EDIT_SCHEMA, apply_edits_stream
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared one that the cluster names; local only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="corvane-")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -39,8 +42,12 @@ def stream_envelope(samples: DataFrame, width: str, late: str, time: str = "ts",
     return samples.withWatermark(time, late).groupBy(F.window(time, width), channel).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"), F.count(F.lit(1)).alias("n")).select(channel, F.col("window.start").alias("bin"), "vmin", "vmax", "n")
 
 
-def stream_import(stream: DataFrame, known_path: str, key: str) -> None:
-    """Append rows with keys that the table does not have yet; a repeated run adds nothing."""
+def stream_import(stream: DataFrame, known_path: str, key: str, state_path: str | None = None) -> None:
+    """Append rows with keys that the table does not have yet; a repeated run adds nothing.
+
+    state_path: the folder that remembers which files were read, so that a later run goes on with
+    new ones only; by default one beside the table.
+    """
     spark = stream.sparkSession
     schema = stream.schema
 
@@ -48,7 +55,7 @@ def stream_import(stream: DataFrame, known_path: str, key: str) -> None:
         known = spark.read.schema(schema).parquet(known_path).select(key).distinct()
         batch.dropDuplicates([key]).join(known, key, "left_anti").select(*schema.names).write.mode("append").parquet(known_path)
 
-    query = stream.writeStream.foreachBatch(add).trigger(availableNow=True).option("checkpointLocation", _scratch(spark)).start()
+    query = stream.writeStream.foreachBatch(add).trigger(availableNow=True).option("checkpointLocation", state_path or f"{known_path.rstrip('/')}-state").start()
     query.awaitTermination()
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions import columns as C
 from corvane.functions import dsp
@@ -94,9 +95,50 @@ def test_legacy_numbers_without_one_task(spark):
     from corvane.operators.events import to_legacy
 
     rows = [(i * 7919 % 5003, None if i % 3 else 900 + i) for i in range(5003)]
-    events = spark.createDataFrame([(k, e, 1, None, None) for k, e in rows], "k long, event_id long, rec_id long, file_name string, notes string")
+    events = spark.createDataFrame([(k, e, 1, float(k)) for k, e in rows], "k long, event_id long, rec_id long, event_start double")
     out = to_legacy(events, spark.createDataFrame([(1, "a.abf")], "rec_id long, file_name string"), ["k"])
-    got = {r["k"]: r["event_id"] for r in out.collect()}
+    got = {int(r["event_start (s)"]): r["event_id"] for r in out.collect()}
     free = sorted(k for k, e in rows if e is None)
     assert got == {k: e for k, e in rows if e is not None} | {k: n for n, k in enumerate(free, 1)}
+    assert len(out.columns) == 28 and {(r["file_name"], r["sensor"]) for r in out.select("file_name", "sensor").distinct().collect()} == {("a.abf", "")}
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
+def test_names_and_conditions(spark):
+    from corvane.functions import names as N
+
+    names = ["2026_09_14_0001 B3S8-15\u00a0100 aM  SiO2 DC.abf", "C:\\d\\2026_09_14_00012 S1 v1.5 AC_AOM.fakeabf.npz", "x\u3000Y__z.XLSX", "S1 v1.5", "", None, "AC"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i long, file string")
+    rows = N.with_name_key(N.parse_file_name(df, "file"), "file", "key").orderBy("i").collect()
+    assert [(r["experiment"], r["condition"], r["run"]) for r in rows] == [
+        ("2026_09_14 B3S8-15 100 aM SiO2", "DC", "0001"),
+        ("2026_09_14 S1 v1.5", "AC-AOM", "00012"),
+        ("x Y__z", "", None),
+        ("S1 v1.5", "", None),
+        ("Unnamed experiment", "", None),
+        ("Unnamed experiment", "", None),
+        ("AC", "", None),
+    ]
+    assert [r["key"] for r in rows] == ["2026 09 14 0001 b3s8-15 100 am sio2 dc", "2026 09 14 00012 s1 v1.5 ac aom", "x y z", "s1 v1.5", "", "", "ac"]
+    words = spark.createDataFrame([("ACAOM",), (" ac - aom",), ("Baseline",), (None,), ("dc",)], "w string")
+    assert [r[0] for r in words.select(N.normalize_condition(F.col("w"))).collect()] == ["AC-AOM", "AC-AOM", "baseline", "", "DC"]
+    keys = spark.createDataFrame([("/d/X  DC.abf",), ("a.tar.gz",), (".hid",), (None,)], "p string").select(N.strict_key(F.col("p"))).collect()
+    assert [r[0] for r in keys] == ["x  dc", "a.tar", ".hid", ""]
+
+
+def test_deleted_events_stay_deleted(spark):
+    from corvane.operators.history import fold_history
+
+    log = [(1, 1, "create", {"a": "1"}), (1, 2, "delete", {}), (1, 3, "update", {"a": "2"}), (2, 1, "create", {"a": "1"}), (2, 5, "update", {"a": None})]
+    got = {r["event"]: (r["version"], r["deleted"], r["state"]) for r in fold_history(spark.createDataFrame(log, "event long, at long, action string, changes map<string,string>")).collect()}
+    assert got == {1: (2, True, {"a": "1"}), 2: (2, False, {"a": None})}
+
+
+def test_conditions_with_null(spark):
+    from corvane.operators.mixture import cluster_by_condition
+
+    rng = np.random.default_rng(3)
+    rows = [(c, float(x), float(x * 2)) for c in ("a", None) for x in rng.normal(1e6, 1, 40)]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+    out = cluster_by_condition(df, "c", ["x"], max_k=2, n_init=1, n_boot=1)
+    assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("a", 40), (None, 40)}
