@@ -32,9 +32,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    named = docs.select(*[F.col(c).alias(f"doc_{c}") for c in docs.columns])
+    named = docs.select(*[F.col(f"`{c}`").alias(f"doc_{c}") for c in docs.columns])
     judged = quality.quality_filter(named, labels, id_col="doc_doc_id", text_col="doc_text", stratum_col="doc_lang", reread=True, keep=named.columns)
-    return judged.where("kept").select(*[F.col(f"doc_{c}").alias(c) for c in docs.columns])
+    return judged.where("kept").select(*[F.col(f"`doc_{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each found secret replaced by the mark; n_chars follows the new text."""
-    others = [c for c in docs.columns if c != "text"]
-    marked = secrets.scan_secrets(docs, keep=others, mark=SECRET_MARK)
-    changed = F.size("secrets") > 0
-    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return marked.withColumn("n_chars", n_chars).select(docs.columns)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"doc_{c}") for c in docs.columns])
+    marked = secrets.scan_secrets(named, text_col="doc_text", keep=[c for c in named.columns if c != "doc_text"], mark=SECRET_MARK)
+    n_chars = F.when(F.size("secrets") > 0, F.length("doc_text").cast("long")).otherwise(F.col("doc_n_chars"))
+    marked = marked.withColumn("doc_n_chars", n_chars)
+    return marked.select(*[F.col(f"`doc_{c}`").alias(c) for c in docs.columns])
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
