@@ -117,12 +117,17 @@ def _least_hashes(source: DataFrame, length: int) -> DataFrame:
     return source.select("_text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least")
 
 
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the filter. Least hashes are small numbers, so they are mixed once more."""
+    return S.mix(hashes) >> np.uint64(64 - bits)
+
+
 def _filter_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the hashes' highest bits; its size does not follow the data."""
+    """A bitmap of the hashes' slots; its size is bounded, whatever the data."""
     block = min(1 << 13, (1 << bits) // 8)
 
     def run(batches):
-        values = [b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits) for b in batches]
+        values = [_slots(b.column(0).to_numpy().view(np.uint64), bits) for b in batches]
         slot = np.unique(np.concatenate(values)) if values else np.zeros(0, np.uint64)
         mask = (np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
         at = (slot >> np.uint64(3)).astype(np.int64)
@@ -150,7 +155,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits_for(n: int) -> int:
-    return max(16, min(MOST_BITS.bit_length() - 1, int(n * 64).bit_length()))
+    return max(16, min(MOST_BITS.bit_length() - 1, int(n * 32).bit_length()))
 
 
 COUNTED = "sid binary, least long, windows long"
@@ -167,7 +172,6 @@ def _digest(*parts: bytes) -> bytes:
 
 def _repeated_stretches(source: DataFrame, marks, bits: int, length: int, what: str) -> DataFrame:
     """Stretches whose least hash passes a broadcast filter of hashes: COUNTED, PLACED or WITH_BYTES."""
-    shift = np.uint64(64 - bits)
     names = [x.split()[0] for x in what.split(", ")]
 
     def run(batches):
@@ -176,7 +180,7 @@ def _repeated_stretches(source: DataFrame, marks, bits: int, length: int, what:
             for batch in S.text_slices(whole, 2):
                 data, ends = S.raw_texts(batch.column(2))
                 first, n, least = stretches(data, ends, length)
-                slot = least >> shift
+                slot = _slots(least, bits)
                 hit = (known[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1
                 first, n, least = first[hit], n[hit], least[hit]
                 raw = data.tobytes()
