@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import col
+from corvane.llm.shared import col, put_back, set_apart
 
 #: Kinds in the order that breaks ties of start; the first three come from patterns alone.
 KINDS = ["assign", "access", "hex", "pem", "key", "ssh", "jwt"]
@@ -31,8 +31,17 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "key")
 _BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_BLOB = re.compile(r"[0-9A-Fa-f]{60,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: Line breaks, also as JSON or source code writes them, and header lines of an armoured key.
+_BREAK = re.compile(r"(?:\\r|\\n|\r|\n)+")
+_HEADER = re.compile(r"[A-Za-z0-9-]+:")
+#: Where encoded private keys begin inside longer runs: a sequence header, then version 0 or 1.
+_BLOB_START = re.compile(r"MI[GHIJK]|MC|MH|ME")
+_HEX_START = re.compile(r"(?i)30(?:81[0-9a-f]{2}|82[0-9a-f]{4}|[0-7][0-9a-f])0201(?:00|01)")
+#: A block of base64 lines without armour.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+#: A token begins where a run of its letters does.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 _INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
@@ -90,6 +99,58 @@ def is_private_key(data: bytes | None) -> bool:
     return len(tags) >= 2 and fields[0][1] == b"\1" and tags[1] == _OCTETS and 16 <= len(fields[1][1]) <= 80
 
 
+def is_locked_key(data: bytes | None) -> bool:
+    """Whether bytes are one DER sequence of an algorithm and an octet string, as encrypted keys are."""
+    outer = der_items(data) if data else None
+    fields = der_items(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == _SEQUENCE else None
+    if not fields or [tag for tag, _ in fields] != [_SEQUENCE, _OCTETS]:
+        return False
+    algorithm = der_items(fields[0][1])
+    return bool(algorithm) and algorithm[0][0] == _OID and len(fields[1][1]) >= 16
+
+
+def _der_length(head: bytes) -> int | None:
+    """Bytes of the private key that begins with these bytes, if they can be the begin of one."""
+    if len(head) < 2 or head[0] != _SEQUENCE:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 2 or head[2 + n : 4 + n] != b"\x02\x01" or head[4 + n : 5 + n] not in (b"\0", b"\1"):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _keys_in_blob(blob: str) -> list[tuple[str, int, int]]:
+    """Keys in a run of base64 letters: the whole run, or what begins inside it and ends by its own length."""
+    data = decode_base64(blob)
+    if is_private_key(data):
+        return [("key", 0, len(blob))]
+    if is_ssh_key(data):
+        return [("ssh", 0, len(blob))]
+    found = []
+    for m in _BLOB_START.finditer(blob):
+        at = m.start()
+        size = _der_length(decode_base64(blob[at : at + 12]) or b"")
+        stop = at + -(-size * 4 // 3) if size else 0
+        if at < stop <= len(blob.rstrip("=")) and is_private_key(decode_base64(blob[at:stop])):
+            found.append(("key", at, stop))
+    return found
+
+
+def _pem_spans(text: str) -> list[tuple[str, int, int]]:
+    """Armoured keys whose body holds a key's structure; breaks may be escaped, header lines may come first."""
+    found, begin = [], None
+    for m in _PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None and begin[2] == m[2]:
+            lines = [x.strip() for x in _BREAK.split(text[begin.end() : m.start()])]
+            data = decode_base64("".join("".join(x.split()) for x in lines if not _HEADER.match(x)))
+            if is_private_key(data) or is_ssh_key(data) or (m[2].startswith("ENCRYPTED") and is_locked_key(data)):
+                found.append(("pem", begin.start(), m.end()))
+            begin = None
+    return found
+
+
 def is_ssh_key(data: bytes | None) -> bool:
     """Whether bytes are an SSH private key: its magic, then length-prefixed fields to the end."""
     magic = b"openssh-key-v1\0"
@@ -134,20 +195,19 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            data = decode_base64("".join(m[2].split()))
-            if is_private_key(data) or is_ssh_key(data):
-                found.append(("pem", m.start(), m.end()))
+    armoured = _pem_spans(text) if "PRIVATE KEY-----" in text else []
+    found += armoured
     for m in _BLOB.finditer(text):
-        data = decode_base64(m[0])
-        if is_private_key(data):
+        found += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys_in_blob(m[0])]
+    for m in _LINES.finditer(text):
+        if not any(a <= m.start() < b for _, a, b in armoured) and is_private_key(decode_base64("".join(m[0].split()))):
             found.append(("key", m.start(), m.end()))
-        elif is_ssh_key(data):
-            found.append(("ssh", m.start(), m.end()))
     for m in _HEX_BLOB.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] == "30" and is_private_key(bytes.fromhex(m[0])):
-            found.append(("key", m.start(), m.end()))
+        for start in _HEX_START.finditer(m[0]):
+            size = _der_length(bytes.fromhex(start[0]))
+            stop = start.start() + 2 * (size or 0)
+            if size and stop <= len(m[0]) and is_private_key(bytes.fromhex(m[0][start.start() : stop])):
+                found.append(("key", m.start() + start.start(), m.start() + stop))
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     order = {k: i for i, k in enumerate(KINDS)}
@@ -173,15 +233,16 @@ def redact(text: str | None, spans, mark: str) -> str | None:
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, mark: str | None = None) -> DataFrame:
     """Add secrets, an array of (kind, start, end), for each whole text; no shuffle.
 
-    A null text counts as empty and has none. With mark, the text column is kept and each found
-    stretch in it is replaced by the mark; otherwise only the keep columns (by default all but
-    the text) stay. An input column named secrets is replaced.
+    A null or empty text has none; repeated rows stay; the time for a text grows with its length. With
+    mark, the text column is kept and each found stretch in it is replaced by the mark; otherwise only
+    the keep columns (by default all but the text) stay. An input column named secrets is replaced;
+    others may have any names.
     """
     with_text = mark is not None
-    kept = [c for c in (keep if keep is not None else docs.columns) if c != "secrets" and c != text_col]
-    source = docs.select(*[col(c) for c in kept], col(text_col).alias("_text"))
-    names = [*kept, *([text_col] if with_text else []), "secrets"]
-    fields = source.schema.fields[:-1] + ([T.StructField(text_col, T.StringType())] if with_text else [])
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() != "secrets" and c != text_col]
+    source = docs.select(*set_apart(kept), col(text_col).alias("_text"))
+    names = [*source.columns[:-1], *(["_text"] if with_text else []), "secrets"]
+    fields = source.schema.fields[:-1] + ([T.StructField("_text", T.StringType())] if with_text else [])
     schema = T.StructType([*fields, T.StructField("secrets", SPANS)])
 
     def run(batches):
@@ -196,7 +257,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                 arrays.append(pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], _ARROW_SPANS))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return source.mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema)
+    return found.select(*put_back(kept), *([F.col("_text").alias(text_col)] if with_text else []), "secrets")
 
 
 def spans_text(spans: Column) -> Column:
