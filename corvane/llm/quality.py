@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import SPACES, col, cut
+from corvane.llm.shared import SPACES, col, cut, put_back, set_apart
 
 #: Signals: numerator, denominator and the grid's end; the grid has CUTOFFS equal steps.
 SIGNALS = {
@@ -36,12 +36,13 @@ def _size(x: Column) -> Column:
     return F.size(x).cast("long")
 
 
-def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def text_counts(docs: DataFrame, text_col: str = "text", window_hash: str = "xxhash64({0})") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long).
 
     Nulls count as empty texts. Words in repeated 3-word windows are found by sorting, within the
     row, longs that hold a window's hash (high bits) and its place (low bits, as many as the text
-    needs); windows that occur again are neighbours then.
+    needs); windows that occur again are neighbours then, and neighbours are compared word by word.
+    A text in which unlike windows share a hash has its windows sorted by their words instead.
     """
     text = F.coalesce(col(text_col), F.lit(""))
     df = docs.withColumns(
@@ -55,10 +56,20 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_words", _size(F.col("_words"))).withColumn("n_lines", _size(F.col("_lines")))
     df = df.withColumn("n_dup_lines", F.col("n_lines") - _size(F.array_distinct("_lines"))).drop("_lines")
     df = df.withColumn("_low", F.expr("shiftleft(1L, length(bin(n_words))) - 1"))
-    place = F.expr("transform(_words, (w, i) -> (xxhash64(w, get(_words, i + 1), get(_words, i + 2)) & ~_low) | i)")
-    df = df.withColumn("_marks", F.sort_array(F.slice(place, 1, F.greatest(F.size("_words") - 2, F.lit(0))))).drop("_words")
-    again = "filter(_marks, (x, i) -> coalesce((x ^ get(_marks, i - 1)) & ~_low = 0, false) or coalesce((x ^ get(_marks, i + 1)) & ~_low = 0, false))"
-    df = df.withColumn("_at", F.expr(f"sort_array(transform({again}, x -> x & _low))")).drop("_marks", "_low")
+    hashed = window_hash.format("w, get(_words, i + 1), get(_words, i + 2)")
+    place = F.expr(f"transform(_words, (w, i) -> ({hashed} & ~_low) | i)")
+    df = df.withColumn("_marks", F.sort_array(F.slice(place, 1, F.greatest(F.size("_words") - 2, F.lit(0)))))
+    near = "coalesce((x ^ get(_marks, i {0} 1)) & ~_low = 0, false)"
+    word = lambda x, k: f"get(_words, cast({x} & _low as int) + {k})"
+    unlike = " or ".join(f"{word('x', k)} <> {word('get(_marks, i + 1)', k)}" for k in range(3))
+    clash = f"exists(transform(_marks, (x, i) -> {near.format('+')} and ({unlike})), v -> v)"
+    again = f"filter(_marks, (x, i) -> {near.format('-')} or {near.format('+')})"
+    windows = "sort_array(slice(transform(_words, (w, i) -> struct(struct(w, get(_words, i + 1), get(_words, i + 2)) as w, cast(i as bigint) as i)), 1, greatest(size(_words) - 2, 0)))"
+    by_words = "transform(filter({0}, (x, i) -> coalesce(x.w = get({0}, i - 1).w, false) or coalesce(x.w = get({0}, i + 1).w, false)), x -> x.i)"
+    df = df.withColumn("_clash", F.expr(clash))
+    df = df.withColumn("_sorted", F.expr(f"case when _clash then {windows} end"))
+    df = df.withColumn("_at", F.expr(f"sort_array(case when _clash then {by_words.format('_sorted')} else transform({again}, x -> x & _low) end)"))
+    df = df.drop("_words", "_marks", "_low", "_sorted", "_clash")
     covered = "aggregate(transform(_at, (p, i) -> least(3L, coalesce(get(_at, i + 1) - p, 3L))), 0L, (s, x) -> s + x)"
     # Not a constant expression to the optimizer, so filters stay above and nothing is counted twice.
     return df.withColumn("n_repeat_words", F.expr(covered) + 0 * F.spark_partition_id()).drop("_at")
@@ -136,6 +147,8 @@ def quality_filter(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
+    label_id_col: str = "doc_id",
+    label_col: str = "quality",
     keep: list[str] | None = None,
     false_rejection: float = 0.02,
     error: float = 0.05,
@@ -148,20 +161,23 @@ def quality_filter(
     not base_failed, and no signal above its cutoff in the stratum's proven joint rule; strata with
     too few labels to prove one take the rule that all labels together prove. labels (id, quality): a
     document is a good one if all its labels say 1; null labels and unknown ids do not count. A
-    null stratum is a stratum. Repeated rows are judged alike; input columns with the names of new
-    ones are replaced. The texts are read once and the kept columns and counts go through a
+    null stratum is a stratum of its own, apart from the blank one. Null and empty texts fail the base
+    rules. Repeated rows are judged alike; input columns with the names of new ones are replaced, others
+    may have any names. The texts are read once and the kept columns and counts go through a
     checkpoint; with reread they are counted twice instead, for when texts are to be kept. The
     cutoffs, a row a stratum, are broadcast up to max_strata.
     """
     new = [*COUNTS, "base_failed", "kept"]
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in new and not c.startswith("_")]
-    source = docs.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(kept)], col(id_col).alias("_id"), F.coalesce(col(stratum_col), F.lit("")).alias("_stratum"), col(text_col).alias("_text"))
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in new]
+    stratum = F.coalesce(F.concat(F.lit("="), col(stratum_col).cast("string")), F.lit("null"))
+    source = docs.select(*set_apart(kept), col(id_col).alias("_id"), stratum.alias("_stratum"), col(text_col).alias("_text"))
     counts = text_counts(source, "_text").drop("_text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed)
     counts = counts if reread else cut(counts)
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good")).where("_good = 1")
-    labelled = counts.where("not base_failed").join(good, counts["_id"] == good["doc_id"], "left_semi")
+    named = labels.select(col(label_id_col).alias("_label_id"), col(label_col).alias("_label")).where("_label_id is not null and _label is not null")
+    good = named.groupBy("_label_id").agg(F.min("_label").alias("_good")).where("_good = 1")
+    labelled = counts.where("not base_failed").join(good, F.col("_id") == F.col("_label_id"), "left_semi")
     cutoffs = cut(joint_cutoffs(labelled, false_rejection, error))
     pool = cutoffs.where("_stratum is null").first()
     own = cutoffs.where("_stratum is not null").withColumn("_own", F.lit(True))
@@ -172,4 +188,4 @@ def quality_filter(
         cutoff = F.when(F.col("_own"), F.col(f"cut_{s}")).otherwise(F.lit(pool[f"cut_{s}"]).cast("double"))
         rejected = rejected | F.coalesce(_ratio(s) > cutoff, F.lit(False))
     judged = counts.join(own, "_stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *new)
+    return judged.select(*put_back(kept), *new)
