@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import ascii_lower, col
+from corvane.llm.shared import ascii_lower, col, put_back, set_apart
 
 #: Words of 64 bits in a row of the filter table, and bits set for a key in its one word.
 SEGMENT, PROBES = 4096, 5
@@ -80,35 +80,31 @@ def filter_urls(
     longest rule decides; without a rule, a listed URL is blocked and any other allowed. A null
     URL, or one without ://, has empty host and path, no rule, and is allowed.
 
-    The Bloom filter is broadcast; its size follows the listed URLs and is held under
-    max_filter_bytes by fewer bits a key, down to 4, and beyond that it is left out and the exact
-    join gets every URL. Only possible hits reach the exact join, whose listed side is broadcast
-    up to max_listed_rows. Input columns named host, path, rule or verdict are replaced; page
-    columns may have any other names.
+    The Bloom filter's size follows the listed URLs. Up to max_filter_bytes it is broadcast; beyond
+    that its rows stay partitioned, and each URL meets its own row by a join. Only possible hits reach
+    the exact join, whose listed side is broadcast up to max_listed_rows. Repeated rows and null ids
+    stay; input columns named host, path, rule or verdict are replaced, others may have any names.
     """
     new = ["host", "path", "rule", "verdict"]
-    kept = [c for c in (keep if keep is not None else pages.columns) if c not in new]
+    kept = [c for c in (keep if keep is not None else pages.columns) if c.lower() not in new]
     key = listed.columns[0]
     listed = listed.select(col(key).alias("_listed")).where("_listed is not null").distinct()
     n = listed.count()
     host, path = url_host(col(url_col)), url_path(col(url_col))
-    parts = pages.select(*[col(c) for c in kept], host.alias("host"), path.alias("path"))
+    parts = pages.select(*set_apart(kept), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules, 0)).withColumn("_ruled", fitting_rule(F.col("host"), F.col("path"), rules, 1))
+    n_words = max(SEGMENT, -(-n * bits_per_key // 64))
     parts = parts.withColumn("_canonical", canonical_url(F.col("host"), F.col("path")))
-    bits = bits_per_key
-    while bits > 4 and n * bits > 8 * max_filter_bytes:
-        bits //= 2
-    if n * bits <= 8 * max_filter_bytes:
-        n_words = max(SEGMENT, -(-n * bits // 64))
-        word, mask = _word_and_mask(F.col("_canonical"), n_words)
-        table = F.broadcast(bloom_table(listed, "_listed", n_words))
-        at = parts.withColumn("_word", word).withColumn("segment", F.floor(F.col("_word") / SEGMENT).cast("long"))
-        got = F.get("words", (F.col("_word") % SEGMENT).cast("int"))
-        parts = at.join(table, "segment").withColumn("_maybe", got.bitwiseAND(mask) == mask).drop("segment", "_word", "words")
+    word, mask = _word_and_mask(F.col("_canonical"), n_words)
+    table = bloom_table(listed, "_listed", n_words)
+    held = F.broadcast(table) if n_words * 8 <= max_filter_bytes else table
+    at = parts.withColumn("_word", word).withColumn("segment", F.floor(F.col("_word") / SEGMENT).cast("long"))
+    got = F.get("words", (F.col("_word") % SEGMENT).cast("int"))
+    parts = at.join(held, "segment").withColumn("_maybe", got.bitwiseAND(mask) == mask).drop("segment", "_word", "words")
+    if n <= max_listed_rows:  # what misses the filter has a null key and meets nothing
+        judged = parts.withColumn("_key", F.when(F.col("_maybe"), F.col("_canonical"))).join(F.broadcast(listed), F.col("_key") == F.col("_listed"), "left").withColumn("_hit", F.col("_listed").isNotNull())
     else:
-        parts = parts.withColumn("_maybe", F.lit(True))
-    found = F.broadcast(listed) if n <= max_listed_rows else listed
-    hits = parts.where("_maybe").join(found, F.col("_canonical") == F.col("_listed"), "left").withColumn("_hit", F.col("_listed").isNotNull()).drop("_listed")
-    judged = hits.unionByName(parts.where("not _maybe").withColumn("_hit", F.lit(False)))
+        hits = parts.where("_maybe").join(listed, F.col("_canonical") == F.col("_listed"), "left").withColumn("_hit", F.col("_listed").isNotNull()).drop("_listed")
+        judged = hits.unionByName(parts.where("not _maybe").withColumn("_hit", F.lit(False)))
     verdict = F.coalesce("_ruled", F.when(F.col("_hit"), "block").otherwise("allow"))
-    return judged.select(*[col(c) for c in kept], "host", "path", "rule", verdict.alias("verdict"))
+    return judged.select(*put_back(kept), "host", "path", "rule", verdict.alias("verdict"))
