@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corvane.llm.caching import Memo
+from corvane.llm.shared import col, put_back, set_apart
 from corvane.llm.wordsplit import chunks, words
 
 #: Bounds of a worker's caches, in entries.
@@ -219,14 +220,15 @@ def bpe_encode(docs: DataFrame, tokenizer: bytes | None = None, text_col: str =
     """Encode and decode the whole text of each row: adds ids array<int> and decoded string.
 
     keep: the columns to carry along (by default all but the text). A null text counts as empty
-    and gives no ids and an empty decoded text. Input columns named ids or decoded are replaced.
+    and gives no ids and an empty decoded text. Input columns named ids or decoded are replaced;
+    others may have any names.
     Rows are independent: no shuffle, repeated rows stay, an empty table gives an empty result.
     The vocabulary (about 2 MB, whatever the data's size) is broadcast.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(tokenizer if tokenizer is not None else tokenizer_bytes())
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "decoded") and (keep is not None or c != text_col)]
-    source = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_text"))
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("ids", "decoded") and (keep is not None or c != text_col)]
+    source = docs.select(*set_apart(kept), col(text_col).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
     def run(batches):
@@ -239,14 +241,14 @@ def bpe_encode(docs: DataFrame, tokenizer: bytes | None = None, text_col: str =
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array([x[1] for x in coded], pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*put_back(kept), "ids", "decoded")
 
 
 def bpe_decode(coded: DataFrame, tokenizer: bytes | None = None, ids_col: str = "ids") -> DataFrame:
     """Replace or add decoded: the text of an id array (null ids: empty text)."""
     model = coded.sparkSession.sparkContext.broadcast(tokenizer if tokenizer is not None else tokenizer_bytes())
-    kept = [c for c in coded.columns if c != "decoded"]
-    source = coded.select(*[coded[f"`{c}`"] for c in kept])
+    kept = [c for c in coded.columns if c.lower() != "decoded"]
+    source = coded.select(*[col(c) for c in kept])
     schema = T.StructType([*source.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):

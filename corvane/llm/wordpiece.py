@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.bpe import byte_letters, tokenizer_bytes
 from corvane.llm.caching import Memo
+from corvane.llm.shared import col, put_back, set_apart
 from corvane.llm.wordsplit import chunks, words
 
 CHUNK_CACHE = 400_000
@@ -97,12 +98,12 @@ def token_counts(docs: DataFrame, tokenizer: bytes | None = None, text_col: str
     """Count words and greedy word pieces of each whole text: adds n_words and n_tokens (long).
 
     A null or empty text has none. keep as in bpe_encode; input columns named n_words or n_tokens
-    are replaced. Rows are independent: no shuffle.
+    are replaced, others may have any names. Rows are independent: no shuffle, repeated rows stay.
     """
     model = docs.sparkSession.sparkContext.broadcast(tokenizer if tokenizer is not None else tokenizer_bytes())
     new = ("n_words", "n_tokens")
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in new and (keep is not None or c != text_col)]
-    source = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_text"))
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in new and (keep is not None or c != text_col)]
+    source = docs.select(*set_apart(kept), col(text_col).alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in new]])
 
     def run(batches):
@@ -123,4 +124,4 @@ def token_counts(docs: DataFrame, tokenizer: bytes | None = None, text_col: str
                 n_tokens.append(sum([x[1] for x in got]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*batch.schema.names[:-1], *new])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*put_back(kept), *new)
