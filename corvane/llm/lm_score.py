@@ -1,9 +1,12 @@
 """Language-model scores of documents: word counts of the whole corpus and a recurrent model.
 
-Words are counted over all training documents. The most frequent ones are the model's words, all
-others its unknown word, whose probability is shared out by the others' counts; so the model gives
-every text a probability. Each partition trains a copy on its documents and the copies are
-averaged by their tokens, in a few rounds that together use each training document once.
+Words are counted over all training documents. The most frequent ones are the model's words; the
+next ones are gathered in bins of about equal counts, each a word of the model whose probability is
+shared out by their counts, and what is rarer still is its unknown word, shared out likewise. So the
+model gives every text a probability. Documents are dealt to partitions by hash and sorted there, so
+that results do not depend on how the table is laid out. Each partition trains a copy on its whole
+documents and the copies are averaged by their tokens, in rounds that together use each training
+document once.
 """
 
 from __future__ import annotations
@@ -17,16 +20,16 @@ from corvane.llm import gru
 from corvane.llm import shingles as S
 from corvane.llm.shared import col, cut
 
-#: Words of the model (with end and unknown), and words whose counts every worker holds.
-VOCAB, FREQUENT = 1024, 1 << 18
+#: Words of the model (with end, unknown and bins), bins of counts, and words whose counts every worker holds.
+VOCAB, BINS, FREQUENT = 1024, 30, 1 << 18
+OWN = VOCAB - 2 - BINS
 END, UNKNOWN = 0, 1
 #: The end token's hash; word hashes are mixed, so it is as good as any.
 END_HASH = np.int64(0x0E0D)
-ROUNDS, RATE, BLOCKS, SALTS = 3, 0.02, 32, 64
-#: Longer documents are trained on in stretches, so that no lane is left alone with one document;
-#: scores carry the state through whole documents.
-SEGMENT = 2048
-_TOKENS = 2_000_000  # packed into lanes at once
+ROUNDS, RATE, BLOCKS, SALTS = 2, 0.02, 32, 64
+#: Tokens of a partition, in a small corpus and in a large one.
+PART_TOKENS, MOST_PART_TOKENS = 4_000_000, 16_000_000
+_TOKENS = 8_000_000  # packed into lanes at once
 
 
 def _hash_column(batch: pa.RecordBatch, column: int):
@@ -63,7 +66,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame) -> DataFrame:
-    """The words above a count that at most FREQUENT words reach.
+    """The words above a count that at most FREQUENT words reach, and the end token.
 
     The count is read off a histogram of the counts' logarithms, so no task or driver sorts words.
     """
@@ -75,7 +78,18 @@ def _frequent(counts: DataFrame) -> DataFrame:
         if held > FREQUENT:
             break
         least = b["least"]
-    return counts.where(F.col("c") >= least) if least is not None else counts.limit(0)
+    enough = F.col("c") >= least if least is not None else F.lit(False)
+    return counts.where(enough | (F.col("h") == int(END_HASH)))
+
+
+def _numbers(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The model's word of each frequent word, by falling counts, and the unknown word at the end."""
+    number = np.full(len(hashes) + 1, UNKNOWN, np.int16)
+    number[:-1] = 2 + np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int16), BINS - 1)
+    k = min(len(hashes), OWN)
+    number[:k] = np.arange(2 + BINS, 2 + BINS + k)
+    number[:-1][hashes == END_HASH] = END
+    return number
 
 
 class _Lookup:
@@ -92,7 +106,7 @@ class _Lookup:
         return np.where(self.sorted[at] == h, self.place[at], -1)
 
 
-ENCODED = "doc_id long, held_out boolean, text_hash long, ids array<short>, n_tokens long, n_unknown long, n_known long, logs double, unknown_logs double, rare array<long>"
+ENCODED = "doc_id long, held_out boolean, text_hash long, ids array<short>, n_tokens long, n_unknown long, n_known long, logs double, shares double, rare array<long>"
 
 
 def _encode(docs: DataFrame, frequent) -> DataFrame:
@@ -102,13 +116,11 @@ def _encode(docs: DataFrame, frequent) -> DataFrame:
         hashes, counts = frequent.value
         find = _Lookup(hashes)
         logs = np.log10(counts + 0.5)
-        number = np.full(len(hashes) + 1, UNKNOWN, np.int16)
-        k = min(len(hashes), VOCAB - 2)
-        number[:k] = np.arange(2, k + 2)
-        at_end = find(np.array([END_HASH]))[0]
-        if at_end >= 0:
-            number[at_end] = END
-        unknown_logs = np.where(number[:-1] == UNKNOWN, logs, 0)
+        number = _numbers(hashes, counts)
+        bin_totals = np.bincount(number[:-1], counts + 0.5, VOCAB)
+        in_bin = (number[:-1] >= 2) & (number[:-1] < 2 + BINS)
+        shares = np.append(np.where(in_bin, logs - np.log10(np.maximum(bin_totals[number[:-1]], 0.5)), 0), 0)
+        logs = np.append(logs, 0)
         for whole in batches:
             for batch in S.text_slices(whole, 3):
                 words, first, last = _hash_column(batch, 3)
@@ -128,7 +140,7 @@ def _encode(docs: DataFrame, frequent) -> DataFrame:
                     pa.array(total((ids == UNKNOWN).astype(np.int64))),
                     pa.array(total((~rare).astype(np.int64))),
                     pa.array(total(np.where(rare, 0, logs[at]))),
-                    pa.array(total(np.where(rare, 0, unknown_logs[at]))),
+                    pa.array(total(np.where(rare, 0, shares[at]))),
                     pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(h[rare])),
                 ]
                 names = [x.split()[0] for x in ENCODED.split(", ")]
@@ -167,7 +179,7 @@ def train_round(encoded: DataFrame, flat: np.ndarray) -> np.ndarray:
         mine, tokens = shared.value.copy(), 0
         step = gru.Adam(mine, RATE)
         for pack in _packs(batches, 0):
-            docs = [part for d in _documents(pack.column(0)) for part in np.split(d, range(SEGMENT, len(d), SEGMENT))]
+            docs = _documents(pack.column(0))
             gru.run_lanes(mine, VOCAB, docs, END, step)
             tokens += sum(map(len, docs))
         if tokens:
@@ -176,12 +188,14 @@ def train_round(encoded: DataFrame, flat: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS)), pa.array([tokens] * BLOCKS), pa.array([b.tolist() for b in blocks])], names=["block", "tokens", "sums"])
 
     def add(key, rows):
-        sums = np.stack(rows.column("sums").to_numpy())
-        return pa.table({"block": [key[0].as_py()], "tokens": [sum(rows.column("tokens").to_pylist())], "sums": [sums.sum(0).tolist()]})
+        order = np.argsort(rows.column("part").to_numpy())  # the same sum whichever task was first
+        sums = np.stack(rows.column("sums").to_numpy())[order]
+        return pa.table({"block": [key[0].as_py()], "tokens": [sum(rows.column("tokens").to_pylist())], "sums": [sums.sum(0).tolist()], "part": pa.array([rows.column("part").to_numpy().min()], pa.int32())})
 
     schema = "block long, tokens long, sums array<double>"
-    parts = encoded.select("ids").mapInArrow(run, schema)
-    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("block", "salt").applyInArrow(lambda key, t: add(key, t), schema)
+    parts = encoded.select("ids").mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
+    schema += ", part int"
+    some = parts.withColumn("salt", F.pmod("part", F.lit(SALTS))).groupBy("block", "salt").applyInArrow(lambda key, t: add(key, t), schema)
     rows = some.groupBy("block").applyInArrow(lambda key, t: add(key, t), schema).collect()  # the model: BLOCKS rows
     if not rows:
         return flat
@@ -209,9 +223,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tokens are A-Z-lower-cased words and one end; null counts as the empty text, whose only token
     is the end. A document is held out, and not learned from, if the CRC-32 of its id as text
     leaves 1 when divided by 5 (a null id is not). base_score: log10 probability by counts with
-    half a count added; score: by the model. Counts and the training cover all training documents;
-    words are told apart by 64-bit hashes. Repeated rows each get a row; an empty table gives an
-    empty result.
+    half a count added; score: by the model, whose state is carried through the whole document, in
+    training too. Counts and the training cover all training documents; words are told apart by
+    64-bit hashes. Repeated rows each get a row, a null id is one id; an empty table gives an empty
+    result. Other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(col(text_col), F.lit(""))
@@ -221,15 +236,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = sorted(_frequent(counts).collect(), key=lambda r: (-r["c"], r["h"]))  # bounded by FREQUENT
     hashes, c = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.float64)
-    encoded = cut(_encode(source, spark.sparkContext.broadcast((hashes, c))))
-
-    own = c[: VOCAB - 2].copy()
-    is_end = hashes[: VOCAB - 2] == END_HASH
-    first = np.zeros(VOCAB)
-    first[END] = own[is_end].sum()
-    own[is_end] = 0
-    first[2 : 2 + len(own)] = own
-    unknown, unknown_kinds = total - first.sum(), distinct - int((first > 0).sum())
+    parts = max(1, -(-total // MOST_PART_TOKENS), min(64, -(-total // PART_TOKENS)))
+    dealt = _encode(source, spark.sparkContext.broadcast((hashes, c))).repartition(parts, F.xxhash64("text_hash", "doc_id"))
+    encoded = cut(dealt.sortWithinPartitions("text_hash", "doc_id"))
+
+    first = np.bincount(_numbers(hashes, c)[:-1], c, VOCAB)
+    unknown, unknown_kinds = total - first.sum(), distinct - len(hashes)
     first[UNKNOWN] = unknown
     flat = gru.start(VOCAB, first)
     training = encoded.where("not held_out")
@@ -242,13 +254,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = scored.unionByName(rare, allowMissingColumns=True)
     sums = both.groupBy("doc_id", "text_hash").agg(
         F.count("n_tokens").alias("copies"),
-        *[F.max(x).alias(x) for x in ("held_out", "n_tokens", "n_unknown", "n_known", "logs", "unknown_logs", "model")],
+        *[F.max(x).alias(x) for x in ("held_out", "n_tokens", "n_unknown", "n_known", "logs", "shares", "model")],
         F.coalesce(F.sum("rare_logs"), F.lit(0.0)).alias("rare_logs"),
         F.coalesce(F.sum("rare_known"), F.lit(0)).alias("rare_known"),
     )
     per_copy = F.col("rare_logs") / F.col("copies")
     base = F.col("logs") + per_copy - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))
-    model = F.col("model") + F.col("unknown_logs") + per_copy - F.col("n_unknown") * float(np.log10(unknown + 0.5 * (unknown_kinds + 1)))
+    model = F.col("model") + F.col("shares") + per_copy - F.col("n_unknown") * float(np.log10(unknown + 0.5 * (unknown_kinds + 1)))
     known = F.col("n_known") + (F.col("rare_known") / F.col("copies")).cast("long")
     out = sums.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"), "copies")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_copy", "copies")
