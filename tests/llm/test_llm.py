@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -80,6 +81,8 @@ def test_token_counts(docs, rows, empty):
     matcher = wordpiece.LongestMatch(pieces)
     words = {wordpiece._spelling(w) for r in rows for c in wordpiece.chunks(r[1] or "") for w in wordpiece.words(c)}
     assert all(matcher.count(w) == greedy(w) for w in words)
+    want = Counter((r[0], sum(len(wordpiece.words(c)) for c in wordpiece.chunks(r[1] or "")), sum(greedy(wordpiece._spelling(w)) for c in wordpiece.chunks(r[1] or "") for w in wordpiece.words(c))) for r in rows)
+    assert Counter(map(tuple, wordpiece.token_counts(docs, keep=["doc_id"]).collect())) == want
     found = wordpiece.token_counts(docs)
     assert found.count() == len(rows) and "text" not in found.columns
     assert found.where("n_tokens < n_words").count() == 0 and wordpiece.token_counts(empty).count() == 0
@@ -157,7 +160,7 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
 
 
-def test_secrets(docs, rows, empty):
+def test_secrets(spark, docs, rows, empty):
     key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1] + [7 * i % 256] * 40)) for i in range(8)))
     coded = base64.b64encode(key).decode()
     head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
@@ -170,6 +173,69 @@ def test_secrets(docs, rows, empty):
     assert kinds("token=secret: abcdefghijklmnop") == [] and kinds("Password = 'abcdefghijkl'") == ["assign"]
     assert kinds("AKIA" + "A" * 14) == ["access"] and kinds("AKIA" + "A" * 13) == [] and kinds("x0123456789abcdefg") == ["hex"]
     assert secrets.redact("a KEY b", [("x", 2, 5), ("y", 3, 4)], "*") == "a * b"
+    body = f"{coded[:64]}\\n{coded[64:]}"
+    assert kinds(f'"-----BEGIN PRIVATE KEY-----\\n{body}\\n-----END PRIVATE KEY-----"')[0] == "pem"
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\nX-Note: a, b\n\n{coded}\n-----END RSA PRIVATE KEY-----")[0] == "pem"
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{coded[:-40]}\n-----END RSA PRIVATE KEY-----") == []
+    assert ("key", 1, 1 + 2 * len(key)) in secrets.find_secrets("a" + key.hex() + "5")
+    lines = "\n".join(coded[k : k + 64] for k in range(0, len(coded), 64))
+    assert ("key", 3, 3 + len(lines)) in secrets.find_secrets(f"x: {lines}\n")
+    begun = time.time()
+    for long in ("eyJ" * 100_000, "3082" * 100_000, "MIIE" * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "password " * 50_000, "A" * 400_000):
+        assert "jwt" not in kinds(long) and "key" not in kinds(long)
+    assert time.time() - begun < 20
+
+    def base(text):
+        """The base kinds letter by letter."""
+        out, at = [], 0
+        while at < len(text):  # hex runs
+            end = at
+            while end < len(text) and text[end] in "0123456789abcdef":
+                end += 1
+            if end - at >= 16:
+                out.append((at, 2, f"hex:{at}:{end}"))
+            at = max(end, at + 1)
+        at = 0
+        while at < len(text):
+            end = at + 4
+            while text.startswith("AKIA", at) and end < len(text) and text[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+                end += 1
+            hit = text.startswith("AKIA", at) and end > at + 4
+            if hit and end - at >= 18:
+                out.append((at, 1, f"access:{at}:{end}"))
+            at = end if hit else at + 1
+        at = 0
+        while at < len(text):
+            name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(n)].lower() == n and text[at : at + len(n)].isascii()), None)
+            end = at + len(name or "")
+            if name:
+                end += text[end : end + 1] in ('"', "'") and bool(text[end : end + 1])
+                while text[end : end + 1] == " ":
+                    end += 1
+                if text[end : end + 1] in (":", "=") and text[end : end + 1]:
+                    end += 1
+                    while text[end : end + 1] == " ":
+                        end += 1
+                    end += text[end : end + 1] in ('"', "'") and bool(text[end : end + 1])
+                    begin = end
+                    while end < len(text) and (text[end].isascii() and text[end].isalnum() or text[end] in "+/_.=-"):
+                        end += 1
+                    if end > begin:
+                        if end - begin >= 12:
+                            out.append((at, 0, f"assign:{at}:{end}"))
+                        at = end
+                        continue
+            at += 1
+        return [x[2] for x in sorted(out)]
+
+    rng = random.Random(4)
+    parts = ["password", "Token", "API_KEY", "apikey", "sécret", "secret", ": ", "=", '"', "'", " ", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "dead", "x", "é", "Zz9+/_.=-", "abcdefghijkl", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in digests.secret_digests(df).collect():
+        want = base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r["doc_id"]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
     got = digests.secret_digests(docs)
     assert got.count() == len(rows) and digests.secret_digests(empty).count() == 0
     marked = secrets.scan_secrets(docs, mark="*")
@@ -186,6 +252,11 @@ def test_sharding(spark, docs, rows, empty):
     sizes = sharding.shard_documents(many.withColumnRenamed("id", "doc_id")).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     mean = sum(r["s"] for r in sizes) / 8
     assert len(sizes) == 8 and all(abs(r["s"] - mean) < 0.02 * mean for r in sizes)
+    half = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 1, F.lit("same text" * 3)).otherwise(F.concat(F.lit("t" * 20), "id")).alias("text"))
+    placed = sharding.shard_documents(half).cache()
+    sizes = placed.groupBy("shard").agg(F.sum("size").alias("s"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n")).collect()
+    mean = sum(r["s"] for r in sizes) / 8
+    assert len(sizes) == 8 and all(abs(r["s"] - mean) < 0.02 * mean and (r["a"], r["b"]) == (0, r["n"] - 1) for r in sizes) and placed.count() == 40_000
     assert sharding.shard_documents(empty).count() == 0
 
 
@@ -240,6 +311,9 @@ def test_quality(spark, docs, rows, empty):
         lines = [v for v in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", v)]
         return i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)
 
+    weak = quality.text_counts(docs, window_hash="(xxhash64({0}) & 7)")  # unlike windows share a hash
+    exact = quality.text_counts(docs)
+    assert Counter(map(tuple, weak.select("doc_id", "n_repeat_words").collect())) == Counter(map(tuple, exact.select("doc_id", "n_repeat_words").collect()))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
     for reread in (False, True):
         got = quality.quality_filter(docs, labels, keep=["doc_id"], reread=reread).collect()
@@ -267,6 +341,30 @@ def test_quality_small_strata(spark):
     assert sorted(quality.ORDER) == sorted((s, j) for s in quality.SIGNALS for j in range(quality.CUTOFFS))
 
 
+def test_names_that_clash(spark):
+    """Columns named as the operators' own helpers go through unharmed."""
+    names = ["_text", "_k0", "_id", "_stratum", "segment", "words", "_word", "_maybe", "_key", "_a", "_bytes", "_shard", "_hash", "n_lines"]
+    rows = [(1, "a b", "http://a.com/x", 5, *names), (2, None, None, 6, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string, spread long, " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    listed = spark.createDataFrame([("a.com/x",)], "u string")
+    outs = [
+        secrets.scan_secrets(docs), secrets.scan_secrets(docs, mark="*"), wordpiece.token_counts(docs), url_filter.filter_urls(docs, listed, []),
+        quality.quality_filter(docs, labels, stratum_col="_text"), sharding.histogram_shards(docs, "spread", "doc_id", "spread"),
+    ]
+    for out in outs:
+        assert [r.asDict() | dict(zip(names, names, strict=True)) for r in out.collect()] == [r.asDict() for r in out.collect()] and out.count() == 2
+
+
+def test_null_stratum_is_not_the_blank_one(spark):
+    prose = lambda k: " ".join(f"w{k}x{j}abc" for j in range(60))
+    rows = [(k, prose(k), None if k % 2 else "") for k in range(500)] + [(900, prose(900) + " $$$$ ####" * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(500)], "doc_id long, quality int")
+    got = quality.quality_filter(docs, labels, keep=["doc_id", "lang"]).where("not kept").collect()
+    assert [r["doc_id"] for r in got] == [900]
+
+
 def test_binomial_tail(spark):
     cases = [(k, n) for n in (10, 300, 5000) for k in (0, 1, n // 100)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.03).alias("p")).collect()
@@ -292,6 +390,22 @@ def test_lm_score(docs, rows, empty, monkeypatch):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_lm_learns_and_does_not_depend_on_the_layout(spark):
+    """Held-out texts score better than by counts alone, the same however the table is dealt out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    got = lm_score.score_documents(docs.repartition(7)).cache()
+    held = got.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.05 * held[2], held  # log10 per token
+    other = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs.coalesce(1)).collect()}
+    assert all(math.isclose(r["score"], other[r["doc_id"]], rel_tol=1e-6) for r in got.collect())
+
+
+def test_lm_without_training_documents(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    got = lm_score.score_documents(docs).collect()
+    assert got and all(r["n_known"] == r["train_tokens"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
+
+
 def test_lm_training_uses_every_token(spark):
     """A partition of fewer tokens than a step is learned from; a stretch begins without a state."""
     size = lm_score.VOCAB
@@ -341,5 +455,13 @@ def test_pipeline(spark):
         before = kept.count()
         kept = stage(spark, kept, sf).cache()
         assert kept.columns == table.columns and kept.count() <= before
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()}
+    import public_tokenizers
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for r in kept.select("doc_id", "text").collect():
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert Counter(map(tuple, out.collect())) == Counter(want)
     assert sum(bool(secrets.find_secrets(r["text"])) for r in kept.collect()) == 0
