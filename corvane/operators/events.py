@@ -11,8 +11,8 @@ from corvane.functions.columns import INTERNAL, LEGACY, PREDICTED, TEXTS
 from corvane.functions.measures import derived_measures
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add event_id 1..m in the given order: places within range partitions, and the rows before each.
+def numbered(df: DataFrame, order: list[str], out: str = "event_id") -> DataFrame:
+    """Add out, 1..m in the given order: places within range partitions, and the rows before each.
 
     The partitions are written to the checkpoint folder first, so that both passes see the same ones.
     """
@@ -27,7 +27,7 @@ def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
         before += r["count"]
     starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
     at = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return placed.join(starts, "_part").withColumn("event_id", at + F.col("_before") + 1).drop("_part", "_at", "_before")
+    return placed.join(starts, "_part").withColumn(out, at + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 #: Export headers of the internal columns that go by another name.
@@ -41,7 +41,7 @@ _EXPORT_NAMES = {
 def _exported(events: DataFrame, recordings: DataFrame, order: list[str], formula: Column | str, layout: list[str]) -> DataFrame:
     lacking = [c for c in INTERNAL if c not in events.columns]
     whole = events.withColumns({c: F.lit(None).cast("string" if c in TEXTS else "double") for c in lacking})
-    both = whole.where("event_id is not null").unionByName(_numbered(whole.where("event_id is null"), order))
+    both = whole.where("event_id is not null").unionByName(numbered(whole.where("event_id is null"), order))
     named = both.join(recordings.select("rec_id", F.col("file_name").alias("_f")), "rec_id", "left")
     named = named.withColumn("file_name", F.coalesce("file_name", "_f", F.lit("")))
     named = named.withColumns({c: F.coalesce(c, F.lit("")) for c in TEXTS if c != "file_name"})

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.events import numbered
+
 
 def number_events(new: DataFrame, existing: DataFrame, keys: list[str], number: str, order: list[str]) -> DataFrame:
     """Given numbers stay; missing ones go on after the highest number of the key (deleted ones count)."""
@@ -29,8 +31,8 @@ def list_events(events: DataFrame, set_id=None, recording_id=None, include_delet
 def copy_set(events: DataFrame, set_id: int, new_id: int, next_event_id: int, id_order: list[str]) -> DataFrame:
     """Live events of a set under a new set id; ids go on from next_event_id, numbers stay."""
     live = events.where((F.col("set_id") == set_id) & ~F.col("deleted"))
-    n = F.row_number().over(Window.orderBy(*id_order)) - 1  # one set
-    return live.withColumn("id", (F.lit(next_event_id) + n).cast("long")).withColumn("set_id", F.lit(new_id).cast(events.schema["set_id"].dataType))
+    placed = numbered(live, id_order, "_n")
+    return placed.withColumn("id", (F.lit(next_event_id - 1) + F.col("_n")).cast("long")).drop("_n").withColumn("set_id", F.lit(new_id).cast(events.schema["set_id"].dataType))
 
 
 def latest_edit(history: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -208,8 +208,11 @@ def bootstrap_lrt(df: DataFrame, best: dict[int, tuple[float, Model]], n: int, n
                         yield pd.DataFrame(sample(model, len(batch), rng), columns=names)
 
                 x = spark.range(n).mapInPandas(draw, ", ".join(f"{c} double" for c in names))
-                fits = gmm_sweep(x, names, [k - 1, k], n_init, seed=b)
-                rows.append((k, b, 2 * (fits[k][0] - fits[k - 1][0])))
+                try:
+                    fits = gmm_sweep(x, names, [k - 1, k], n_init, seed=b)
+                    rows.append((k, b, 2 * (fits[k][0] - fits[k - 1][0])))
+                except np.linalg.LinAlgError:
+                    rows.append((k, b, None))
         null = spark.createDataFrame(rows, "k int, b long, value double")
     seen = spark.createDataFrame([(k, 2 * (best[k][0] - best[k - 1][0])) for k in ks], "k int, observed double")
     counts = null.join(seen, "k").where("value is not null").groupBy("k").agg(F.count_if(F.col("value") >= F.col("observed")).alias("above"), F.count(F.lit(1)).alias("done"))

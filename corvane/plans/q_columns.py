@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import columns as C
 from corvane.functions import measures as M
 from corvane.functions import names as N
+from corvane.operators import catalog as K
 from corvane.operators import events as E
 from corvane.operators import filters as X
 from corvane.plans import bindings as B
@@ -137,16 +138,7 @@ def channel_roles(spark, sf_dir):
     ch = lambda i, name, unit: F.struct(F.lit(i).alias("index"), F.lit(name).alias("name"), unit.alias("units"))
     channels = F.array(ch(0, "I", F.when(n % 2 == 0, "pA").otherwise("mV")), ch(1, "Opt", F.lit("V")), ch(2, "OptRef", F.when(n % 3 == 0, "V").otherwise("mA")))
     roles = B.table(spark, sf_dir, "supplier").withColumn("channels", channels)
-    last = F.size("channels") - 1
-    first = lambda cond: F.get(F.filter("channels", cond), F.lit(0))["index"]
-    is_volt = lambda c: c["units"].endswith("V") & ~c["units"].startswith("m")
-    is_ref = lambda c: F.lower(c["name"]).contains("ref")
-    return roles.select(
-        "s_suppkey",
-        F.least(F.coalesce(first(lambda c: c["units"].endswith("A")), F.lit(0)), last).alias("electrical"),
-        F.least(F.coalesce(first(lambda c: is_volt(c) & ~is_ref(c)), F.lit(2)), last).alias("optical"),
-        F.least(F.coalesce(first(lambda c: is_volt(c) & is_ref(c)), F.lit(3)), last).alias("reference"),
-    )
+    return roles.select("s_suppkey", K.channel_roles(F.col("channels")).alias("r")).select("s_suppkey", "r.*")
 
 
 @query(f"""WITH {B.FEAT} SELECT source_file, source_row, round((ln(1 + duration) - (SELECT avg(ln(1 + duration)) FROM feat)) / (SELECT stddev_pop(ln(1 + duration)) FROM feat), 6) AS duration,
@@ -242,8 +234,8 @@ def format_times(spark, sf_dir):
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS again FROM events""")
 def json_columns(spark, sf_dir):
-    e = B.table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k long"))
-    return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("again"))
+    e = K.json_columns(B.table(spark, sf_dir, "events"), "props", "k long", "p")
+    return e.select("event_id", F.col("p.k").alias("k"), F.col("p_json").alias("again"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS base, greatest(l_quantity + l_tax * 100 - 4, l_quantity + 0.002) AS plateau, greatest(50 - l_quantity, greatest(l_quantity + l_tax * 100 - 4, l_quantity + 0.002) + 0.002) AS stop FROM lineitem""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import names as N
+from corvane.operators import catalog as K
 from corvane.operators import events as E
 from corvane.operators import filters as X
 from corvane.operators import history as H
@@ -102,45 +103,48 @@ def _exclusions(f):
 @query(f"WITH {B.FEAT} SELECT source_file, source_row, duration FROM feat f WHERE NOT EXISTS (SELECT 1 FROM feat x WHERE x.cluster = 1 AND x.duration > 25 AND x.source_file = f.source_file AND x.source_row = f.source_row)")
 def exclude_points(spark, sf_dir):
     f = B.feat(spark, sf_dir)
-    return f.join(_exclusions(f), ["source_file", "source_row"], "left_anti").select("source_file", "source_row", "duration")
+    return K.exclude_points(f, _exclusions(f), ["source_file", "source_row"]).select("source_file", "source_row", "duration")
 
 
-@query("""SELECT o_clerk, file_name, number, label FROM (SELECT o_custkey AS o_clerk, upper(s_name) || '.ABF' AS file_name, l_linenumber AS number, 'C' || l_linenumber % 4 AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)""")
+@query(f"""WITH {B.EV}, {B.REC} SELECT set_id % 3 AS run, 'set ' || set_id AS set_name, file_name, number, CASE WHEN id % 4 = 1 AND set_id % 3 = 0 THEN 'C1 (long)' ELSE 'C' || id % 4 END AS label FROM ev JOIN rec ON rec_id = recording_id AND recording_id % 7 <> 0
+UNION ALL SELECT set_id % 3, 'set ' || set_id, NULL, number, CASE WHEN id % 4 = 1 AND set_id % 3 = 0 THEN 'C1 (long)' ELSE 'C' || id % 4 END FROM ev WHERE recording_id % 7 = 0""")
 def labels_export(spark, sf_dir):
-    li, o = B.table(spark, sf_dir, "lineitem"), B.table(spark, sf_dir, "orders")
-    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(B.rec(spark, sf_dir), li["l_suppkey"] == F.col("rec_id"))
-    return rows.select(F.col("o_custkey").alias("o_clerk"), "file_name", F.col("l_linenumber").alias("number"), F.concat(F.lit("C"), F.col("l_linenumber") % 4).alias("label"))
+    ev = B.ev(spark, sf_dir).withColumn("event", F.xxhash64("set_id", "recording_id", "id", "number", "deleted"))
+    events = ev.select("event", "set_id", F.col("recording_id").alias("rec_id"), "number").distinct()
+    labels = ev.select(F.pmod("set_id", F.lit(3)).alias("run"), "event", F.pmod("id", F.lit(4)).alias("cluster"))
+    names = spark.createDataFrame([(0, 1, "long"), (1, 2, " ")], "run long, cluster long, name string")
+    sets = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("set_id"), F.concat(F.lit("set "), "o_orderkey").alias("set_name"))
+    return K.labels_export(labels, events, sets, B.rec(spark, sf_dir).where("rec_id % 7 <> 0"), names)
 
 
-@query("""SELECT conv_id AS event, turn AS at, role AS action, c_name AS file_name FROM conversations LEFT JOIN customer ON c_custkey = conv_id AND c_custkey % 5 <> 0""")
+@query(f"""WITH {B.REC} SELECT conv_id AS event, turn AS at, role AS action, CASE WHEN c_custkey IS NOT NULL THEN c_custkey % 9 END AS number, file_name FROM conversations LEFT JOIN customer ON c_custkey = conv_id AND c_custkey % 5 <> 0 LEFT JOIN rec ON rec_id = c_custkey % 10 + 1""")
 def edit_history(spark, sf_dir):
-    log, c = B.log(spark, sf_dir), B.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0")
-    return log.join(c, log["event"] == c["c_custkey"], "left").select("event", "at", F.col("role").alias("action"), F.col("c_name").alias("file_name"))
+    n = F.col("c_custkey")
+    events = B.table(spark, sf_dir, "customer").where(n % 5 != 0).select(n.alias("event"), (n % 9).alias("number"), (n % 10 + 1).alias("rec_id"))
+    log = B.log(spark, sf_dir).select("event", "at", F.col("role").alias("action"))
+    return K.edit_history(log, events, B.rec(spark, sf_dir)).select("event", "at", "action", "number", "file_name")
 
 
-@query("""SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0 OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 7)""")
+@query("""SELECT n_nationkey AS exp_id, n_name FROM nation WHERE n_regionkey <> 0 OR n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 7)""")
 def visible_experiments(spark, sf_dir):
-    n, c = B.table(spark, sf_dir, "nation"), B.table(spark, sf_dir, "customer").where("c_custkey = 7").select(F.col("c_nationkey").alias("n_nationkey"))
-    is_open = F.col("n_regionkey") != 0
-    return n.where(is_open).unionByName(n.where(~is_open).join(c, "n_nationkey", "left_semi")).select("n_nationkey", "n_name")
+    n = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("exp_id"), "n_name", (F.col("n_regionkey") == 0).alias("restricted"))
+    access = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("exp_id"), F.col("c_custkey").alias("user"))
+    return K.visible_experiments(n, access, 7).drop("restricted")
 
 
 @query("""WITH r AS (SELECT user_id AS run, unnest([user_id % 25, (user_id + 7) % 25]) AS set_id, unnest([0, 1]) AS p FROM (SELECT DISTINCT user_id FROM events))
-SELECT run, string_agg(n_name, ', ' ORDER BY p) AS names, count(CASE WHEN n_nationkey = 3 THEN 1 END) > 0 AS uses_set_3 FROM r JOIN nation ON n_nationkey = set_id GROUP BY run""")
+SELECT run, string_agg(n_name, ', ' ORDER BY p) AS names, count(CASE WHEN n_nationkey = 3 THEN 1 END) > 0 AS uses FROM r JOIN nation ON n_nationkey = set_id GROUP BY run""")
 def runs_using_set(spark, sf_dir):
     users = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("run")).distinct()
-    ids = F.to_json(F.array(F.col("run") % 25, (F.col("run") + 7) % 25))
-    runs = users.withColumn("set_ids", F.from_json(ids, "array<int>"))
-    names = runs.select("run", F.posexplode("set_ids").alias("p", "set_id")).join(B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("set_id"), "n_name"), "set_id")
-    out = names.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p", "n_name")))["n_name"], ", ").alias("names"), F.bool_or(F.col("set_id") == 3).alias("uses_set_3"))
-    return out
+    runs = users.withColumn("set_ids", F.to_json(F.array(F.col("run") % 25, (F.col("run") + 7) % 25)))
+    sets = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("set_id"), F.col("n_name").alias("set_name"))
+    return K.runs_with_set_names(runs, sets, 3)
 
 
 @query("""SELECT 's' || s_suppkey % 60 AS stem, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS experiments, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def files_used_in(spark, sf_dir):
-    s, n = B.table(spark, sf_dir, "supplier"), B.table(spark, sf_dir, "nation")
-    rows = s.join(n, s["s_nationkey"] == n["n_nationkey"])
-    return rows.groupBy(F.concat(F.lit("s"), F.col("s_suppkey") % 60).alias("stem")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("experiments"), F.count(F.lit(1)).alias("n"))
+    files = B.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 60).alias("stem"), F.col("s_nationkey").alias("exp_id"))
+    return K.files_used_in(files, B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("exp_id"), F.col("n_name").alias("exp_name")))
 
 
 @query(f"""WITH {B.LABELS}, names AS (SELECT 3 AS k, 1 AS cluster, 'long' AS name) SELECT lab.k, lab.cluster, CASE WHEN name IS NULL THEN 'C' || lab.cluster ELSE 'C' || lab.cluster || ' (' || name || ')' END AS label, count(*) AS n FROM lab LEFT JOIN names USING (k, cluster) GROUP BY 1, 2, 3""")
@@ -149,9 +153,8 @@ def cluster_names(spark, sf_dir):
 
     rows = exploded_labels(B.labels(spark, sf_dir))
     names = spark.createDataFrame([(3, 1, "long")], "k int, cluster int, name string")
-    counts = rows.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n")).join(names, ["k", "cluster"], "left")
-    plain = F.concat(F.lit("C"), "cluster")
-    return counts.select("k", "cluster", F.coalesce(F.concat(plain, F.lit(" ("), "name", F.lit(")")), plain).alias("label"), "n")
+    counts = rows.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return K.cluster_names(counts, names, ["k", "cluster"]).select("k", "cluster", "label", "n")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + o AS event_start FROM lineitem JOIN (SELECT s_suppkey, coalesce(sum(1 + abs(s_acctbal)) OVER (PARTITION BY s_nationkey ORDER BY upper(s_name) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM supplier) ON l_suppkey = s_suppkey""")
@@ -161,25 +164,27 @@ def shift_to_experiment_time(spark, sf_dir):
     return E.shift_times(li, offsets, ["event_start"]).drop("rec_id")
 
 
-@query("""WITH f AS (SELECT l_returnflag AS source_file, l_quantity AS duration, l_tax AS osc, NULL::DOUBLE AS ref_osc FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_returnflag, l_quantity, NULL, l_discount FROM lineitem WHERE l_returnflag <> 'A') SELECT * FROM f""")
+@query("""WITH f AS (SELECT 'a.csv' AS source_file, l_quantity AS duration, l_tax AS osc, NULL::DOUBLE AS ref_osc, row_number() OVER (ORDER BY l_quantity, l_tax, l_discount) - 1 AS source_row FROM lineitem WHERE l_returnflag = 'A'
+UNION ALL SELECT 'rest.csv', l_quantity, NULL, l_discount, row_number() OVER (ORDER BY l_quantity, l_discount) - 1 FROM lineitem WHERE l_returnflag <> 'A') SELECT * FROM f""")
 def pool_files(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
-    a = li.where("l_returnflag = 'A'").select(F.col("l_returnflag").alias("source_file"), F.col("l_quantity").alias("duration"), F.col("l_tax").alias("osc"))
-    b = li.where("l_returnflag <> 'A'").select(F.col("l_returnflag").alias("source_file"), F.col("l_quantity").alias("duration"), F.col("l_discount").alias("ref_osc"))
-    return a.unionByName(b, allowMissingColumns=True)
+    a = li.where("l_returnflag = 'A'").select(F.col("l_quantity").alias("duration"), F.col("l_tax").alias("osc"))
+    b = li.where("l_returnflag <> 'A'").select(F.col("l_quantity").alias("duration"), F.col("l_discount").alias("ref_osc"))
+    pooled = K.pool_files({"a.csv": a}, ["duration", "osc"])
+    return pooled.unionByName(K.pool_files({"rest.csv": b}, ["duration", "ref_osc"]), allowMissingColumns=True)
 
 
-@query("SELECT unnest(['duration', 'entry_peak']) AS feature")
+@query("SELECT unnest(['duration', 'entry_peak', 'exit_peak']) AS feature")
 def common_features(spark, sf_dir):
     f = B.feat(spark, sf_dir).withColumn("same", F.lit(1.0))
-    usable = lambda d: X.feature_usability(d, "source_file", ["duration", "entry_peak", "same"]).where("reason = 'usable'").select("feature").distinct()
-    return usable(f.where("source_file = 'A'")).intersect(usable(f.where("source_file = 'N'")))
+    found = K.common_features(f.where("source_file = 'A'"), f.where("source_file = 'N'"), "source_file", ["duration", "entry_peak", "same", "exit_peak"])
+    return f.limit(1).select(F.explode(F.array(*map(F.lit, found))).alias("feature"))
 
 
 @query(f"""WITH {B.FEAT} SELECT CASE WHEN source_file = 'A' THEN 'A' ELSE 'B' END AS grp, cluster, count(*) AS n, round(avg(duration), 6) AS duration_mean FROM feat WHERE source_file IN ('A', 'N') GROUP BY 1, 2""")
 def compare_groups(spark, sf_dir):
     f = B.feat(spark, sf_dir)
-    both = f.where("source_file = 'A'").withColumn("grp", F.lit("A")).unionByName(f.where("source_file = 'N'").withColumn("grp", F.lit("B")))
+    both = K.side_by_side(f.where("source_file = 'A'"), f.where("source_file = 'N'"))
     return both.groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 6).alias("duration_mean"))
 
 
@@ -257,10 +262,10 @@ def apply_edits(spark, sf_dir):
 def pending_work(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     done = B.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return o.join(done, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    return K.pending_work(o, done, ["o_custkey"])
 
 
 @query("""SELECT o_orderkey AS run, o_orderdate AS at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""")
 def recent_runs(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("at"))
+    o = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"))
+    return K.recent_runs(o, 20, "F")

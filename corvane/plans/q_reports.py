@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import reports as R
+from corvane.operators import catalog as K
 from corvane.plans import bindings as B
 from corvane.plans.registry import query
 
@@ -102,36 +103,35 @@ def impute_median(spark, sf_dir):
 @query("""SELECT k, bic FROM (SELECT p_size AS k, round(avg(p_retailprice), 6) AS bic FROM part GROUP BY 1) ORDER BY bic, k LIMIT 1""")
 def best_bic(spark, sf_dir):
     p = B.table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.round(F.avg("p_retailprice"), 6).alias("bic"))
-    return p.agg(F.min_by("k", F.struct("bic", "k")).alias("k"), F.min("bic").alias("bic"))
+    return K.best_bic(p)
 
 
-@query("""WITH r AS (SELECT s_nationkey AS exp_id, count(*) AS recordings, CAST(sum(s_suppkey) AS BIGINT) AS bytes, count(CASE WHEN s_acctbal > 0 THEN 1 END) AS ready FROM supplier GROUP BY 1), s AS (SELECT c_nationkey AS exp_id, count(*) AS sets FROM customer GROUP BY 1)
-SELECT n_nationkey AS exp_id, coalesce(recordings, 0) AS recordings, coalesce(bytes, 0) AS bytes, coalesce(ready, 0) AS ready, coalesce(sets, 0) AS sets FROM nation LEFT JOIN r ON r.exp_id = n_nationkey LEFT JOIN s ON s.exp_id = n_nationkey""")
+@query("""WITH r AS (SELECT s_nationkey AS exp_id, count(*) AS recordings, CAST(sum(s_suppkey) AS BIGINT) AS bytes, count(CASE WHEN s_acctbal > 0 THEN 1 END) AS ready FROM supplier GROUP BY 1), s AS (SELECT c_nationkey AS exp_id, count(*) AS sets, count(CASE WHEN c_acctbal < 0 THEN 1 END) AS reports FROM customer GROUP BY 1)
+SELECT n_nationkey AS exp_id, coalesce(recordings, 0) AS recordings, coalesce(bytes, 0) AS bytes, coalesce(ready, 0) AS ready, coalesce(sets, 0) AS sets, coalesce(reports, 0) AS reports FROM nation LEFT JOIN r ON r.exp_id = n_nationkey LEFT JOIN s ON s.exp_id = n_nationkey""")
 def experiment_stats(spark, sf_dir):
-    r = B.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("exp_id")).agg(F.count(F.lit(1)).alias("recordings"), F.sum("s_suppkey").alias("bytes"), F.count_if(F.col("s_acctbal") > 0).alias("ready"))
-    s = B.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("exp_id")).agg(F.count(F.lit(1)).alias("sets"))
-    n = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("exp_id"))
-    return n.join(r, "exp_id", "left").join(s, "exp_id", "left").na.fill(0)
+    r = B.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("exp_id"), F.col("s_suppkey").alias("size"), F.when(F.col("s_acctbal") > 0, "ready").otherwise("missing").alias("status"))
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("exp_id"), "c_acctbal")
+    return K.experiment_stats(B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("exp_id")), r, c, c.where("c_acctbal < 0"))
 
 
-@query(f"""WITH {B.EV} SELECT set_id, recording_id, count(CASE WHEN NOT deleted THEN 1 END) AS live, max(id) AS last_edit FROM ev GROUP BY 1, 2""")
+@query("""SELECT l_orderkey AS set_id, l_suppkey AS recording_id, count(CASE WHEN l_discount <> 0 THEN 1 END) AS live, max(l_shipdate) AS last_edit, count(DISTINCT l_returnflag) AS authors FROM lineitem GROUP BY 1, 2""")
 def set_stats(spark, sf_dir):
-    return B.ev(spark, sf_dir).groupBy("set_id", "recording_id").agg(F.count_if(~F.col("deleted")).alias("live"), F.max("id").alias("last_edit"))
+    li = B.table(spark, sf_dir, "lineitem")
+    events = li.select(F.col("l_orderkey").alias("set_id"), F.col("l_suppkey").alias("recording_id"), (F.col("l_discount") == 0.0).alias("deleted"), F.col("l_shipdate").alias("updated_at"), F.col("l_returnflag").alias("author"))
+    return K.set_stats(events, ["set_id", "recording_id"])
 
 
 @query("""SELECT s_nationkey AS exp_id, count(*) AS files, count(CASE WHEN s_acctbal >= 0 THEN 1 END) AS owned, CAST(sum(CASE WHEN s_acctbal >= 0 THEN s_suppkey ELSE 0 END) AS BIGINT) AS bytes FROM supplier GROUP BY 1""")
 def inventory_summary(spark, sf_dir):
-    own = F.col("s_acctbal") >= 0
-    return B.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("exp_id")).agg(F.count(F.lit(1)).alias("files"), F.count_if(own).alias("owned"), F.sum(F.when(own, F.col("s_suppkey")).otherwise(0)).alias("bytes"))
+    return K.inventory(B.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("exp_id"), (F.col("s_acctbal") >= 0).alias("owned"), F.col("s_suppkey").alias("size")))
 
 
 @query("""SELECT c_nationkey AS exp_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'other' ELSE c_mktsegment END AS condition, count(*) AS n FROM customer GROUP BY 1, 2""")
 def condition_counts(spark, sf_dir):
     c = B.table(spark, sf_dir, "customer").withColumn("condition", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(""))
-    return c.groupBy(F.col("c_nationkey").alias("exp_id"), F.coalesce(F.nullif(F.col("condition"), F.lit("")), F.lit("other")).alias("condition")).agg(F.count(F.lit(1)).alias("n"))
+    return K.condition_counts(c.select(F.col("c_nationkey").alias("exp_id"), "condition"))
 
 
 @query("""SELECT l_returnflag AS table_name, len(list_distinct(list(l_suppkey))) AS n_named, min(l_suppkey) AS first_named FROM lineitem GROUP BY 1""")
 def named_files(spark, sf_dir):
-    s = B.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("table_name"), "l_suppkey").distinct()
-    return s.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_named"), F.min("l_suppkey").alias("first_named"))
+    return K.named_files(B.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("table_name"), "l_suppkey"), "table_name", "l_suppkey")

@@ -142,3 +142,15 @@ def test_conditions_with_null(spark):
     df = spark.createDataFrame(rows, "c string, x double, y double")
     out = cluster_by_condition(df, "c", ["x"], max_k=2, n_init=1, n_boot=1)
     assert {(r["c"], r["count"]) for r in out.groupBy("c").count().collect()} == {("a", 40), (None, 40)}
+
+
+def test_small_cluster_is_left_out(spark):
+    """Three separated clusters: more than one is chosen, and the one of 8 rows in 98 goes."""
+    from corvane.operators.mixture import run_clustering
+
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b)) for centre, n in ((0, 45), (30, 45), (90, 8)) for a, b in rng.normal(centre, 1, (n, 2))]
+    out = run_clustering(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], max_k=3, n_init=3, n_boot=25, min_percent=10.0).collect()
+    assert len(out) == len(rows)
+    assert all(r["excluded"] == (r["x"] > 60) and (r["cluster"] is None) == r["excluded"] for r in out)
+    assert {r["k"] for r in out if not r["excluded"]} == {2}

@@ -11,7 +11,7 @@ from corvane.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Rows-only checks that take long on one machine run in the bench instead.
+#: These take long on one machine; test_operators.py tests what they call on small separated data.
 SLOW = {"min_cluster_filter", "cluster_by_condition", "compare_runs", "select_k"}
 
 
