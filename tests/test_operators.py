@@ -154,3 +154,38 @@ def test_small_cluster_is_left_out(spark):
     assert len(out) == len(rows)
     assert all(r["excluded"] == (r["x"] > 60) and (r["cluster"] is None) == r["excluded"] for r in out)
     assert {r["k"] for r in out if not r["excluded"]} == {2}
+
+
+def test_catalog_edge_cases(spark):
+    """Nulls, blanks, ties, repeats and empty tables of the catalog operators."""
+    from corvane.operators import catalog as K
+
+    points = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, 2)], "f string, r long")
+    assert K.exclude_points(points, points.where("r = 1"), ["f", "r"]).count() == 2
+    assert K.exclude_points(points.limit(0), points, ["f", "r"]).count() == 0
+    named = K.cluster_names(spark.createDataFrame([(0,), (1,), (None,)], "cluster int"), spark.createDataFrame([(0, " "), (1, "x")], "cluster int, name string"), ["cluster"])
+    assert {r["cluster"]: r["label"] for r in named.collect()} == {0: "C0", 1: "C1 (x)", None: None}
+    experiments = spark.createDataFrame([(1, True), (2, None), (3, False), (4, True)], "exp_id int, restricted boolean")
+    access = spark.createDataFrame([(1, 7), (1, 7), (4, 8)], "exp_id int, user int")
+    assert {r[0] for r in K.visible_experiments(experiments, access, 7).collect()} == {1, 2, 3}
+    assert K.visible_experiments(experiments, access.limit(0), 7, is_admin=True).count() == 4
+    tables = {"x": spark.createDataFrame([(2.0,), (1.0,), (1.0,)], "d double"), "y": spark.createDataFrame([], "d double, e double")}
+    assert sorted((r["source_file"], r["source_row"], r["d"], r["e"]) for r in K.pool_files(tables, ["d"]).collect()) == [("x", 0, 1.0, None), ("x", 1, 1.0, None), ("x", 2, 2.0, None)]
+    f = spark.createDataFrame([("a", 1.0, 5.0), ("a", 2.0, 5.0)], "g string, u double, v double")
+    with pytest.raises(ValueError, match="common features"):
+        K.common_features(f, f, "g", ["u", "v"])
+    assert K.common_features(f, f, "g", ["v", "u"], least=1) == ["u"]
+    recordings = spark.createDataFrame([(1, "  "), (1, None), (1, "DC")], "exp_id int, condition string")
+    assert {r["condition"]: r["n"] for r in K.condition_counts(recordings).collect()} == {"other": 2, "DC": 1}
+    runs = spark.createDataFrame([(1, "[2, 9, 1]"), (2, "broken"), (3, None)], "run int, set_ids string")
+    sets = spark.createDataFrame([(1, "one"), (2, "two")], "set_id long, set_name string")
+    assert [tuple(r) for r in K.runs_with_set_names(runs, sets, 1).collect()] == [(1, "two, one", True)]
+    models = spark.createDataFrame([(3, 1.5), (2, 1.5), (4, 9.0)], "k int, bic double")
+    assert tuple(K.best_bic(models).first()) == (2, 1.5)
+    tied = spark.createDataFrame([(2, 5, "done"), (1, 5, "done"), (3, 9, "failed")], "run int, at int, status string")
+    assert [r["run"] for r in K.recent_runs(tied, 5).collect()] == [1, 2]
+    files = spark.createDataFrame([(1, True, None), (1, False, 5)], "exp_id int, owned boolean, size long")
+    assert tuple(K.inventory(files).first()) == (1, 2, 1, 0)
+    assert tuple(K.set_stats(spark.createDataFrame([(1, True, None, None)], "set_id int, deleted boolean, updated_at long, author string"), ["set_id"]).first()) == (1, 0, None, 0)
+    channels = F.array(F.struct(F.lit(0).alias("index"), F.lit("I").alias("name"), F.lit("pA").alias("units")))
+    assert tuple(spark.range(1).select(K.channel_roles(channels)).first()[0]) == (0, 0, 0)
