@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, secrets
+from corvane.llm import bpe, merkle, prefix_trie, secrets
 
 
 def bpe_digests(docs):
@@ -30,3 +30,20 @@ def contamination_digests(found):
     """The columns of the contract from the operator's words, hits and items."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def merkle_digests(docs):
+    """Leaves, roots and proofs of all documents; half of them are checked with their line ends deleted."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    bent = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    seen = merkle.leaf_digest([*[F.col(c) for c in fields[:-1]], F.when(bent, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))])
+    proofs = merkle.prove(docs, fields, "source", "doc_id", {"seen": seen})
+    folded = merkle.fold(F.col("seen"), F.col("path"))
+    found = proofs.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def trie_digests(turns):
+    """The nodes of the trie; a node at which nothing ends has the digest of the empty text."""
+    found = prefix_trie.prefix_trie(turns)
+    return found.select(*[c for c in found.columns if c != "ends"], F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

@@ -125,3 +125,13 @@ def op10_lm_score(spark, sf_dir):
 def op4_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op11_merkle")
+def op11_merkle(spark, sf_dir):
+    return digests.merkle_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_prefix_trie")
+def op12_prefix_trie(spark, sf_dir):
+    return digests.trie_digests(_table(spark, sf_dir, "conversations"))
