@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, merkle, prefix_trie, secrets
+from corvane.llm import bpe, merkle, prefix_trie, secrets, sentence_pieces
 
 
 def bpe_digests(docs):
@@ -47,3 +47,9 @@ def trie_digests(turns):
     """The nodes of the trie; a node at which nothing ends has the digest of the empty text."""
     found = prefix_trie.prefix_trie(turns)
     return found.select(*[c for c in found.columns if c != "ends"], F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def piece_digests(docs):
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    coded = sentence_pieces.piece_encode(docs, keep=["doc_id"])
+    return coded.select("doc_id", sentence_pieces.token_total("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -135,3 +135,8 @@ def op11_merkle(spark, sf_dir):
 @_query("op12_prefix_trie")
 def op12_prefix_trie(spark, sf_dir):
     return digests.trie_digests(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_pieces")
+def op13_pieces(spark, sf_dir):
+    return digests.piece_digests(_table(spark, sf_dir, "documents"))
