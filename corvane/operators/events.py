@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.columns import INTERNAL, LEGACY, PREDICTED, TEXTS
 from corvane.functions.measures import derived_measures
+from corvane.storage import cut
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "event_id") -> DataFrame:
@@ -16,10 +15,7 @@ def numbered(df: DataFrame, order: list[str], out: str = "event_id") -> DataFram
 
     The partitions are written to the checkpoint folder first, so that both passes see the same ones.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     before, offsets = 0, []
     for r in sorted(placed.groupBy("_part").count().collect()):  # a row per partition

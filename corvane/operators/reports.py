@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.quantiles import exact_quantiles, join_groups, wide_quantiles
+from corvane.storage import cut
 
-def cluster_summary(df: DataFrame, cluster: str, features: list[str], k: int, exact: bool = True) -> DataFrame:
-    """N, percent and mean, population deviation and median of each feature for clusters 0..k-1.
+#: Rows of a table of groups that are broadcast at most.
+MAX_BROADCAST_GROUPS = 100_000
 
-    exact=False takes approximate medians, for feature tables whose distinct values do not fit.
-    """
-    middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    stats = [f.alias(f"{c}_{n}") for c in features for n, f in (("mean", F.avg(c)), ("std", F.stddev_pop(c)), ("median", middle(c)))]
+
+def _small(groups: DataFrame) -> DataFrame:
+    """groups, computed once, with a hint to broadcast them if there are not too many."""
+    groups = cut(groups)
+    return F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
+
+
+def cluster_summary(df: DataFrame, cluster: str, features: list[str], k: int) -> DataFrame:
+    """N, percent and mean, population deviation and exact median of each feature for clusters 0..k-1."""
+    stats = [f.alias(f"{c}_{n}") for c in features for n, f in (("mean", F.avg(c)), ("std", F.stddev_pop(c)))]
     found = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *stats)
+    medians = wide_quantiles(df, [cluster], features, [0.5], lambda c, _: f"{c}_median")
     grid = df.sparkSession.range(k).select(F.col("id").cast(df.schema[cluster].dataType).alias(cluster))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # k rows
-    out = grid.join(found, cluster, "left")
+    out = grid.join(found, cluster, "left").join(medians, cluster, "left")
     out = out.withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("percent", 100 * F.col("n") / F.nullif(total, F.lit(0)))
 
@@ -97,9 +106,9 @@ def cluster_tracking(labels: DataFrame, k0: int, c0: int) -> DataFrame:
 def feature_boxes(df: DataFrame, cluster: str, features: list[str]) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 box lengths) and outliers by cluster and feature."""
     long = df.select(cluster, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features])).alias("f")).select(cluster, "f.*").where("value is not null")
-    q = long.groupBy(cluster, "feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(cluster, "feature", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
-    joined = long.join(F.broadcast(q), [cluster, "feature"])  # a row per cluster and feature
+    found = exact_quantiles(df, [cluster], features, [0.25, 0.5, 0.75])
+    q = found.groupBy(cluster, "feature").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    joined = join_groups(long, _small(q), [cluster, "feature"], "inner")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(cluster, "feature", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("value"))).alias("low"), F.max(F.when(inside, F.col("value"))).alias("high"), F.count_if(~inside).alias("outliers"))
@@ -107,8 +116,7 @@ def feature_boxes(df: DataFrame, cluster: str, features: list[str]) -> DataFrame
 
 def robust_range(df: DataFrame, key: str, value: str) -> DataFrame:
     """1st and 99th percentile widened by a fifth of their distance (by 1 if they are equal)."""
-    p = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
-    p = p.select(key, F.get("p", F.lit(0)).alias("p1"), F.get("p", F.lit(1)).alias("p99"))
+    p = wide_quantiles(df, [key], [value], [0.01, 0.99], lambda _, p: "p1" if p == 0.01 else "p99")
     pad = F.when(F.col("p1") == F.col("p99"), 1.0).otherwise(0.2 * (F.col("p99") - F.col("p1")))
     return p.select(key, (F.col("p1") - pad).alias("low"), (F.col("p99") + pad).alias("high"))
 
@@ -117,10 +125,18 @@ def rank_clusters(df: DataFrame, label: str, out: str = "cluster") -> DataFrame:
     """Clusters renumbered by size, the largest 0, ties by old label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranks = counts.withColumn(out, F.row_number().over(Window.orderBy(F.desc("_n"), label)) - 1).drop("_n")  # a row per cluster
-    return df.join(F.broadcast(ranks), label)
+    return df.join(_small(ranks), label)
+
+
+def imputation(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, median, filled): what each feature's missing values become, and how many there are."""
+    filled = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"f{i}") for i, c in enumerate(features)])
+    each = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("filled")) for i, c in enumerate(features)])).alias("x")).select("x.*")
+    medians = exact_quantiles(df, [], features, [0.5]).select("feature", F.col("value").alias("median"))
+    return each.join(medians, "feature", "left").select("feature", "median", "filled")
 
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
-    """Missing values replaced by their feature's median."""
-    medians = df.agg(*[F.median(c).alias(f"_m_{c}") for c in features])
-    return df.join(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in features}).drop(*medians.columns)
+    """Missing values replaced by their feature's exact median (null where a feature has no value at all)."""
+    medians = {r["feature"]: r["median"] for r in imputation(df, features).collect()}  # a row per feature
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in features})

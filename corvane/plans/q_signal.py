@@ -4,18 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import names as N
+from corvane.operators import levels as V
+from corvane.operators import searches as P
 from corvane.operators import signal as S
+from corvane.operators import trailing as T
 from corvane.plans import bindings as B
 from corvane.plans.registry import query
+from corvane.storage import new_folder
 
 
 def _r(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query(f"""WITH {B.REC} SELECT rec_id, round(coalesce(sum(duration) OVER (PARTITION BY exp_id ORDER BY file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS t_offset FROM rec""")
+TRACKS = f"""{B.REC}, tr AS (SELECT *, '2026_09_14_' || lpad(CAST(rec_id % 10000 AS VARCHAR), 4, '0') || CASE WHEN rec_id % 2 = 0 THEN ' ac-aom' ELSE '' END AS name, CASE WHEN rec_id % 5 = 2 THEN 'pending' ELSE 'ready' END AS status, CASE rec_id % 3 WHEN 0 THEN 'DC' WHEN 1 THEN ' ' END AS condition FROM rec)"""
+
+
+def _tracks(rec):
+    """Recordings with names that tell run and condition; some have a condition of their own, some are not ready."""
+    r = F.col("rec_id")
+    name = F.concat(F.lit("2026_09_14_"), F.lpad((r % 10000).cast("string"), 4, "0"), F.when(r % 2 == 0, " ac-aom").otherwise(""))
+    parsed = N.parse_file_name(rec.withColumn("file_name", name), "file_name").withColumnRenamed("condition", "name_condition")
+    own = F.when(r % 3 == 0, "DC").when(r % 3 == 1, " ")
+    return V.experiment_tracks(parsed.withColumn("status", F.when(r % 5 == 2, "pending").otherwise("ready")).withColumn("condition", own))
+
+
+@query(f"""WITH {TRACKS} SELECT rec_id, round(coalesce(sum(duration) OVER (PARTITION BY exp_id ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS t_offset,
+trim(lpad(CAST(rec_id % 10000 AS VARCHAR), 4, '0') || ' ' || CASE WHEN rec_id % 3 = 0 THEN 'DC' WHEN rec_id % 2 = 0 THEN 'AC-AOM' ELSE '' END) AS label FROM tr WHERE status = 'ready'""")
 def recording_offsets(spark, sf_dir):
-    return _r(S.recording_offsets(B.rec(spark, sf_dir), "exp_id", "file_name", "duration"), "t_offset").select("rec_id", "t_offset")
+    return _r(_tracks(B.rec(spark, sf_dir)), "t_offset").select("rec_id", "t_offset", "label")
 
 
 @query(f"""WITH {B.SIG} SELECT event, round(v - lag(v, 3) OVER (PARTITION BY key ORDER BY i), 6) AS d FROM sig""")
@@ -25,26 +43,26 @@ def lag_diff(spark, sf_dir):
 
 @query(f"""WITH {B.SIG} SELECT event, CASE WHEN count(v) OVER w >= 5 THEN round(quantile_cont(v, 0.5) OVER w, 6) END AS med FROM sig WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def rolling_median(spark, sf_dir):
-    return _r(S.rolling_median(B.sig(spark, sf_dir), 20), "med").select("event", "med")
+    return _r(T.rolling_median(B.sig(spark, sf_dir), 20), "med").select("event", "med")
 
 
 ROBUST = f"""{B.SIG}, d AS (SELECT *, v - lag(v, 2) OVER (PARTITION BY key ORDER BY i) AS d FROM sig),
 own AS (SELECT *, CASE WHEN count(d) OVER w >= 5 THEN quantile_cont(d, 0.5) OVER w END AS own FROM d WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 dev AS (SELECT *, abs(d - own) AS dev FROM own), mad AS (SELECT *, CASE WHEN count(dev) OVER w >= 5 THEN quantile_cont(dev, 0.5) OVER w END AS mad FROM dev WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, coalesce(0.6745 * (d - lag(own) OVER w) / greatest(lag(mad) OVER w, 1e-4), 0.0) AS z0, lag(mad) OVER w AS pm FROM mad WINDOW w AS (PARTITION BY key ORDER BY i)),
+z AS (SELECT *, coalesce(CASE WHEN lag(mad) OVER w IS NOT NULL THEN 0.6745 * (d - lag(own) OVER w) / greatest(lag(mad) OVER w, 1e-4) END, 0.0) AS z0, lag(mad) OVER w AS pm FROM mad WINDOW w AS (PARTITION BY key ORDER BY i)),
 zz AS (SELECT key, i, t, v, event, d, z0 AS z FROM z)"""
 
 
 @query(f"WITH {ROBUST} SELECT event, round(z, 4) AS z FROM zz")
 def robust_z(spark, sf_dir):
-    return _r(S.robust_z(B.sig(spark, sf_dir), 2, 20), "z", digits=4).select("event", "z")
+    return _r(T.robust_z(B.sig(spark, sf_dir), 2, 20), "z", digits=4).select("event", "z")
 
 
 @query(f"""WITH {ROBUST}, f AS (SELECT *, abs(z) >= 1.0 AS f, coalesce(lag(abs(z) >= 1.0) OVER (PARTITION BY key ORDER BY i), FALSE) AS p FROM zz), r AS (SELECT *, sum(CASE WHEN f AND NOT p THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM f),
 g AS (SELECT key, run, count(*) AS n, min(t) AS t_start, max(t) AS t_end FROM r WHERE f GROUP BY 1, 2 HAVING count(*) >= 3), b AS (SELECT key, run, t, z, d, row_number() OVER (PARTITION BY key, run ORDER BY abs(z) DESC, i) AS k FROM r WHERE f)
-SELECT g.key, b.t, round(b.z, 6) AS z, CASE WHEN b.d >= 0 THEN 1 ELSE -1 END AS direction, t_start, t_end, n FROM g JOIN b ON b.key = g.key AND b.run = g.run AND b.k = 1""")
+SELECT g.key, b.t, round(b.z, 6) AS z, CASE WHEN b.d > 0 THEN 1 ELSE -1 END AS direction, t_start, t_end, n FROM g JOIN b ON b.key = g.key AND b.run = g.run AND b.k = 1""")
 def edge_candidates(spark, sf_dir):
-    return _r(S.edge_candidates(S.robust_z(B.sig(spark, sf_dir), 2, 20), 1.0, 3), "z")
+    return _r(T.edge_candidates(T.robust_z(B.sig(spark, sf_dir), 2, 20), 1.0, 3), "z")
 
 
 @query(f"""WITH {B.SIG}, n AS (SELECT key, max(i) AS m FROM sig GROUP BY 1), w AS (SELECT key, CAST(unnest(range(0, m + 1)) AS BIGINT) AS i, m FROM n), o AS (SELECT key, i, greatest(least(i + unnest(range(-3, 4)), m), 0) AS j FROM w)
@@ -60,29 +78,66 @@ def local_peaks(spark, sf_dir):
     return S.local_peaks(s.select("key", "i", F.round(F.col("v") / 20).alias("v")))
 
 
-@query(f"""WITH {B.SIG}, w AS (SELECT key, i, t, count(v) OVER f AS n, round(var_pop(v) OVER f, 9) AS s FROM sig WINDOW f AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT key, i, t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, i) AS r FROM w WHERE n = 5) WHERE r = 1""")
-def flattest_window(spark, sf_dir):
-    return S.flattest_window(B.sig(spark, sf_dir))
+def _estimates(s):
+    """Purchases are the estimates, several of a key, and reach two days to both sides."""
+    return s.where("kind = 'purchase'").select("key", F.col("event").alias("point"), F.col("t").alias("estimate"))
 
 
-@query(f"""WITH {B.SIG}, p AS (SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt FROM sig WINDOW w AS (PARTITION BY key ORDER BY i)) SELECT key, i, round(t_cross, 4) AS t_cross FROM (SELECT key, i, CASE WHEN pv IS NULL THEN t ELSE pt + (60 - pv) / (v - pv) * (t - pt) END AS t_cross, row_number() OVER (PARTITION BY key ORDER BY i) AS r FROM p WHERE v >= 60 AND (pv IS NULL OR pv < 60)) WHERE r = 1""")
-def level_crossing(spark, sf_dir):
-    return _r(S.level_crossing(B.sig(spark, sf_dir), 60.0), "t_cross", digits=4)
+NEAR = f"""{B.SIG}, est AS (SELECT key, event AS point, t AS estimate FROM sig WHERE kind = 'purchase'), near AS (SELECT est.key, point, estimate, s.i, s.t, s.v FROM est JOIN sig s ON s.key = est.key AND s.t BETWEEN estimate - 172800 AND estimate + 172800)"""
 
 
-RUNS = f"""{B.SIG}, f AS (SELECT *, abs(v - 40) <= 25 AS f, coalesce(lag(abs(v - 40) <= 25) OVER (PARTITION BY key ORDER BY i), FALSE) AS p FROM sig), r AS (SELECT *, sum(CASE WHEN f AND NOT p THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM f)"""
+@query(f"""WITH {NEAR}, w AS (SELECT *, count(v) OVER f AS n, round(var_pop(v) OVER f, 9) AS s FROM near WINDOW f AS (PARTITION BY key, point ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), b AS (SELECT key, point, t FROM (SELECT *, row_number() OVER (PARTITION BY key, point ORDER BY s, i) AS r FROM w WHERE n = 5) WHERE r = 1)
+SELECT est.key, est.point, coalesce(b.t, estimate) AS t, b.t IS NOT NULL AS moved FROM est LEFT JOIN b ON b.key = est.key AND b.point = est.point""")
+def flattest_window(spark, sf_dir):
+    s = B.sig(spark, sf_dir)
+    return P.flattest_window(s, _estimates(s), 172800.0).drop("estimate")
+
+
+@query(f"""WITH {NEAR}, q AS (SELECT key, point, i, t, CASE WHEN point % 2 = 0 THEN 1 ELSE -1 END * round(v / 20) AS s, row_number() OVER (PARTITION BY key, point ORDER BY i) AS a FROM near), c AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY key, point ORDER BY i) = s THEN 0 ELSE 1 END AS c FROM q), r AS (SELECT *, sum(c) OVER (PARTITION BY key, point ORDER BY i) AS f FROM c),
+fl AS (SELECT key, point, f, min(a) AS a0, max(a) AS a1, min(s) AS s FROM r GROUP BY 1, 2, 3), pk AS (SELECT * FROM (SELECT *, s > lag(s) OVER w AND s > lead(s) OVER w AS p FROM fl WINDOW w AS (PARTITION BY key, point ORDER BY f)) WHERE p),
+top AS (SELECT key, point, (a0 + a1) // 2 AS a FROM (SELECT *, row_number() OVER (PARTITION BY key, point ORDER BY s DESC, a0) AS k FROM pk) WHERE k = 1), n AS (SELECT key, point, count(*) AS n FROM q GROUP BY 1, 2),
+mx AS (SELECT key, point, t, s FROM (SELECT *, row_number() OVER (PARTITION BY key, point ORDER BY s DESC, i) AS k FROM q) WHERE k = 1), pt AS (SELECT q.key, q.point, q.t, q.s FROM q JOIN top ON top.key = q.key AND top.point = q.point AND top.a = q.a)
+SELECT est.key, est.point, CASE WHEN n < 3 THEN estimate ELSE coalesce(pt.t, mx.t) END AS t, CASE WHEN n >= 3 THEN CASE WHEN est.point % 2 = 0 THEN 1 ELSE -1 END * coalesce(pt.s, mx.s) END AS v, CASE WHEN n < 3 THEN 'none' WHEN pt.t IS NOT NULL THEN 'peak' ELSE 'maximum' END AS kind
+FROM est JOIN n ON n.key = est.key AND n.point = est.point JOIN mx ON mx.key = est.key AND mx.point = est.point LEFT JOIN pt ON pt.key = est.key AND pt.point = est.point""")
+def tallest_peak(spark, sf_dir):
+    """The tallest peak around even points and the lowest around odd ones."""
+    s = B.sig(spark, sf_dir).withColumn("v", F.round(F.col("v") / 20))
+    e = _estimates(s)
+    up, down = P.tallest_peak(s, e.where("point % 2 = 0"), 172800.0), P.tallest_peak(s, e.where("point % 2 <> 0"), 172800.0, -1)
+    return up.unionByName(down).drop("estimate")
+
+
+@query(f"""WITH {NEAR}, p AS (SELECT *, lag(v) OVER w AS pv, lag(t) OVER w AS pt, count(*) OVER (PARTITION BY key, point) AS n FROM near WINDOW w AS (PARTITION BY key, point ORDER BY i)),
+h AS (SELECT *, CASE WHEN pv IS NULL THEN t WHEN v = pv THEN pt ELSE pt + least(greatest((CASE WHEN point % 2 = 0 THEN 60 ELSE 40 END - pv) / (v - pv), 0), 1) * (t - pt) END AS x, row_number() OVER (PARTITION BY key, point ORDER BY CASE WHEN point % 3 = 0 THEN -i ELSE i END) AS r FROM p WHERE n >= 2 AND CASE WHEN point % 2 = 0 THEN v >= 60 ELSE v <= 40 END)
+SELECT est.key, est.point, round(x, 4) AS t_cross FROM est LEFT JOIN h ON h.key = est.key AND h.point = est.point AND r = 1""")
+def level_crossing(spark, sf_dir):
+    """Upwards over 60 for even points, downwards under 40 for odd ones; the last crossing for every third."""
+    s = B.sig(spark, sf_dir)
+    even = F.col("point") % 2 == 0
+    searches = P.around(_estimates(s), 172800.0).select("key", "point", "lo", "hi", F.when(even, 60.0).otherwise(40.0).alias("level"), even.alias("rising"), (F.col("point") % 3 != 0).alias("first"))
+    return _r(P.level_crossing(s, searches, 345600.0), "t_cross", digits=4)
 
 
-@query(f"""WITH {RUNS} SELECT key, min(i) AS i FROM (SELECT key, i, row_number() OVER (PARTITION BY key, run ORDER BY i) AS n FROM r WHERE f) WHERE n = 3 GROUP BY 1""")
+@query(f"""WITH {B.SIG}, est AS (SELECT key, event AS point, t AS lo0, CASE WHEN event % 2 = 0 THEN t ELSE t - 432000 END AS lo, CASE WHEN event % 2 = 0 THEN t + 432000 ELSE t END AS hi FROM sig WHERE kind = 'purchase'), near AS (SELECT est.key, point, s.i, s.t, abs(s.v - 40) < 25 AS f, CASE WHEN point % 2 = 0 THEN s.i ELSE -s.i END AS w FROM est JOIN sig s ON s.key = est.key AND s.t BETWEEN lo AND hi),
+g AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY key, point ORDER BY w) AS o FROM near), c AS (SELECT *, row_number() OVER (PARTITION BY key, point, o ORDER BY w) AS n FROM g WHERE f), b AS (SELECT key, point, min_by(t, w) AS t FROM c WHERE n = 2 GROUP BY 1, 2)
+SELECT est.key, est.point, b.t FROM est LEFT JOIN b ON b.key = est.key AND b.point = est.point""")
 def baseline_return(spark, sf_dir):
-    return S.baseline_return(B.sig(spark, sf_dir), 40.0, 10.0, 3)
+    """Within 25 of 40 for two samples: onward in five days from even points, back from odd ones."""
+    s = B.sig(spark, sf_dir)
+    even, t = F.col("point") % 2 == 0, F.col("estimate")
+    searches = _estimates(s).select("key", "point", F.when(even, t).otherwise(t - 432000).alias("lo"), F.when(even, t + 432000).otherwise(t).alias("hi"), F.lit(40.0).alias("base"), F.lit(10.0).alias("sigma"), even.alias("forward"))
+    return P.baseline_return(s, searches, 2, 432000.0)
 
 
-@query(f"""WITH {B.SIG}, m AS (SELECT key, median(v) AS med FROM sig GROUP BY 1), o AS (SELECT sig.*, abs(v - med) AS dev FROM sig JOIN m USING (key)), mm AS (SELECT key, median(dev) AS mad FROM o GROUP BY 1),
-f AS (SELECT o.*, dev > 1.0 * 1.4826 * mad AS f FROM o JOIN mm USING (key)), p AS (SELECT *, coalesce(lag(f) OVER (PARTITION BY key ORDER BY i), FALSE) AS p FROM f), r AS (SELECT *, sum(CASE WHEN f AND NOT p THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM p),
-g AS (SELECT key, run, min(t) AS t0, max(t) AS t1, sum(dev) AS w FROM r WHERE f GROUP BY 1, 2 HAVING max(t) - min(t) >= 0.02) SELECT key, t0, t1, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(w, 9) DESC, t0) AS k FROM g) WHERE k = 1""")
+@query(f"""WITH {B.SIG}, k AS (SELECT key, i // 2 AS i, t, v FROM sig WHERE i % 2 = 0), e AS (SELECT key, max(i) AS last, arg_min(v, i) AS v0, arg_max(v, i) AS v1, count(*) AS n, min(t) AS lo, max(t) AS hi FROM k GROUP BY 1),
+sm AS (SELECT k.key, k.i, k.t, (sum(v) OVER (PARTITION BY k.key ORDER BY k.i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + greatest(1 - k.i, 0) * v0 + greatest(k.i + 1 - last, 0) * v1) / 3 AS v FROM k JOIN e ON e.key = k.key),
+m AS (SELECT key, median(v) AS med FROM sm GROUP BY 1), o AS (SELECT sm.*, abs(v - med) AS dev FROM sm JOIN m USING (key)), mm AS (SELECT key, median(dev) AS mad FROM o GROUP BY 1),
+f AS (SELECT o.*, dev > greatest(1.4826 * mad, 1e-9) AS f FROM o JOIN mm USING (key)), p AS (SELECT *, coalesce(lag(f) OVER (PARTITION BY key ORDER BY i), FALSE) AS p FROM f), r AS (SELECT *, sum(CASE WHEN f AND NOT p THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run FROM p),
+g AS (SELECT key, run, min(t) AS t0, max(t) AS t1, sum(dev) AS w FROM r WHERE f GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(w, 9) DESC, t0) AS k FROM g) WHERE k = 1)
+SELECT b.key, greatest(lo, t0 - 3600) AS t0, least(hi, t1 + 3600) AS t1, round(w, 6) AS weight FROM b JOIN e ON e.key = b.key WHERE t1 - t0 >= 0.02 AND n >= 8""")
 def coarse_event(spark, sf_dir):
-    return _r(S.coarse_event(B.sig(spark, sf_dir), 1.0), "weight")
+    """At 10 samples a second: every second one, averaged over three."""
+    return _r(P.coarse_event(B.sig(spark, sf_dir), 10.0, 1.0, 0.02, 3600.0, 5.0, 600.0), "weight")
 
 
 @query(f"WITH {B.SIG} SELECT key, i // 5 AS i, t, v FROM sig WHERE i % 5 = 0")
@@ -95,24 +150,46 @@ PYRAMID = " UNION ALL ".join(f"SELECT key, {k} AS level, i // {4**k} AS bin, min
 
 @query(f"WITH {B.SIG} {PYRAMID}")
 def minmax_pyramid(spark, sf_dir):
-    return S.minmax_pyramid(B.sig(spark, sf_dir), 4, 3, 16)
+    store = V.store_levels(B.sig(spark, sf_dir), new_folder(spark, "levels"), 4, 3, 16)
+    return store.pyramid(spark)
 
 
 #: A day of the events table, in epoch seconds.
 DAY0, DAY9 = 1704067200.0, 1704067200.0 + 9 * 86400
 
 
-@query(f"""WITH {B.SIG}, s AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM sig WHERE t BETWEEN {DAY0} AND {DAY9}) SELECT key, i AS bin, v AS vmin, v AS vmax FROM s WHERE n <= 40
-UNION ALL SELECT key, least(CAST(floor((t - {DAY0}) / {(DAY9 - DAY0) / 20}) AS BIGINT), 19) AS bin, min(v), max(v) FROM s WHERE n > 40 GROUP BY 1, 2""")
+#: The ranges' plan and their entries, as operators/levels.py has them.
+RANGES = """n AS (SELECT key, max(i) + 1 AS n FROM sig GROUP BY 1), lv AS (SELECT key, n, CASE WHEN ceil(n / 64.0) >= 4 THEN 3 WHEN ceil(n / 16.0) >= 4 THEN 2 WHEN ceil(n / 4.0) >= 4 THEN 1 ELSE 0 END AS levels FROM n),
+pl AS (SELECT *, CASE WHEN cnt <= budget THEN 0 WHEN cnt <= 16 THEN 0 WHEN levels >= 1 AND cnt / 4.0 <= 16 THEN 1 WHEN levels >= 2 AND cnt / 16.0 <= 16 THEN 2 WHEN levels >= 3 AND cnt / 64.0 <= 16 THEN 3 ELSE levels END AS level FROM (SELECT *, greatest(0, least(n, CAST(ceil(t1) AS BIGINT) + 1) - greatest(0, CAST(floor(t0) AS BIGINT))) AS cnt, greatest(0, CAST(floor(t0) AS BIGINT)) AS i0, least(n, CAST(ceil(t1) AS BIGINT) + 1) AS i1 FROM asked)),
+j AS (SELECT *, i0 // CAST(4 ** level AS BIGINT) AS j0, CAST(ceil(i1 / (4.0 ** level)) AS BIGINT) AS j1, CAST(4 ** level AS BIGINT) AS w FROM pl WHERE cnt > 0), jb AS (SELECT *, greatest(1, least(budget // 2, j1 - j0)) AS bins FROM j),
+en AS (SELECT range, jb.key, level, i // w AS e, min(v) AS vmin, max(v) AS vmax, any_value(j0) AS j0, any_value(j1) AS j1, any_value(bins) AS bins, any_value(w) AS w, any_value(cnt) AS cnt, any_value(budget) AS budget FROM jb JOIN sig ON sig.key = jb.key AND i // w >= j0 AND i // w < j1 GROUP BY 1, 2, 3, 4),
+found AS (SELECT range, key, 'full' AS mode, level, e AS bin, CAST(e AS DOUBLE) AS t, CAST(e AS DOUBLE) AS t_mid, vmin, vmax, 1.0 AS bin_s FROM en WHERE cnt <= budget
+UNION ALL SELECT range, key, 'envelope', level, ((e - j0 + 1) * bins - 1) // (j1 - j0) AS bin, CAST(min(e) * any_value(w) AS DOUBLE), (min(e) + count(*) / 2.0) * any_value(w), min(vmin), max(vmax), any_value((j1 - j0) * w / bins::DOUBLE) FROM en WHERE cnt > budget GROUP BY 1, 2, 4, 5)"""
+
+
+@query(f"""WITH {B.SIG}, {RANGES.replace("pl AS", "asked AS (SELECT key AS range, key, n, levels, key % 7 * 1.5 AS t0, CASE WHEN key % 11 = 3 THEN 0.0 ELSE n * 0.9 + 0.3 END AS t1, CASE WHEN key % 5 = 0 THEN 1000 ELSE 14 END AS budget FROM lv), pl AS", 1)}
+SELECT key, mode, level, bin, t, round(t_mid, 6) AS t_mid, vmin, vmax, round(bin_s, 6) AS bin_s FROM found UNION ALL SELECT key, 'empty', 0, 0, NULL, NULL, NULL, NULL, 0.0 FROM pl WHERE cnt = 0""")
 def range_envelope(spark, sf_dir):
-    return S.range_envelope(B.sig(spark, sf_dir), DAY0, DAY9, 40)
+    """A range of each user's samples, one a second: exact ones for some, bins out of levels for others."""
+    s = B.sig(spark, sf_dir)
+    store = V.store_levels(s, new_folder(spark, "levels"), 4, 3, 4)
+    n = store.extents(spark)
+    t1 = F.when(F.col("key") % 11 == 3, 0.0).otherwise(F.col("n") * 0.9 + 0.3)
+    ranges = n.select(F.col("key").alias("range"), "key", F.lit(1.0).alias("fs"), (F.col("key") % 7 * 1.5).alias("t0"), t1.alias("t1"), F.when(F.col("key") % 5 == 0, 1000).otherwise(14).alias("budget"))
+    return _r(V.read_ranges(store, ranges, 16), "t_mid", "bin_s").drop("range")
 
 
-@query(f"""WITH {B.SIG} SELECT key % 5 AS experiment, least(CAST(floor((t + key * 10.0 - {DAY0}) / {(DAY9 - DAY0) / 20}) AS BIGINT), 19) AS bin, min(v) AS vmin, max(v) AS vmax FROM sig WHERE t + key * 10.0 BETWEEN {DAY0} AND {DAY9} GROUP BY 1, 2""")
+@query(f"""WITH {B.SIG}, {RANGES.replace("pl AS", "rec AS (SELECT key AS rec_id, n, levels, key % 5 AS exp_id, lpad(CAST(key AS VARCHAR), 9, '0') AS name, CAST(n AS DOUBLE) AS duration FROM lv WHERE key % 4 <> 1), tr AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY exp_id ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS off FROM rec), tot AS (SELECT exp_id, sum(duration) AS total FROM rec GROUP BY 1), vw AS (SELECT exp_id, total * 0.1 AS t0, total * 0.8 AS t1, 500 AS budget FROM tot), ov AS (SELECT rec_id, n, levels, off, vw.exp_id, greatest(t0 - off, 0.0) AS a, least(t1 - off, duration) AS b, t0, t1, budget FROM tr JOIN vw ON vw.exp_id = tr.exp_id), asked AS (SELECT rec_id AS range, rec_id AS key, n, levels, off, exp_id, a AS t0, b AS t1, greatest(12, CAST(floor(budget * (b - a) / greatest(t1 - t0, 1e-9)) AS BIGINT)) AS budget FROM ov WHERE b > a), pl AS", 1)}
+SELECT exp_id AS view, key AS rec_id, mode, level, bin, round(t + off, 4) AS t, vmin, vmax FROM found JOIN (SELECT range, off, exp_id FROM asked) USING (range)""")
 def range_envelope_all(spark, sf_dir):
+    """Each experiment from a tenth to four fifths of its length, across its ready recordings."""
     s = B.sig(spark, sf_dir)
-    offsets = s.select("key").distinct().select("key", (F.col("key") % 5).alias("experiment"), (F.col("key") * 10.0).cast("double").alias("t_offset"))
-    return S.range_envelope_all(s.select("key", "i", "t", "v"), offsets, DAY0, DAY9, 40)
+    store = V.store_levels(s, new_folder(spark, "levels"), 4, 3, 4)
+    k = F.col("key")
+    rec = store.extents(spark).select(k.alias("rec_id"), (k % 5).alias("exp_id"), F.lpad(k.cast("string"), 9, "0").alias("file_name"), F.col("n").cast("double").alias("duration"), F.when(k % 4 == 1, "pending").otherwise("ready").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("condition", "name_condition", "run")], F.lit(1.0).alias("fs"))
+    tracks = V.experiment_tracks(rec)
+    views = tracks.groupBy("exp_id").agg(F.sum("duration").alias("total")).select(F.col("exp_id").alias("view"), "exp_id", (F.col("total") * 0.1).alias("t0"), (F.col("total") * 0.8).alias("t1"), F.lit(500).alias("budget"))
+    return _r(V.read_experiments(store, tracks, views, 12, 16), "t", digits=4).select("view", "rec_id", "mode", "level", "bin", "t", "vmin", "vmax")
 
 
 def _windows(s, half=3600.0):

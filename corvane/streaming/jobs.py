@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.history import EDIT_SCHEMA, apply_edits_stream
+from corvane.storage import new_folder
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the cluster names; local only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = folder or tempfile.mkdtemp(prefix="corvane-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
