@@ -6,10 +6,11 @@ shares both bands with some text. Texts with equal shingle sets count as one.
 
 Links are found in rounds whose work follows the number of bucket rows. First each text is
 confirmed with one centre of its buckets; then with the most alike text of another component, as
-told by a sketch (a byte of each minhash). What is left are buckets with several components. Their pairs of different components go through the sketch in blocks of bounded size
+told by a sketch (a byte of each minhash and two of each band's hash). What is left are buckets with several components. Their pairs of different components go through the sketch in blocks of bounded size
 (pairs within the largest component of a bucket are never formed), and texts with a likely partner
 are compared on their full shingle sets in the same blocks, which give out only links that connect.
-A pair that shares several buckets is handled in the first of them only.
+A pair that shares several buckets is handled in the first of them only; which that is, the sketch tells
+with a chance of error below 1e-6.
 """
 
 from __future__ import annotations
@@ -52,15 +53,19 @@ def _lows(values: np.ndarray, ends: np.ndarray, which: range) -> list[np.ndarray
     return [S.segment_reduce(np.minimum, (values ^ _seeds[1, k]) * (_seeds[0, k] | np.uint64(1)), ends) for k in which]
 
 
-def _bands(lows: list[np.ndarray]) -> pa.Array:
-    """Lists of BANDS hashes, each of ROWS minhashes."""
+def _bands(lows: list[np.ndarray]) -> np.ndarray:
+    """BANDS hashes of each text, each of ROWS minhashes."""
     out = []
     for i in range(BANDS):
         h = np.full(len(lows[0]), i, np.uint64)
         for low in lows[i * ROWS : (i + 1) * ROWS]:
             h = S.mix(h + low)
         out.append(h)
-    return pa.FixedSizeListArray.from_arrays(_long(np.stack(out, 1).ravel()), BANDS).cast(pa.list_(pa.int64()))
+    return np.stack(out, 1)
+
+
+def _lists(bands: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(_long(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))
 
 
 def _node(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -79,23 +84,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
         for whole in batches:
             for batch in S.text_slices(whole, 1):
                 values, ends = _sets(batch, 1, size)
-                first = _bands(_lows(values, ends, range(HASHES // 2)))
+                first = _lists(_bands(_lows(values, ends, range(HASHES // 2))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(ends)), _node(values, ends), first], names=["_id", "text_hash", "n_shingles", "node", "a"])
 
     return _source(docs, id_col, text_col).mapInArrow(run, "_id long, text_hash long, n_shingles long, node long, a array<long>")
 
 
 def details(docs: DataFrame, size: int) -> DataFrame:
-    """node, both collections of bands, sketch and sorted distinct shingle hashes of (_id, _text) rows."""
+    """node, both collections of bands, sketch (a byte of each minhash, then two of each band's hash) and
+    sorted distinct shingle hashes of (_id, _text) rows."""
 
     def run(batches):
         for whole in batches:
             for batch in S.text_slices(whole, 1):
                 values, ends = _sets(batch, 1, size)
                 lows = _lows(values, ends, range(HASHES))
-                sketch = np.stack([low.astype(np.uint8) for low in lows], 1)
+                a, b = _bands(lows[: HASHES // 2]), _bands(lows[HASHES // 2 :])
+                marks = np.concatenate([a, b], 1).astype(np.uint16).view(np.uint8)
+                sketch = np.concatenate([np.stack([low.astype(np.uint8) for low in lows], 1), marks], 1)
                 sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(values))
-                columns = [_node(values, ends), pa.array(np.diff(ends)), _bands(lows[: HASHES // 2]), _bands(lows[HASHES // 2 :]), pa.array([x.tobytes() for x in sketch], pa.binary()), sets]
+                columns = [_node(values, ends), pa.array(np.diff(ends)), _lists(a), _lists(b), pa.array([x.tobytes() for x in sketch], pa.binary()), sets]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "a", "b", "sketch", "shingles"])
 
     return docs.mapInArrow(run, "node long, n long, a array<long>, b array<long>, sketch binary, shingles array<long>")
@@ -221,7 +229,7 @@ def _ordered(table: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray], np.ndarr
     x = {c: table.column(c).to_numpy() for c in ("key", "cell", "p", "q", "side", "node", "label", "n")}
     new = np.flatnonzero(np.r_[True, (np.diff(x["key"]) != 0) | (np.diff(x["p"]) != 0) | (np.diff(x["q"]) != 0)]) if table.num_rows else np.zeros(0, np.int64)
     stop = np.r_[new[1:], table.num_rows]
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES + 4 * BANDS)
     return table, x, sketch, np.repeat(stop, stop - new)
 
 
@@ -243,9 +251,11 @@ def _likely(x: dict[str, np.ndarray], sketch: np.ndarray, stop: np.ndarray, perc
         for k in range(0, len(left), PAIRS):
             a, b = left[k : k + PAIRS], right[k : k + PAIRS]
             same = sketch[a] == sketch[b]
-            total = np.count_nonzero(same, axis=1)
+            total = np.count_nonzero(same[:, :HASHES], axis=1)
             hit = total >= matches
-            bands = same[hit].reshape(-1, 2, BANDS, ROWS).all(axis=3).argmax(axis=2)
+            # Three bytes can agree by chance where a band's minhashes differ: its hash tells.
+            bytes_of, marks = same[hit, :HASHES].reshape(-1, 2, BANDS, ROWS).all(axis=3), same[hit, HASHES:].reshape(-1, 2, BANDS, 2).all(axis=3)
+            bands = (bytes_of & marks).argmax(axis=2)
             hit[hit] = bands[:, 0] * BANDS + bands[:, 1] == x["cell"][a[hit]]
             yield a[hit], b[hit], total[hit]
 
