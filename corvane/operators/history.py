@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,46 +53,6 @@ def fold_history(history: DataFrame) -> DataFrame:
     return last.join(state, "event", "left").select("event", "version", "deleted", "state")
 
 
-def _accept(rows, version: int, gone: bool):
-    """Edits of one event in order: (edit, accepted, reason, version after)."""
-    for edit, action, expected in rows:
-        if gone:
-            yield edit, False, "deleted", version
-        elif expected != version:
-            yield edit, False, "stale", version
-        else:
-            version, gone = version + 1, action == "delete"
-            yield edit, True, None, version
-
-
-EDIT_SCHEMA = "event long, edit long, accepted boolean, reason string, version long"
-
-
-def apply_edits(edits: DataFrame) -> DataFrame:
-    """Which edits are accepted: (event, edit, action, expected). In order of edit, an edit must
-    expect the current version (from 1) and the event must not be deleted."""
-
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("edit")
-        out = list(_accept(rows[["edit", "action", "expected"]].itertuples(index=False), 1, False))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["event", "edit", "accepted", "reason", "version"])
-
-    return edits.groupBy("event").applyInPandas(fold, EDIT_SCHEMA)
-
-
-def apply_edits_stream(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The same for applyInPandasWithState: state holds (version, gone)."""
-    version, gone = state.get if state.exists else (1, False)
-    rows = pd.concat(list(batches)).sort_values("edit")
-    out = list(_accept(rows[["edit", "action", "expected"]].itertuples(index=False), version, gone))
-    if out:
-        version = out[-1][3]
-        kinds = dict(zip(rows["edit"], rows["action"], strict=True))
-        gone = gone or any(ok and kinds[e] == "delete" for e, ok, _, _ in out)
-    state.update((version, gone))
-    yield pd.DataFrame([(key[0], *r) for r in out], columns=["event", "edit", "accepted", "reason", "version"])
-
-
 def set_revisions(history: DataFrame) -> DataFrame:
     """Bumps per set: one per insert call (set, action, at) and one per update or delete."""
     bulk = F.col("action").isin("create", "import", "copy")

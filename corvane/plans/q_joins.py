@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import names as N
 from corvane.operators import catalog as K
+from corvane.operators import edits as D
 from corvane.operators import events as E
 from corvane.operators import filters as X
 from corvane.operators import history as H
@@ -13,6 +14,7 @@ from corvane.operators import matching as J
 from corvane.operators import signal as S
 from corvane.plans import bindings as B
 from corvane.plans.registry import query
+from corvane.streaming import jobs
 
 
 def _refs(spark, sf_dir):
@@ -251,11 +253,44 @@ def fold_history(spark, sf_dir):
     return H.fold_history(rows).select("event", "version", "deleted", F.col("state")["size"].alias("size"))
 
 
-@query("""SELECT conv_id AS event, turn AS edit, turn % 4 <> 3 AND turn = 0 OR (turn IN (1, 2)) AS accepted, CASE WHEN turn > 2 THEN 'stale' END AS reason, CAST(least(turn, 2) + 2 AS BIGINT) AS version FROM conversations""")
+#: Edits out of conversations: each event is made by its first turn; some later ones are stale, unchecked, empty or deletes.
+FOLD = """WITH RECURSIVE e AS (SELECT conv_id AS event, turn AS edit, CASE WHEN turn = 0 THEN 'create' WHEN turn % 7 = 6 THEN 'delete' ELSE 'update' END AS action, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 5 = 4 THEN 1 ELSE turn END AS expected, turn % 3 AS kind, CAST(length(text) AS VARCHAR) AS size FROM conversations),
+x AS (SELECT event, edit, TRUE AS accepted, CAST(NULL AS VARCHAR) AS reason, CAST(1 AS BIGINT) AS version, FALSE AS deleted, size AS event_start, CAST(NULL AS VARCHAR) AS notes, CAST(event AS DOUBLE) AS duration FROM e WHERE edit = 0
+UNION ALL SELECT event, edit, code < 2, CASE code WHEN 1 THEN 'nothing to change' WHEN 2 THEN 'deleted' WHEN 3 THEN 'stale' END, version + CASE WHEN code = 0 THEN 1 ELSE 0 END, deleted OR (code = 0 AND action = 'delete'),
+CASE WHEN code = 0 AND action = 'update' AND kind = 0 THEN size ELSE event_start END, CASE WHEN code = 0 AND action = 'update' AND kind = 1 THEN size ELSE notes END, CASE WHEN code = 0 AND action = 'update' AND kind = 0 THEN NULL ELSE duration END
+FROM (SELECT x.event, e.edit, action, kind, size, version, deleted, event_start, notes, duration, CASE WHEN action = 'update' AND kind = 2 THEN 1 WHEN deleted THEN 2 WHEN action = 'update' AND expected IS NOT NULL AND expected <> version THEN 3 ELSE 0 END AS code FROM x JOIN e ON e.event = x.event AND e.edit = x.edit + 1))"""
+
+
+def _edits(conversations):
+    turn, size = F.col("turn"), F.length("text").cast("string")
+    action = F.when(turn == 0, "create").when(turn % 7 == 6, "delete").otherwise("update")
+    expected = F.when(turn % 4 == 3, F.lit(None)).when(turn % 5 == 4, 1).otherwise(turn).cast("long")
+    fields = F.when((turn % 3 == 0) | (turn == 0), F.create_map(F.lit("event_start"), size)).when(turn % 3 == 1, F.create_map(F.lit("notes"), size, F.lit("no_such_field"), size))
+    derived = F.when(turn == 0, F.create_map(F.lit("duration"), F.col("conv_id").cast("double")))
+    return conversations.select(F.col("conv_id").alias("event"), turn.alias("edit"), action.alias("action"), expected.alias("expected"), fields.alias("fields"), derived.alias("derived"))
+
+
+def _decisions(decided):
+    return decided.select("event", "edit", "accepted", "reason", "version", "deleted", F.col("fields")["event_start"].alias("event_start"), F.col("fields")["notes"].alias("notes"), F.col("derived")["duration"].alias("duration"))
+
+
+@query(f"{FOLD} SELECT * FROM x")
 def apply_edits(spark, sf_dir):
-    log = B.log(spark, sf_dir)
-    edits = log.select("event", F.col("at").alias("edit"), F.lit("update").alias("action"), F.when(F.col("at") <= 2, F.col("at") + 1).otherwise(0).alias("expected"))
-    return H.apply_edits(edits)
+    return _decisions(D.apply_edits(_edits(B.table(spark, sf_dir, "conversations"))))
+
+
+@query(f"{FOLD} SELECT event, version, deleted, event_start, notes, duration FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY edit DESC) AS r FROM x) WHERE r = 1 UNION ALL SELECT -1 - n_nationkey, 5, n_regionkey = 2, n_name, NULL, 2.5 FROM nation")
+def edited_events(spark, sf_dir):
+    """The events after the edits, beside events that no edit is for."""
+    others = B.table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("event"), F.lit(5).cast("long").alias("version"), (F.col("n_regionkey") == 2).alias("deleted"), F.create_map(F.lit("event_start"), F.col("n_name")).alias("fields"), F.create_map(F.lit("duration"), F.lit(2.5)).alias("derived"))
+    after = D.edited_events(others, D.apply_edits(_edits(B.table(spark, sf_dir, "conversations")), others))
+    return after.select("event", "version", "deleted", F.col("fields")["event_start"].alias("event_start"), F.col("fields")["notes"].alias("notes"), F.col("derived")["duration"].alias("duration"))
+
+
+@query(f"{FOLD} SELECT * FROM x")
+def stream_edits(spark, sf_dir):
+    """The same decisions from a stream of the edits."""
+    return _decisions(jobs.run_available(D.stream_edits(_edits(jobs.file_stream(spark, sf_dir, "conversations")))))
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")

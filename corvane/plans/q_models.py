@@ -10,6 +10,7 @@ from corvane.operators import mixture as G
 from corvane.operators import windows as W
 from corvane.operators import signal as S
 from corvane.plans import bindings as B
+from corvane.plans.q_signal import ROBUST
 from corvane.plans.registry import query
 from corvane.sources import files
 from corvane.streaming import jobs
@@ -101,18 +102,16 @@ def stream_import(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("""SELECT conv_id AS event, turn AS edit, turn % 4 <> 3 AND turn = 0 OR (turn IN (1, 2)) AS accepted, CASE WHEN turn > 2 THEN 'stale' END AS reason, CAST(least(turn, 2) + 2 AS BIGINT) AS version FROM conversations""")
-def stream_edits(spark, sf_dir):
-    c = jobs.file_stream(spark, sf_dir, "conversations")
-    edits = c.select(F.col("conv_id").alias("event"), F.col("turn").alias("edit"), F.lit("update").alias("action"), F.when(F.col("turn") <= 2, F.col("turn") + 1).otherwise(0).alias("expected"))
-    return jobs.run_available(jobs.stream_edits(edits))
+LIVE = ROBUST.replace(B.SIG, f"""{B.SIG.replace("sig AS", "whole AS")}, sig AS (SELECT * FROM whole WHERE t <= (SELECT floor(max(t) * 1000) / 1000 - 86400 FROM whole))""")
 
 
-@query()
+@query(f"""WITH {LIVE}, f AS (SELECT *, abs(z) >= 1.0 AS f, coalesce(lag(abs(z) >= 1.0) OVER (PARTITION BY key ORDER BY i), FALSE) AS p FROM zz), r AS (SELECT *, sum(CASE WHEN f AND NOT p THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS run, max(t) OVER (PARTITION BY key) AS end FROM f),
+g AS (SELECT key, run, count(*) AS n, min(t) AS t_start, max(t) AS t_end FROM r WHERE f GROUP BY 1, 2 HAVING count(*) >= 3 AND max(t) < any_value("end")), b AS (SELECT key, run, t, z, d, row_number() OVER (PARTITION BY key, run ORDER BY abs(z) DESC, i) AS k FROM r WHERE f)
+SELECT g.key, b.t, round(b.z, 6) AS z, CASE WHEN b.d > 0 THEN 1 ELSE -1 END AS direction, t_start, t_end, n FROM g JOIN b ON b.key = g.key AND b.run = g.run AND b.k = 1""")
 def stream_edges(spark, sf_dir):
-    e = jobs.file_stream(spark, sf_dir, "events")
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return jobs.run_available(jobs.stream_edges(e.select(F.col("user_id").alias("key"), (micros / 1000000.0).alias("t"), F.col("value").alias("v")), 1, 30.0, 1))
+    """What the watermark of a day has passed; runs that are still open then are not given out yet."""
+    e = jobs.file_stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("v"))
+    return jobs.run_available(jobs.stream_edges(e, 2, 20, 1.0, 3, "1 day", 1e9)).withColumn("z", F.round("z", 6))
 
 
 def _arrays(spark, sf_dir):

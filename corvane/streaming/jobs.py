@@ -1,4 +1,4 @@
-"""Streaming forms: envelopes, imports, edits and live edges."""
+"""Streaming forms: envelopes, imports and live edges (edits: operators/edits.py)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.history import EDIT_SCHEMA, apply_edits_stream
+from corvane.operators.trailing import LEAST, lag_z
 from corvane.storage import new_folder
 
 
@@ -53,32 +53,54 @@ def stream_import(stream: DataFrame, known_path: str, key: str, state_path: str
     query.awaitTermination()
 
 
-def stream_edits(edits: DataFrame) -> DataFrame:
-    """Accepted and rejected edits; state per event is its version and whether it is deleted."""
-    return edits.groupBy("event").applyInPandasWithState(apply_edits_stream, EDIT_SCHEMA, "version long, gone boolean", "append", "NoTimeout")
+EDGE_SCHEMA = "key long, t double, z double, direction int, t_start double, t_end double, n long"
+EDGE_STATE = "tail array<double>, wait_t array<double>, wait_s array<long>, wait_v array<double>, last double, run array<double>"
 
 
-EDGE_SCHEMA = "key long, t double, direction int, n long"
+def stream_edges(samples: DataFrame, lag: int, frame: int, threshold: float, persist: int, late: str, quiet_s: float = 3600.0, least: int = LEAST, floor: float = 1e-4) -> DataFrame:
+    """Edges (EDGE_SCHEMA) of samples (key, ts, seq, v) as they arrive: those that edge_candidates finds
+    on the robust z of the same samples in order of ts and seq.
 
-
-def stream_edges(samples: DataFrame, lag: int, threshold: float, least: int) -> DataFrame:
-    """Edges (key, t, direction, n) of (key, t, v) as samples arrive: runs of at least so many
-    changes over lag samples of threshold size. State per key: the last lag samples and the open run."""
+    Samples wait until the watermark (late) has passed them, so that late ones take their place; later
+    ones than that are dropped. A run is given out when a sample ends it, or by an event-time timer when
+    the key has been silent for quiet_s. State per key: the last 2 * frame + lag values, the waiting
+    samples and the open run (length, peak size, and the peak's t, z, d, then its ends).
+    """
+    reach = 2 * frame + lag
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail_t, tail_v, run_t, run_d, run_n = state.get if state.exists else ([], [], 0.0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("t")
-        t, v = np.r_[tail_t, rows["t"]], np.r_[tail_v, rows["v"]]
+        tail, wait_t, wait_s, wait_v, last, run = state.get if state.exists else ([], [], [], [], 0.0, [])
+        run, mark = list(run), state.getCurrentWatermarkMs()
+        rows = pd.DataFrame({"t": np.asarray(wait_t, float), "s": np.asarray(wait_s, np.int64), "v": np.asarray(wait_v, float)})
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches))
+            t = (new["ts"] - pd.Timestamp(0)).dt.total_seconds() if new["ts"].dt.tz is None else new["ts"].dt.tz_convert("UTC").astype("int64") / 1e9
+            rows = pd.concat([rows, pd.DataFrame({"t": t.to_numpy(float), "s": new["seq"].to_numpy(np.int64), "v": new["v"].to_numpy(float)})])
+        rows = rows.sort_values(["t", "s"], kind="stable")
+        ready = rows[rows["t"] * 1000 <= mark]
+        waits = rows[rows["t"] * 1000 > mark]
         out = []
-        for i in range(max(lag, len(tail_t)), len(v)):
-            d = v[i] - v[i - lag]
-            sign = 0 if abs(d) < threshold else (1 if d > 0 else -1)
-            if sign != run_d:
-                if run_d and run_n >= least:
-                    out.append((key[0], run_t, run_d, run_n))
-                run_t, run_d, run_n = float(t[i]), sign, 0
-            run_n += 1
-        state.update((list(map(float, t[-lag:])), list(map(float, v[-lag:])), run_t, run_d, run_n))
-        yield pd.DataFrame(out, columns=["key", "t", "direction", "n"])
-
-    return samples.groupBy("key").applyInPandasWithState(step, EDGE_SCHEMA, "t array<double>, v array<double>, run_t double, run_d int, run_n long", "append", "NoTimeout")
+        if len(ready):
+            values = np.r_[np.asarray(tail, float), ready["v"].to_numpy()]
+            d, z = lag_z(values, lag, frame, least, floor)
+            for t, dd, zz in zip(ready["t"].to_numpy(), d[len(tail) :], z[len(tail) :], strict=True):
+                if abs(zz) >= threshold:
+                    run = [run[0] + 1, *run[1:6], t] if run else [1.0, -1.0, 0.0, 0.0, 0.0, t, t]
+                    if abs(zz) > run[1]:
+                        run[1:5] = [abs(zz), t, zz, dd]
+                elif run:
+                    out.append(run)
+                    run = []
+            tail, last = values[-reach:].tolist(), float(ready["t"].iloc[-1])
+        if run and mark >= (last + quiet_s) * 1000:
+            out.append(run)
+            run = []
+        state.update((tail, waits["t"].tolist(), waits["s"].tolist(), waits["v"].tolist(), last, [float(x) for x in run]))
+        if len(waits):
+            state.setTimeoutTimestamp(max(mark + 1, int(np.ceil(waits["t"].iloc[0] * 1000))))
+        elif run:
+            state.setTimeoutTimestamp(max(mark + 1, int(np.ceil((last + quiet_s) * 1000))))
+        found = [(key[0], r[2], r[3], 1 if r[4] > 0 else -1, r[5], r[6], int(r[0])) for r in out if r[0] >= persist]
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in EDGE_SCHEMA.split(", ")])
+
+    return samples.select("key", "ts", "seq", "v").withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, EDGE_SCHEMA, EDGE_STATE, "append", "EventTimeTimeout")
