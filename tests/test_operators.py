@@ -46,12 +46,6 @@ def test_durations_and_usability(spark):
     assert X.pooled_features(df.where("f = 'b'"), ["duration"]) == []
 
 
-def test_edits_in_order(spark):
-    edits = [(1, 1, "update", 1), (1, 2, "update", 1), (1, 3, "delete", 2), (1, 4, "update", 3), (2, 1, "update", 2)]
-    want = [(1, 1, True, None, 2), (1, 2, False, "stale", 2), (1, 3, True, None, 3), (1, 4, False, "deleted", 3), (2, 1, False, "stale", 1)]
-    assert rows(H.apply_edits(spark.createDataFrame(edits, "event long, edit long, action string, expected long"))) == want
-
-
 def test_names_and_numbers(spark):
     now = spark.createDataFrame([(1, "old")], "k long, name string")
     edits = spark.createDataFrame([(1, " ", 5), (2, " a   b ", 6), (2, "z", 3)], "k long, name string, at long")
