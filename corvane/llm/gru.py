@@ -12,6 +12,8 @@ import heapq
 import numpy as np
 
 CLASSES, HIDDEN, WINDOW, LANES = 32, 16, 16, 512
+#: Tokens of each lane that are laid out side by side at a time (a multiple of WINDOW).
+SPAN = 64 * WINDOW
 LN10 = float(np.log(10.0))
 
 
@@ -62,37 +64,45 @@ def _softmax_rows(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _side_by_side(lane_words, lane_owner, lane_begins, start: int, n: int):
+    """Words (-1: none), owners and begins of the next SPAN tokens of the first n lanes, a column each."""
+    words, owner, begins = np.full((SPAN, n), -1, np.int32), np.zeros((SPAN, n), np.int32), np.zeros((SPAN, n), bool)
+    for i in range(n):
+        part = lane_words[i][start : start + SPAN]
+        words[: len(part), i], owner[: len(part), i] = part, lane_owner[i][start : start + SPAN]
+        first, last = np.searchsorted(lane_begins[i], [start, start + SPAN])
+        begins[lane_begins[i][first:last] - start, i] = True
+    return words, owner, begins
+
+
 def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, update=None) -> np.ndarray:
     """The natural log probability of each document; with update(gradient, tokens), training goes along.
 
-    docs: word numbers; each begins with no state, whether or not the one before it closes with end. update gets each window's summed gradient.
+    docs: word numbers; each begins with no state, whether or not the one before it closes with end. update
+    gets each window's summed gradient. Memory goes with the tokens of all documents together: a very
+    long one lies in a lane of its own and takes no room in the others.
     """
     p = views(flat, vocab)
     size = vocab // CLASSES
     lanes = lanes_of(docs)
     lengths = np.array([sum(len(docs[d]) for d in lane) for lane in lanes])
     total, longest = len(lanes), int(lengths.max())
-    steps = -(-longest // WINDOW) * WINDOW
-    words = np.full((steps, total), -1, np.int32)
-    owner = np.zeros((steps, total), np.int32)
-    begins = np.zeros((steps, total), bool)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for d in lane:
-            words[at : at + len(docs[d]), i] = docs[d]
-            owner[at : at + len(docs[d]), i] = d
-            begins[at, i] = True
-            at += len(docs[d])
+    # Each lane's words, whose they are, and where documents begin: as much as there is, however unlike the lanes are.
+    lane_words = [np.concatenate([docs[d] for d in lane]).astype(np.int32) for lane in lanes]
+    lane_owner = [np.repeat(np.array(lane, np.int32), [len(docs[d]) for d in lane]) for lane in lanes]
+    lane_begins = [np.cumsum([0] + [len(docs[d]) for d in lane])[:-1] for lane in lanes]
     score = np.zeros(len(docs))
     hidden, before = np.zeros((total, HIDDEN), np.float32), np.full(total, end, np.int32)
     grad = np.zeros_like(flat) if update else None
     g = views(grad, vocab) if update else None
     for t0 in range(0, longest, WINDOW):
+        if t0 % SPAN == 0:
+            words, owner, begins = _side_by_side(lane_words, lane_owner, lane_begins, t0, int((lengths > t0).sum()))
         n = int((lengths > t0).sum())
-        T = min(WINDOW, longest - t0)
-        w = words[t0 : t0 + T, :n]
+        T, s0 = min(WINDOW, longest - t0), t0 % SPAN
+        w = words[s0 : s0 + T, :n]
         previous = np.concatenate([before[None, :n], w[:-1]])
-        previous = np.where((previous < 0) | begins[t0 : t0 + T, :n], end, previous)
+        previous = np.where((previous < 0) | begins[s0 : s0 + T, :n], end, previous)
         fresh = previous == end
         x = p["inputs"][previous]
         h = hidden[:n]
@@ -135,7 +145,7 @@ def run_lanes(flat: np.ndarray, vocab: int, docs: list[np.ndarray], end: int, up
                 d_out[a:b] += inside @ p["to_word"][k].T
                 g["to_word"][k] = out[a:b].T @ inside
                 g["word_bias"][k] = inside.sum(0)
-        score += np.bincount(owner[t0 : t0 + T, :n].ravel()[real][order], logp, len(docs))
+        score += np.bincount(owner[s0 : s0 + T, :n].ravel()[real][order], logp, len(docs))
         if not update:
             continue
         dOUT = np.zeros((T * n, HIDDEN), np.float32)

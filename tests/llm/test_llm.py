@@ -465,3 +465,28 @@ def test_pipeline(spark):
         want.append((r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert Counter(map(tuple, out.collect())) == Counter(want)
     assert sum(bool(secrets.find_secrets(r["text"])) for r in kept.collect()) == 0
+
+
+def test_bpe_of_characters_that_unicode_versions_differ_in():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    coder = bpe.WordBpe(bpe.tokenizer_bytes())
+    points = [*range(0x80, 0x3000, 3), *range(0xA000, 0xD800, 11), *range(0xE000, 0x10000, 7), *range(0x10000, 0x20000, 5), *range(0x20000, 0x110000, 499)]
+    points += [0x558, 0x58B, 0x88F, 0x1C89, 0xA7CB, 0xA7CE, 0xA7CF, 0xA7DC, 0x10D50, 0x10D65, 0x16EA0, 0x16EBB, 0x12475, 0x33479, 0x3D000]
+    for c in points:
+        x = f"a{chr(c)}b {chr(c)}{chr(c)}"
+        assert memoryview(coder.encode(x)[0]).cast("i").tolist() == t.encode(x, add_special_tokens=False).ids, hex(c)
+
+
+def test_lm_lanes_of_very_unlike_lengths():
+    """A text of 60,000 words beside many short ones: memory goes with the words there are."""
+    import tracemalloc
+
+    docs = [np.full(60_000, 3, np.int32), *[np.array([1, 2, 63], np.int32)] * 511]
+    flat = gru.start(64, np.ones(64))
+    tracemalloc.start()
+    scores = gru.run_lanes(flat, 64, docs, 63)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30_000_000 and np.allclose(scores[1:], scores[1])
