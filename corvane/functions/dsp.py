@@ -1,8 +1,7 @@
-"""Filters, resampling, peaks and model inputs for one window at a time, in numpy."""
+"""Filters of one array and the scoring of one window, in numpy; operators/smoothing.py and windows.py apply them."""
 
 from __future__ import annotations
 
-from fractions import Fraction
 from math import factorial
 
 import numpy as np
@@ -67,45 +66,6 @@ def zero_phase_filter(x: np.ndarray, sections: np.ndarray, fs: float) -> np.ndar
     return back[len(ahead) : len(ahead) + len(x)]
 
 
-def resample(x: np.ndarray, fs: float, target: float, most: int = 1000) -> tuple[np.ndarray, float]:
-    """Rational resampling: low-passed below the lower half rate, then read at the new times."""
-    ratio = Fraction(target / fs).limit_denominator(most)
-    if ratio == 1 or len(x) < 2:
-        return x, fs
-    smooth = zero_phase_filter(x, butterworth_sections(6, 0.45 * min(fs, target), fs), fs) if ratio < 1 else x
-    n = -(-len(x) * ratio.numerator // ratio.denominator)
-    return np.interp(np.arange(n) / float(ratio), np.arange(len(x)), smooth), fs * float(ratio)
-
-
-def regrid(x: np.ndarray, fs: float, target: float) -> tuple[np.ndarray, float]:
-    """Every k-th sample if the rates divide, else linear interpolation to the target rate."""
-    k = fs / target
-    if abs(k - round(k)) < 1e-9 and round(k) >= 1:
-        return x[:: round(k)], fs / round(k)
-    n = int(len(x) * target / fs)
-    return np.interp(np.arange(n) / target, np.arange(len(x)) / fs, x), target
-
-
-def centred_mean(x: np.ndarray, width: int) -> np.ndarray:
-    """Mean over an odd width with the ends padded by the end values."""
-    h = max(0, (width - (width % 2 == 0)) // 2)
-    sums = np.cumsum(np.r_[0.0, np.pad(x, h, mode="edge")])
-    return (sums[2 * h + 1 :] - sums[: -2 * h - 1]) / (2 * h + 1)
-
-
-def robust_scale(x: np.ndarray) -> np.ndarray:
-    """Less the median, over the median deviation."""
-    off = x - np.median(x)
-    return off / max(1.4826 * float(np.median(np.abs(off))), 1e-9)
-
-
-def window_features(x: np.ndarray, fs: float, points: int = 256) -> np.ndarray:
-    """4 rows: raw, 20 ms and 80 ms means on a fixed number of points, scaled, and the position."""
-    rows = [x, centred_mean(x, int(0.02 * fs)), centred_mean(x, int(0.08 * fs))]
-    at = np.linspace(0, len(x) - 1, points)
-    return np.stack([robust_scale(np.interp(at, np.arange(len(x)), r)) for r in rows] + [np.linspace(0, 1, points)]).astype(np.float32)
-
-
 def score_landmarks(features: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """Three ordered fractions of the window from a small convolutional network's weights."""
     x = features.astype(np.float64)
@@ -119,97 +79,3 @@ def score_landmarks(features: np.ndarray, weights: dict[str, np.ndarray]) -> np.
     h = weights["dense0_w"] @ x.mean(1) + weights["dense0_b"]
     h = h / (1 + np.exp(-h))
     return np.sort(1 / (1 + np.exp(-(weights["dense1_w"] @ h + weights["dense1_b"]))))
-
-
-def trailing_median(x: np.ndarray, n: int, least: int = 5) -> np.ndarray:
-    """Median of the up to n values that end at each sample; NaN with fewer than least."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        view = np.lib.stride_tricks.sliding_window_view(x, n)
-        for a in range(0, len(view), 4096):
-            out[n - 1 + a : n - 1 + a + 4096] = np.nanmedian(view[a : a + 4096], axis=1)
-    for i in range(least - 1, min(n - 1, len(x))):
-        out[i] = np.nanmedian(x[: i + 1])
-    return out
-
-
-def edges(y: np.ndarray, fs: float, threshold: float, lag_s: float = 0.02, frame_s: float = 1.0, hold_s: float = 0.01) -> list[dict]:
-    """Runs where the change over lag_s stands out from the trailing median and deviation."""
-    lag, n = max(1, round(lag_s * fs)), max(8, round(frame_s * fs))
-    d = np.r_[np.zeros(lag), y[lag:] - y[:-lag]] if len(y) > lag else np.zeros(len(y))
-    med = trailing_median(d, n)
-    mad = trailing_median(np.abs(d - np.nan_to_num(med)), n)
-    z = np.zeros(len(y))
-    z[1:] = np.nan_to_num(0.6745 * (d[1:] - med[:-1]) / np.maximum(mad[:-1], 1e-4))
-    on = np.r_[False, np.abs(z) >= threshold, False]
-    starts, stops = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(~on[1:] & on[:-1])
-    out = []
-    for a, b in zip(starts, stops, strict=True):
-        if b - a >= max(1, round(hold_s * fs)):
-            peak = a + int(np.argmax(np.abs(z[a:b])))
-            out.append({"i": peak, "z": float(z[peak]), "direction": 1 if d[peak] >= 0 else -1, "start": int(a), "stop": int(b)})
-    return out
-
-
-def _single_edges(found: list[dict], n: int, tolerance: int) -> tuple[int, int, int, str]:
-    """Start, middle and end of a window of n samples without a usable pair of edges, and the method."""
-    marks, notes = [], []
-    one_sided = len({e["direction"] for e in found}) == 1
-    for direction, key, name, estimate in ((1, "start", "rise", 0), (-1, "stop", "fall", n - 1)):
-        mine = [e for e in found if e["direction"] == direction]
-        near = [min(e[key], n - 1) for e in mine if abs(min(e[key], n - 1) - estimate) <= tolerance]
-        if mine and one_sided:
-            marks.append(min(max(mine, key=lambda e: abs(e["z"]))[key], n - 1))
-            notes.append(f"{name} only")
-        elif near:
-            marks.append(min(near, key=lambda i: abs(i - estimate)))
-            notes.append(f"{name} snap")
-        else:
-            marks.append(estimate)
-            notes.append(f"no {name}")
-    start, end = marks[0], max(marks)
-    return start, min(max(n // 2, start), end), end, "fallback" if notes == ["no rise", "no fall"] else "; ".join(notes)
-
-
-def detect_event(optical: np.ndarray, electrical: np.ndarray, fs: float, threshold: float = 4.5, share: float = 0.8, tolerance: float = 0.015) -> dict:
-    """Landmarks of one window: the best rise and fall, level crossings, electrical peaks and bases.
-
-    Without a usable pair the window's start, middle and end are estimates. Where all edges go one way,
-    the one that stands out most gives its side; any other side takes the edge of its direction nearest
-    to the estimate, within tolerance seconds, and else keeps the estimate. The method says what was done.
-    """
-    y = zero_phase_filter(optical, bessel_sections(8, min(25.0, fs / 5), fs), fs)
-    found = edges(y, fs, threshold)
-    best = None
-    for rise in (e for e in found if e["direction"] > 0):
-        for fall in (e for e in found if e["direction"] < 0 and e["start"] > rise["stop"]):
-            inside, before = y[rise["i"] : fall["i"]], y[max(0, rise["start"] - round(0.03 * fs)) : max(1, rise["start"])]
-            if not len(inside) or not len(before):
-                continue
-            plateau, base = float(np.median(inside)), float(np.median(before))
-            if plateau > base and np.mean(inside > (plateau + base) / 2) >= share and (best is None or plateau - base > best[0]):
-                best = (plateau - base, rise, fall, base, plateau)
-    n = len(y)
-    if best is None:
-        start, middle, end, method = _single_edges(found, n, round(tolerance * fs))
-    else:
-        _, rise, fall, base, plateau = best
-        half = (base + plateau) / 2
-        over = np.flatnonzero(y[rise["start"] : fall["stop"]] >= half) + rise["start"]
-        start, end, method = int(over[0]), int(over[-1]), "edge pair"
-        near = np.flatnonzero(y[start : end + 1] >= base + 0.9 * (plateau - base)) + start
-        middle = int(near[0]) if len(near) else (start + end) // 2
-    head = electrical[: max(8, n // 5)]
-    level, spread = float(np.median(head)), float(np.std(head)) + 1e-9
-
-    def around(at: int, top: bool) -> tuple[int, int]:
-        a, b = max(0, at - round(0.02 * fs)), min(n, at + round(0.02 * fs) + 1)
-        part = electrical[a:b]
-        peak = a + int(np.argmax(part) if top else np.argmin(part))
-        calm = np.flatnonzero(np.abs(electrical - level) <= 2.5 * spread)
-        before, after = calm[calm < peak], calm[calm > peak]
-        return peak, int((before[-1] if len(before) else a) if top else (after[0] if len(after) else b - 1))
-
-    entry_peak, entry_base = around(start, True)
-    exit_peak, exit_base = around(end, False)
-    return {"start": start, "plateau": middle, "end": end, "entry_base": entry_base, "entry_peak": entry_peak, "exit_peak": exit_peak, "exit_base": exit_base, "method": method}

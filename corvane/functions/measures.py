@@ -101,3 +101,13 @@ def standardize(df: DataFrame, columns: list[str], log_columns: tuple[str, ...]
     joined = logged.join(F.broadcast(stats))
     scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in columns}
     return joined.withColumns(scaled).drop(*stats.columns)
+
+
+#: Decimals of times, measures and percents in tables.
+TIME_DIGITS, MEASURE_DIGITS, PERCENT_DIGITS = 4, 3, 2
+
+
+def rounded(df: DataFrame, times: list[str] = (), measures: list[str] = (), percents: list[str] = ()) -> DataFrame:
+    """The columns rounded for a table, halves to the even digit; nulls stay."""
+    digits = {**dict.fromkeys(times, TIME_DIGITS), **dict.fromkeys(measures, MEASURE_DIGITS), **dict.fromkeys(percents, PERCENT_DIGITS)}
+    return df.withColumns({c: F.bround(c, n) for c, n in digits.items()})

@@ -51,10 +51,21 @@ def name_key(path: Column) -> Column:
     return F.coalesce(F.lower(F.trim(tidy)), F.lit(""))
 
 
+def _key_of(base: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(without_extension(base), r"(?U)[\s_]+", " "))), F.lit(""))
+
+
 def with_name_key(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Add the forgiving key of a name column; each distinct name is folded once. Null or blank: blank."""
-    keys = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(out, name_key(F.col(name)))
-    return df.join(keys, name, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    """Add the forgiving key of a name column (see name_key). Null or blank: blank.
+
+    Names of ASCII letters need no folding and stay in the JVM; the others take their key from the table
+    of their distinct names.
+    """
+    plain = F.coalesce(F.col(name), F.lit("")).rlike(r"^[\x00-\x7F]*$")
+    here = df.where(plain).withColumn(out, _key_of(base_name(F.trim(name))))
+    other = df.where(~plain)
+    keys = other.select(name).distinct().withColumn(out, name_key(F.col(name)))
+    return here.unionByName(other.join(keys, name).select(*df.columns, out))
 
 
 def normalize_condition(word: Column) -> Column:
@@ -91,10 +102,29 @@ def slugify(text: Column, fallback: str, most: int = 60) -> Column:
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(clean, r"^_+|_+$", ""), 1, most), F.lit("")), F.lit(fallback))
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """Repeats of a name get ' (2)', ' (3)' and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+def unique_names(df: DataFrame, name: str, order: list[str], out: str = "unique_name", taken: DataFrame | None = None) -> DataFrame:
+    """Add a name that no other row and none of taken (a column of the same name) has.
+
+    The first row keeps a free name; repeats, and all where the name is taken, get the next free ' (2)',
+    ' (3)' and so on. A form that another row has as its own name is not free. Null names stay null.
+    """
+    own = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
+    there = own.select(name, F.lit(False).alias("_old"))
+    if taken is not None:
+        there = there.unionByName(taken.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_old", F.lit(True)))
+    # Each form "base (n)" that is there, by base; and the bases that are old themselves.
+    form = r"^(?s)(.*) [(]([0-9]{1,9})[)]$"
+    used = there.select(F.regexp_extract(name, form, 1).alias(name), F.regexp_extract(name, form, 2).try_cast("int").alias("_i")).where("_i >= 2")
+    used = used.unionByName(there.where("_old").select(name, F.lit(1).alias("_i"))).distinct()
+    n_used = used.groupBy(name).agg(F.count(F.lit(1)).alias("_used"))
+    most = F.col("_rows") + F.coalesce("_used", F.lit(0))
+    numbers = own.join(n_used, name, "left").select(name, F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("_i"))
+    free = numbers.join(used, [name, "_i"], "left_anti")
+    free = free.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy("_i")))
+    placed = df.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(*order)))
+    joined = placed.join(free, [name, "_n"], "left")
+    made = F.when(F.col("_i") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("_i").cast("string"), F.lit(")")))
+    return joined.withColumn(out, made).select(*df.columns, out)
 
 
 def format_time(epoch: Column) -> Column:

@@ -150,21 +150,30 @@ def named_files(rows: DataFrame, table: str, name: str) -> DataFrame:
 def channel_roles(channels: Column, fixed: Column | None = None) -> Column:
     """A struct with the channel numbers of the electrical, optical and reference role.
 
-    channels: array of (index, name, units). A role comes from fixed (a struct of the same fields)
-    where that has it; else it is the first channel in amperes, the first in volts without ref in its
-    name, the first in volts with it; else 0, 2 and 3. None is beyond the last channel.
+    channels: array of (index, name, units). A role comes from fixed (a struct of the same fields) where
+    that has it. Else, with units in any case: electrical is the first channel in amperes (units with pa,
+    or that end in a), or channel 0; with channels in volts, the reference is the first of them with ref in
+    its name, else the second, else the only one, and the optical one the first that is not the reference
+    (or the only one); without volts, optical and reference are the first two other channels, or as many
+    as there are. None is beyond the last channel.
     """
     last = F.size(channels) - 1
-    first = lambda cond: F.get(F.filter(channels, cond), F.lit(0))["index"]
-    volt = lambda c: c["units"].endswith("V") & ~c["units"].startswith("m")
-    ref = lambda c: F.lower(c["name"]).contains("ref")
+    units = lambda c: F.lower(F.coalesce(c["units"], F.lit("")))
+    nth = lambda found, n: F.get(found, F.lit(n))["index"]
+    electrical = F.coalesce(nth(F.filter(channels, lambda c: units(c).contains("pa") | units(c).endswith("a")), 0), F.lit(0))
+    volts = F.filter(channels, lambda c: units(c) == "v")
+    named = F.filter(volts, lambda c: F.lower(F.coalesce(c["name"], F.lit(""))).contains("ref"))
+    reference = F.coalesce(nth(named, 0), nth(volts, 1), nth(volts, 0))
+    optical = F.when(nth(volts, 0) != reference, nth(volts, 0)).otherwise(F.coalesce(nth(volts, 1), nth(volts, 0)))
+    others = F.filter(channels, lambda c: c["index"] != electrical)
+    plain = F.coalesce(nth(others, 0), electrical)
     found = {
-        "electrical": (first(lambda c: c["units"].endswith("A")), 0),
-        "optical": (first(lambda c: volt(c) & ~ref(c)), 2),
-        "reference": (first(lambda c: volt(c) & ref(c)), 3),
+        "electrical": electrical,
+        "optical": F.when(F.size(volts) > 0, optical).otherwise(plain),
+        "reference": F.when(F.size(volts) > 0, reference).otherwise(F.coalesce(nth(others, 1), plain)),
     }
     given = lambda role: [fixed[role]] if fixed is not None else []
-    return F.struct(*[F.least(F.coalesce(*given(role), c, F.lit(n)), last).alias(role) for role, (c, n) in found.items()])
+    return F.struct(*[F.least(F.coalesce(*given(role), c), last).alias(role) for role, c in found.items()])
 
 
 def json_columns(df: DataFrame, column: str, schema: str, out: str) -> DataFrame:

@@ -64,9 +64,3 @@ def shift_times(events: DataFrame, offsets: DataFrame, times: list[str]) -> Data
     """File times to experiment times by each recording's offset."""
     joined = events.join(offsets.select("rec_id", "t_offset"), "rec_id")
     return joined.withColumns({c: F.col(c) + F.col("t_offset") for c in times}).drop("t_offset")
-
-
-def move_landmarks(events: DataFrame, edits: DataFrame, time: str) -> DataFrame:
-    """Events with the edited time where there is one."""
-    moved = edits.select("event", F.col(time).alias("_new"))
-    return events.join(moved, "event", "left").withColumn(time, F.coalesce("_new", time)).drop("_new")

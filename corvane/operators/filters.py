@@ -66,13 +66,17 @@ def author_filter(df: DataFrame, column: str, listed: DataFrame, ticked: DataFra
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("?"))).join(hidden, column, "left_anti")
 
 
-def failure_note(found: Column, start: Column, stop: Column, n_samples: Column, longest: float = 60.0, fewest: int = 32) -> Column:
-    """Why an event cannot be measured, or null."""
+def failure_note(found: Column, start: Column, stop: Column, n_samples: Column, longest: float = 60.0, fewest: int = 32, open_error: Column | None = None, model_error: Column | None = None) -> Column:
+    """Why an event cannot be measured, or null; open_error and model_error are texts of errors, null for none."""
+    none = F.lit(None).cast("string")
+    opened, model = (none if e is None else e for e in (open_error, model_error))
     return (
         F.when(~found, "recording not found")
+        .when(opened.isNotNull(), F.concat(F.lit("open failed: "), opened))
         .when(start.isNull() | stop.isNull() | (stop <= start), "no window")
         .when(stop - start > longest, "window too long")
         .when(n_samples < fewest, "too few samples")
+        .when(model.isNotNull(), F.concat(F.lit("model failure: "), model))
     )
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.events import numbered
+from corvane.storage import cut
+
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the first in order (a single-row aggregate, no window over the group)."""
@@ -13,15 +16,23 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*named), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
+#: Recordings that are broadcast to the rows at most; beyond, they are joined by shuffle.
+MAX_BROADCAST_KEYS = 200_000
+
+
 def match_recordings(rows: DataFrame, recordings: DataFrame, key: str, id_col: str, default_id: int | None = None) -> DataFrame:
     """Add the id of the recording with the row's key; null or the default where there is none.
 
-    Blank keys match nothing and do not gather in one task: they are joined apart.
+    Blank keys match nothing. Where the recordings are too many to be broadcast, rows with blank keys
+    go round the join, so that they do not gather in one task.
     """
-    ids = first_per(recordings.select(key, id_col).where(F.col(key) != ""), [key], [id_col])
-    named = rows.where(F.col(key) != "").join(ids, key, "left")
-    blank = rows.where(F.coalesce(F.col(key) == "", F.lit(True))).withColumn(id_col, F.lit(None).cast(ids.schema[id_col].dataType))
-    out = named.unionByName(blank)
+    ids = cut(first_per(recordings.select(key, id_col).where(F.col(key) != ""), [key], [id_col]))
+    if ids.count() <= MAX_BROADCAST_KEYS:
+        out = rows.join(F.broadcast(ids), key, "left")
+    else:
+        named = rows.where(F.col(key) != "").join(ids, key, "left")
+        blank = rows.where(F.coalesce(F.col(key) == "", F.lit(True))).withColumn(id_col, F.lit(None).cast(ids.schema[id_col].dataType))
+        out = named.unionByName(blank)
     return out.withColumn(id_col, F.coalesce(id_col, F.lit(default_id))) if default_id is not None else out
 
 
@@ -78,6 +89,17 @@ def import_plan(files: DataFrame, experiments: DataFrame, recordings: DataFrame,
     return plan.select("name", "experiment", exists.alias("exists"), differs.alias("differs"), (~exists & (F.col("n_events") > 0)).alias("selected"))
 
 
+def plan_by_experiment(plan: DataFrame) -> DataFrame:
+    """(experiment, n_files, n_selected, n_exists, n_differs, conditions): the plan (with condition) grouped.
+
+    conditions: map from each condition (blank and null: other) to its files.
+    """
+    condition = F.coalesce(F.nullif(F.trim("condition"), F.lit("")), F.lit("other"))
+    counts = plan.groupBy("experiment", condition.alias("condition")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in ("selected", "exists", "differs")])
+    pairs = F.array_sort(F.collect_list(F.struct("condition", "n")))  # an experiment's few conditions
+    return counts.groupBy("experiment").agg(F.sum("n").alias("n_files"), *[F.sum(c).alias(f"n_{c}") for c in ("selected", "exists", "differs")], F.map_from_entries(pairs).alias("conditions"))
+
+
 def route_rows(rows: DataFrame, recordings: DataFrame, key: str) -> DataFrame:
     """Each row with the experiment of the first recording that has its key (null: unmatched)."""
     first = first_per(recordings.select(key, "exp_id", "rec_id"), [key], ["rec_id"])
@@ -99,3 +121,24 @@ def register_recordings(new: DataFrame, known: DataFrame, replace: bool = False)
         .otherwise("reject: already there")
     )
     return joined.select("exp_id", "stem", "file_name", action.alias("action"))
+
+
+def registered(new: DataFrame, known: DataFrame, next_id: int, replace: bool = False) -> DataFrame:
+    """The recordings (rec_id, exp_id, stem, file_name, status, error, condition) after new ones are registered.
+
+    new: exp_id, stem, file_name, condition. Inserted ones are pending and numbered from next_id in order of
+    experiment and stem; updated ones keep their id and become pending, with the new name and condition and
+    no error; all others stay. Registering the same again changes nothing (unless replace is set).
+    """
+    acts = register_recordings(new.select("exp_id", "stem", "file_name"), known, replace)
+    conditions = first_per(new.select("exp_id", "stem", "file_name", "condition"), ["exp_id", "stem", "file_name"], ["condition"])
+    named = acts.join(conditions, ["exp_id", "stem", "file_name"], "left")
+    pending = lambda df: df.withColumn("status", F.lit("pending")).withColumn("error", F.lit(None).cast("string"))
+    inserted = pending(numbered(named.where("action = 'insert'"), ["exp_id", "stem"], "rec_id").withColumn("rec_id", (F.col("rec_id") + next_id - 1).cast("long")))
+    changes = named.where("action = 'update'").select("exp_id", "stem", F.col("file_name").alias("_file"), F.col("condition").alias("_condition"), F.lit(True).alias("_new"))
+    kept = known.join(changes, ["exp_id", "stem"], "left")
+    is_new = F.coalesce("_new", F.lit(False))
+    swap = {"file_name": F.col("_file"), "condition": F.col("_condition"), "status": F.lit("pending"), "error": F.lit(None).cast("string")}
+    kept = kept.withColumns({c: F.when(is_new, v).otherwise(F.col(c)) for c, v in swap.items()})
+    names = ["rec_id", "exp_id", "stem", "file_name", "status", "error", "condition"]
+    return kept.select(*names).unionByName(inserted.select(*names))

@@ -148,22 +148,6 @@ def assign_clusters(df: DataFrame, features: list[str], models: dict[int, Model]
     return raw.withColumn("labels", numbered)
 
 
-def fit_local(x: np.ndarray, k: int, n_init: int, seed: int, iterations: int = 100) -> float:
-    """Best log-likelihood of k components on rows in memory."""
-    rng = np.random.default_rng(seed)
-    best = -math.inf
-    for _ in range(n_init):
-        model = _start(x[rng.permutation(len(x))[:k]], x.var(0), k)
-        last = -math.inf
-        for _ in range(iterations):
-            ll, model = update(sums(x, model), k, x.shape[1], len(x))
-            if abs(ll - last) < 1e-4 * len(x):
-                break
-            last = ll
-        best = max(best, ll)
-    return best
-
-
 def sample(model: Model, n: int, rng: np.random.Generator) -> np.ndarray:
     weights, means, covs = model
     c = rng.choice(len(weights), n, p=weights / weights.sum())
@@ -171,52 +155,114 @@ def sample(model: Model, n: int, rng: np.random.Generator) -> np.ndarray:
     return means[c] + np.einsum("nij,nj->ni", low[c], rng.normal(size=(n, means.shape[1])))
 
 
-def bootstrap_lrt(df: DataFrame, best: dict[int, tuple[float, Model]], n: int, n_boot: int = 25, n_init: int = 5, seed: int = 7, in_task_rows: int = 200_000) -> DataFrame:
+#: Rows of a replicate that share a seed, and that are one unit of work.
+SEED_ROWS, UNIT_ROWS = 1024, 65_536
+
+
+def replicate_rows(model: Model, n: int, start: int, stop: int, seed: list[int]) -> np.ndarray:
+    """Rows start to stop of a replicate of n rows; start is a multiple of SEED_ROWS."""
+    parts = [sample(model, min(SEED_ROWS, n - a), np.random.default_rng([*seed, a // SEED_ROWS])) for a in range(start, min(stop, n), SEED_ROWS)]
+    return np.concatenate(parts)
+
+
+def bootstrap_lrt(df: DataFrame, best: dict[int, tuple[float, Model]], n: int, n_boot: int = 25, n_init: int = 5, seed: int = 7, iterations: int = 100, tolerance: float = 1e-4, unit_rows: int | None = None) -> DataFrame:
     """(k, observed, p): tests k - 1 against k components by the likelihood ratio.
 
-    Every replicate has its own seed and is drawn from the smaller model with as many rows as the
-    data. Up to in_task_rows a replicate is fitted in a task; beyond, each is a distributed fit.
-    Failed fits are left out.
+    Each of n_boot replicates of a test is drawn from the smaller model, with as many rows as the data and
+    seeds of its own, and both sizes are fitted from n_init starts. All fits of all replicates and tests
+    advance together: a pass draws each unit of a replicate's rows where it is needed and adds up the
+    statistics of the fits that are still open; only these sums come back. A replicate that is a single
+    unit is iterated within its task; samples, starts and steps are the same either way. A fit that
+    fails is left out, and so is a replicate without fits of both sizes.
     """
     spark = df.sparkSession
     ks = [k for k in sorted(best) if k - 1 in best]
     if not ks:
         return spark.createDataFrame([], "k int, observed double, p double")
-    if n <= in_task_rows:
-        shared = spark.sparkContext.broadcast({k: best[k - 1][1] for k in ks})
-
-        def replicate(key, _) -> pd.DataFrame:
-            b, k = int(key[0]), int(key[1])
-            try:
-                x = sample(shared.value[k], n, np.random.default_rng([seed, k, b]))
-                value = 2 * (fit_local(x, k, n_init, b) - fit_local(x, k - 1, n_init, b))
-            except np.linalg.LinAlgError:
-                value = None
-            return pd.DataFrame({"k": [k], "b": [b], "value": [value]})
-
-        tasks = spark.range(n_boot).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-        null = tasks.repartition(len(ks) * n_boot, "id", "k").groupBy("id", "k").applyInPandas(replicate, "k int, b long, value double")
-    else:
-        rows = []
-        for k in ks:
-            model, names = best[k - 1][1], [f"x{i}" for i in range(best[k][1][1].shape[1])]
-            for b in range(n_boot):
-
-                def draw(batches, model=model, k=k, b=b):
-                    for batch in batches:
-                        rng = np.random.default_rng([seed, k, b, int(batch["id"].iloc[0])])
-                        yield pd.DataFrame(sample(model, len(batch), rng), columns=names)
-
-                x = spark.range(n).mapInPandas(draw, ", ".join(f"{c} double" for c in names))
-                try:
-                    fits = gmm_sweep(x, names, [k - 1, k], n_init, seed=b)
-                    rows.append((k, b, 2 * (fits[k][0] - fits[k - 1][0])))
-                except np.linalg.LinAlgError:
-                    rows.append((k, b, None))
-        null = spark.createDataFrame(rows, "k int, b long, value double")
-    seen = spark.createDataFrame([(k, 2 * (best[k][0] - best[k - 1][0])) for k in ks], "k int, observed double")
-    counts = null.join(seen, "k").where("value is not null").groupBy("k").agg(F.count_if(F.col("value") >= F.col("observed")).alias("above"), F.count(F.lit(1)).alias("done"))
-    return seen.join(counts, "k").select("k", "observed", ((1 + F.col("above")) / (F.col("done") + 1)).alias("p"))
+    unit = max(SEED_ROWS, (unit_rows or UNIT_ROWS) // SEED_ROWS * SEED_ROWS)
+    units, d = -(-n // unit), best[ks[0]][1][1].shape[1]
+    shared = spark.sparkContext.broadcast({k: best[k - 1][1] for k in ks})
+    turns = iterations if units == 1 else 1
+    starts = {}
+    for k in ks:
+        for b in range(n_boot):
+            head = replicate_rows(best[k - 1][1], n, 0, SEED_ROWS, [seed, k, b])
+            for size in (k - 1, k):
+                for r in range(n_init if size > 1 else 1):
+                    order = np.random.default_rng([seed, k, b, size, r, 1 << 31]).permutation(len(head))
+                    if len(head) > size:
+                        starts[k, b, size, r] = _start(head[order[:size]], head.var(0), size)
+    open_, last, done = dict(starts), dict.fromkeys(starts, -math.inf), {}
+
+    def advance(vector: np.ndarray, size: int, before: float) -> tuple[float, Model, bool]:
+        ll, model = update(vector, size, d, n)
+        return ll, model, abs(ll - before) < tolerance * n
+
+    while open_:
+        now = spark.sparkContext.broadcast((open_, last))
+
+        def work(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            models, before = now.value
+            mine: dict[tuple[int, int], list] = {}
+            for m in models:
+                mine.setdefault(m[:2], []).append(m)
+            for batch in batches:
+                out = []
+                for k, b, u in batch[["k", "b", "u"]].itertuples(index=False):
+                    if (k, b) not in mine:
+                        continue
+                    x = replicate_rows(shared.value[k], n, u * unit, (u + 1) * unit, [seed, k, b])
+                    for m in mine[k, b]:
+                        model, ll = models[m], before[m]
+                        try:
+                            for turn in range(turns):
+                                vector = sums(x, model)
+                                if turns > 1:
+                                    ll, model, closed = advance(vector, m[2], ll)
+                                    if closed or turn == turns - 1:
+                                        vector = np.array([ll])
+                                        break
+                        except np.linalg.LinAlgError:
+                            vector = np.array([np.nan])
+                        out.append((*m, vector.tolist()))
+                yield pd.DataFrame(out, columns=["k", "b", "size", "r", "v"])
+
+        def added(key, rows: pd.DataFrame) -> pd.DataFrame:
+            parts = list(rows["v"])
+            whole = [float("nan")] if any(len(p) != len(parts[0]) for p in parts) else np.sum([np.asarray(p) for p in parts], axis=0).tolist()
+            return pd.DataFrame([(*map(int, key), whole)], columns=["k", "b", "size", "r", "v"])
+
+        index = spark.range(len(ks) * n_boot * units, numPartitions=min(len(ks) * n_boot * units, 4 * spark.sparkContext.defaultParallelism))
+        dealt = index.select(F.get(F.array(*[F.lit(k) for k in ks]), F.floor(F.col("id") / (n_boot * units)).cast("int")).alias("k"), (F.floor(F.col("id") / units) % n_boot).cast("int").alias("b"), (F.col("id") % units).alias("u"))
+        sums_of = dealt.mapInPandas(work, "k int, b int, size int, r int, v array<double>")
+        if units > 1:
+            sums_of = sums_of.groupBy("k", "b", "size", "r").applyInPandas(added, "k int, b int, size int, r int, v array<double>")
+        still = {}
+        for row in sums_of.collect():  # a row for each open fit
+            m, vector = (row["k"], row["b"], row["size"], row["r"]), np.asarray(row["v"])
+            if np.isnan(vector).any():
+                continue
+            if turns > 1:
+                done[m] = float(vector[0])
+                continue
+            ll, model, closed = advance(vector, m[2], last[m])
+            last[m] = ll
+            if closed:
+                done[m] = ll
+            else:
+                still[m] = model
+        iterations -= turns
+        if iterations <= 0:
+            done.update({m: last[m] for m in still})
+            still = {}
+        open_ = still
+    rows = []
+    for k in ks:
+        observed = 2 * (best[k][0] - best[k - 1][0])
+        fits = [[max((done[k, b, size, r] for r in range(n_init) if (k, b, size, r) in done), default=None) for size in (k - 1, k)] for b in range(n_boot)]
+        null = [2 * (big - small) for small, big in fits if small is not None and big is not None]
+        rows.append((k, float(observed), (1 + sum(x >= observed for x in null)) / (len(null) + 1)))
+    return spark.createDataFrame(rows, "k int, observed double, p double")
 
 
 def select_k(tests: DataFrame, alpha: float) -> int:

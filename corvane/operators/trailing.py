@@ -24,7 +24,7 @@ NORMAL, LEAST = 0.6745, 5
 def trailing_frame(n: Column, fs: float, longest_s: float = 8.0, share: float = 0.4, shortest_s: float = 0.5) -> Column:
     """Samples of the frame for a signal of n samples: longest_s, or a share of a short signal (shortest_s
     at least), five samples at least and fewer than the signal has where it has more than five."""
-    seconds = F.least(F.lit(longest_s), F.greatest(F.lit(shortest_s), n / fs * share))
+    seconds = F.least(F.lit(longest_s), F.greatest(F.lit(shortest_s), (n - 1) / fs * share))
     wanted = F.greatest(F.lit(LEAST), F.bround(seconds * fs).cast("int"))
     return F.least(wanted, F.greatest(F.lit(LEAST), n - 1)).cast("int")
 
@@ -51,10 +51,11 @@ def lag_z(v: np.ndarray, lag: int, frame: int, least: int, floor: float) -> tupl
     return d, np.nan_to_num(z, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def in_chunks(samples: DataFrame, reach: Column, chunk: int) -> DataFrame:
-    """samples (key, i, ...) with _chunk and _own: each in its chunk, and again in those that reach back to it."""
+def in_chunks(samples: DataFrame, reach: Column, chunk: int, ahead: Column | None = None) -> DataFrame:
+    """samples (key, i, ...) with _chunk and _own: each in its chunk, and again in those that reach back (or ahead) to it."""
     last = F.floor((F.col("i") + reach) / chunk)
-    at = F.explode(F.sequence(F.floor(F.col("i") / chunk).cast("long"), last.cast("long")))
+    first = F.col("i") if ahead is None else F.greatest(F.lit(0), F.col("i") - ahead)
+    at = F.explode(F.sequence(F.floor(first / chunk).cast("long"), last.cast("long")))
     return samples.withColumn("_chunk", at).withColumn("_own", F.col("_chunk") == F.floor(F.col("i") / chunk))
 
 

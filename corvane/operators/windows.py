@@ -29,35 +29,6 @@ def map_windows(windows: DataFrame, helper: Callable[[np.ndarray], np.ndarray],
     return windows.mapInPandas(run, schema)
 
 
-MARKS = ["start", "plateau", "end", "entry_base", "entry_peak", "exit_peak", "exit_base"]
-
-
-def detect_landmarks(windows: DataFrame, fs: float, threshold: float = 4.5, fewest: int = 32) -> DataFrame:
-    """(event, seven times, seven values, method) of windows with event, t, optical and electrical arrays.
-
-    Windows with too few samples, or that fail, keep their row with nulls and the reason as method.
-    """
-    schema = "event long, method string, " + ", ".join(f"{m}_t double, {m}_v double" for m in MARKS)
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for event, t, optical, electrical in zip(batch["event"], batch["t"], batch["optical"], batch["electrical"], strict=True):
-                values = [None] * 14
-                if len(optical) < fewest:
-                    method = "too few samples"
-                else:
-                    found = dsp.detect_event(np.asarray(optical), np.asarray(electrical), fs, threshold)
-                    method = found.pop("method")
-                    source = {m: optical if m in MARKS[:3] else electrical for m in MARKS}
-                    values = [v for m in MARKS for v in (float(t[found[m]]), float(source[m][found[m]]))]
-                rows.append((event, method, *values))
-            yield pd.DataFrame(rows, columns=names)
-
-    return windows.select("event", "t", "optical", "electrical").mapInPandas(run, schema)
-
-
 def causal_chunks(chunks: DataFrame, order: int = 8, cutoff: float = 100.0, halo_s: float = 0.25) -> DataFrame:
     """Causal low-pass of signal chunks (file, channel, chunk_idx, i0, fs, values).
 

@@ -131,12 +131,20 @@ def event_view_window(spark, sf_dir):
     return B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v0.alias("v0"), v1.alias("v1"))
 
 
-@query("""WITH c AS (SELECT s_suppkey, [{'name': 'I', 'units': CASE WHEN s_suppkey % 2 = 0 THEN 'pA' ELSE 'mV' END}, {'name': 'Opt', 'units': 'V'}, {'name': 'OptRef', 'units': CASE WHEN s_suppkey % 3 = 0 THEN 'V' ELSE 'mA' END}] AS ch FROM supplier)
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 3 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 2 END ELSE 0 END AS electrical, 1 AS optical, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 2 END AS reference FROM c""")
+@query("""WITH k AS (SELECT s_suppkey, s_suppkey % 6 AS k FROM supplier)
+SELECT s_suppkey, CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS electrical, CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS optical, CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 0 END AS reference FROM k""")
 def channel_roles(spark, sf_dir):
-    n = F.col("s_suppkey")
-    ch = lambda i, name, unit: F.struct(F.lit(i).alias("index"), F.lit(name).alias("name"), unit.alias("units"))
-    channels = F.array(ch(0, "I", F.when(n % 2 == 0, "pA").otherwise("mV")), ch(1, "Opt", F.lit("V")), ch(2, "OptRef", F.when(n % 3 == 0, "V").otherwise("mA")))
+    """Volts with and without a name in ref, units in any case, none in volts, one channel only."""
+    kinds = [
+        [("I", "pA"), ("Opt", "V"), ("OptRef", "V")],
+        [("Opt", "v"), ("I", "nA"), ("Other", "V")],
+        [("I", "PA"), ("Opt", "mV"), ("Ref", "mV")],
+        [("ref", "V"), ("Opt", "V"), ("I", "uA")],
+        [("x", "mV"), ("y", "V")],
+        [("x", "V")],
+    ]
+    ch = lambda i, name, unit: F.struct(F.lit(i).alias("index"), F.lit(name).alias("name"), F.lit(unit).alias("units"))
+    channels = F.get(F.array(*[F.array(*[ch(i, *c) for i, c in enumerate(cs)]) for cs in kinds]), (F.col("s_suppkey") % 6).cast("int"))
     roles = B.table(spark, sf_dir, "supplier").withColumn("channels", channels)
     return roles.select("s_suppkey", K.channel_roles(F.col("channels")).alias("r")).select("s_suppkey", "r.*")
 
@@ -221,9 +229,25 @@ def slugify(spark, sf_dir):
     return B.table(spark, sf_dir, "pages").select("page_id", N.slugify(F.col("url"), "page").alias("slug"))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, p_name, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS unique_name FROM n""")
+@query("""WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_mktsegment || ' (' || 2 * (c_custkey % 4) || ')' END AS name FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 17 = 1), old AS (SELECT 'BUILDING' AS name UNION ALL SELECT 'BUILDING (3)' UNION ALL SELECT 'HOUSEHOLD (2)'),
+own AS (SELECT name, count(*) AS n FROM b GROUP BY 1), form AS (SELECT name AS form, FALSE AS old FROM own UNION ALL SELECT name, TRUE FROM old),
+used AS (SELECT DISTINCT regexp_extract(form, '^(.*) [(]([0-9]+)[)]$', 1) AS name, TRY_CAST(regexp_extract(form, '^(.*) [(]([0-9]+)[)]$', 2) AS INTEGER) AS i FROM form WHERE regexp_matches(form, ' [(][0-9]+[)]$') UNION SELECT form, 1 FROM form WHERE old),
+nums AS (SELECT name, CAST(unnest(range(1, n + 10)) AS INTEGER) AS i FROM own), free AS (SELECT name, i, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM nums WHERE NOT EXISTS (SELECT 1 FROM used WHERE used.name = nums.name AND used.i = nums.i AND used.i >= CASE WHEN used.i = 1 THEN 1 ELSE 2 END)),
+p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c_custkey) AS k FROM b) SELECT c_custkey, p.name, CASE WHEN i = 1 THEN p.name ELSE p.name || ' (' || i || ')' END AS unique_name FROM p JOIN free ON free.name = p.name AND free.k = p.k""")
 def unique_names(spark, sf_dir):
-    return N.unique_names(B.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"])
+    """Segments as names, some rows with a numbered form as their own, beside names that are taken already."""
+    n = F.col("c_custkey")
+    own = B.table(spark, sf_dir, "customer").where((n % 3 == 0) | (n % 17 == 1))
+    named = own.select("c_custkey", F.when(n % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(" ("), (2 * (n % 4)).cast("string"), F.lit(")"))).alias("name"))
+    taken = B.table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "BUILDING").when(F.col("r_regionkey") == 1, "BUILDING (3)").otherwise("HOUSEHOLD (2)").alias("name"))
+    return N.unique_names(named, "name", ["c_custkey"], taken=taken)
+
+
+@query(f"""WITH {B.FEAT} SELECT source_file, source_row, round_even(duration / 32, 4) AS t, round_even(duration / 16, 3) AS m, round_even(duration / 8, 2) AS p FROM feat""")
+def rounded(spark, sf_dir):
+    """Binary fractions, so that halves are exact and go to the even digit."""
+    f = B.feat(spark, sf_dir).select("source_file", "source_row", *[(F.col("duration") / n).alias(c) for c, n in (("t", 32), ("m", 16), ("p", 8))])
+    return M.rounded(f, ["t"], ["m"], ["p"])
 
 
 @query(f"""WITH {B.SIG} SELECT event, CASE WHEN event % 7 = 0 THEN '' ELSE strftime(make_timestamp(CAST(floor(t) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') END AS at FROM sig""")
@@ -292,10 +316,10 @@ def author_filter(spark, sf_dir):
     return X.author_filter(o, "author", listed, listed.where("author = 'O'"))
 
 
-@query("""SELECT CASE WHEN l_linenumber = 5 THEN 'recording not found' WHEN l_linenumber = 4 THEN 'no window' WHEN l_quantity > 45 THEN 'window too long' WHEN l_suppkey % 50 < 3 THEN 'too few samples' ELSE 'ok' END AS note, count(*) AS n FROM lineitem GROUP BY 1""")
+@query("""SELECT CASE WHEN l_linenumber = 5 THEN 'recording not found' WHEN l_partkey % 11 = 1 THEN 'open failed: no header' WHEN l_linenumber = 4 THEN 'no window' WHEN l_quantity > 45 THEN 'window too long' WHEN l_suppkey % 50 < 3 THEN 'too few samples' WHEN l_partkey % 11 = 2 THEN 'model failure: singular' ELSE 'ok' END AS note, count(*) AS n FROM lineitem GROUP BY 1""")
 def failure_notes(spark, sf_dir):
-    n = F.col("l_linenumber")
-    note = X.failure_note(n != 5, F.lit(0.0), F.when(n != 4, F.when(F.col("l_quantity") > 45, 61.0).otherwise(2.0)), 29 + F.col("l_suppkey") % 50)
+    n, p = F.col("l_linenumber"), F.col("l_partkey") % 11
+    note = X.failure_note(n != 5, F.lit(0.0), F.when(n != 4, F.when(F.col("l_quantity") > 45, 61.0).otherwise(2.0)), 29 + F.col("l_suppkey") % 50, open_error=F.when(p == 1, "no header"), model_error=F.when(p == 2, "singular"))
     return B.table(spark, sf_dir, "lineitem").groupBy(F.coalesce(note, F.lit("ok")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,6 +14,7 @@ from corvane.operators import matching as J
 from corvane.operators import signal as S
 from corvane.plans import bindings as B
 from corvane.plans.registry import query
+from corvane.storage import new_folder, stored
 from corvane.streaming import jobs
 
 
@@ -84,6 +85,16 @@ def import_plan(spark, sf_dir):
     return J.import_plan(files, experiments, recs, events)
 
 
+@query("""WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), f AS (SELECT 'E' || c_custkey % 30 AS experiment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'other' ELSE c_mktsegment END AS condition, s_suppkey IS NOT NULL AS e, s_suppkey IS NOT NULL AND coalesce(n, 0) <> 600 AS d FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey AND s_nationkey = c_custkey % 30 LEFT JOIN c ON l_suppkey = s_suppkey),
+g AS (SELECT experiment, condition, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT f.experiment, count(*) AS n_files, count(CASE WHEN NOT e THEN 1 END) AS n_selected, count(CASE WHEN e THEN 1 END) AS n_exists, count(CASE WHEN d THEN 1 END) AS n_differs, (SELECT string_agg(condition || ':' || n, ',' ORDER BY condition) FROM g WHERE g.experiment = f.experiment) AS conditions FROM f GROUP BY 1""")
+def plan_by_experiment(spark, sf_dir):
+    conditions = B.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("condition"))
+    grouped = J.plan_by_experiment(import_plan(spark, sf_dir).join(conditions, "name"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("conditions")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return grouped.withColumn("conditions", text)
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 10 IN (3, 4) THEN NULL ELSE s_nationkey END AS exp_id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""")
 def route_rows(spark, sf_dir):
     return J.route_rows(_refs(spark, sf_dir), _keyed_rec(spark, sf_dir), "key").select("l_orderkey", "l_linenumber", "l_partkey", "exp_id")
@@ -98,6 +109,20 @@ def register_recordings(spark, sf_dir):
     return J.register_recordings(new, s.select("exp_id", "stem", F.when(F.col("k") % 2 == 0, "missing").otherwise("ready").alias("status")))
 
 
+@query("""WITH n AS (SELECT c_nationkey AS exp_id, 's' || c_custkey % 40 AS stem, c_name AS file_name, c_mktsegment AS condition, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 40 ORDER BY c_name) AS n FROM customer),
+k AS (SELECT min(s_suppkey) AS rec_id, s_nationkey AS exp_id, 's' || s_suppkey % 40 AS stem FROM supplier GROUP BY 2, 3), known AS (SELECT *, 'old' AS file_name, CASE WHEN rec_id % 2 = 0 THEN 'missing' ELSE 'ready' END AS status, 'e' AS error, 'DC' AS condition FROM k),
+i AS (SELECT n.* FROM n LEFT JOIN known k ON k.exp_id = n.exp_id AND k.stem = n.stem WHERE n = 1 AND k.rec_id IS NULL)
+SELECT k.rec_id, k.exp_id, k.stem, CASE WHEN u THEN n.file_name ELSE k.file_name END AS file_name, CASE WHEN u THEN 'pending' ELSE status END AS status, CASE WHEN u THEN NULL ELSE error END AS error, CASE WHEN u THEN n.condition ELSE k.condition END AS condition FROM (SELECT *, status = 'missing' AS m FROM known) k LEFT JOIN (SELECT *, TRUE AS hit FROM n WHERE n = 1) n ON n.exp_id = k.exp_id AND n.stem = k.stem, LATERAL (SELECT coalesce(hit AND m, FALSE) AS u)
+UNION ALL SELECT 10000 + row_number() OVER (ORDER BY exp_id, stem) - 1, exp_id, stem, file_name, 'pending', NULL, condition FROM i""")
+def registered(spark, sf_dir):
+    """The table after the registration, done twice: the second time changes nothing."""
+    new = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("exp_id"), F.concat(F.lit("s"), F.col("c_custkey") % 40).alias("stem"), F.col("c_name").alias("file_name"), F.col("c_mktsegment").alias("condition"))
+    s = B.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("exp_id"), F.concat(F.lit("s"), F.col("s_suppkey") % 40).alias("stem")).agg(F.min("s_suppkey").alias("rec_id"))
+    known = s.select("rec_id", "exp_id", "stem", F.lit("old").alias("file_name"), F.when(F.col("rec_id") % 2 == 0, "missing").otherwise("ready").alias("status"), F.lit("e").alias("error"), F.lit("DC").alias("condition"))
+    once = stored(J.registered(new, known, 10000))
+    return J.registered(new, once, 20000)
+
+
 def _exclusions(f):
     return f.where("cluster = 1 and duration > 25").select("source_file", "source_row")
 
@@ -198,17 +223,42 @@ def upsert_names(spark, sf_dir):
     return H.upsert_names(current, edits, ["run", "cluster"])
 
 
+@query("""SELECT o_orderkey % 5 AS run, o_orderkey AS event, o_custkey AS recording, CAST(CASE WHEN o_orderkey % 5 = 2 THEN o_orderkey % 3 ELSE o_orderkey % 2 END AS INTEGER) AS cluster FROM orders WHERE o_orderkey % 5 <> 3""")
+def run_labels(spark, sf_dir):
+    """All runs are written, then run 2 again with other labels (twice) and run 3 without any."""
+    path = new_folder(spark, "labels")
+    o = B.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("run"), F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("recording"))
+    H.replace_run_labels(o.withColumn("cluster", (F.col("event") % 2).cast("int")), o.select("run"), path)
+    again = o.where("run = 2").withColumn("cluster", (F.col("event") % 3).cast("int"))
+    for _ in range(2):
+        H.replace_run_labels(again, o.where("run in (2, 3)").select("run"), path)
+    return H.run_labels(spark, path)
+
+
 @query(f"""WITH {B.EV} SELECT 99999 AS set_id, recording_id, number, 7000000 + row_number() OVER (ORDER BY id, recording_id) - 1 AS id, deleted FROM ev WHERE set_id = 7 AND NOT deleted""")
 def copy_set(spark, sf_dir):
     return H.copy_set(B.ev(spark, sf_dir), 7, 99999, 7000000, ["id", "recording_id"])
 
 
+@query(f"""WITH {B.EV} SELECT 7000000 + row_number() OVER (ORDER BY id, recording_id) - 1 AS event, 99999 AS set_id, 'copy' AS action, 'me' AS username, 12.5 AS at, CASE WHEN number IS NULL THEN '{{}}' ELSE '{{"number":' || number || '}}' END AS after_json FROM ev WHERE set_id = 7 AND NOT deleted""")
+def copy_log(spark, sf_dir):
+    """The log rows of the copied events."""
+    return H.insert_log(copy_set(spark, sf_dir), "copy", "me", 12.5, ["number"])
+
+
 @query(f"WITH {B.FEAT} SELECT DISTINCT source_file, source_row FROM feat WHERE cluster IN (0, 2) OR (cluster = 1 AND duration > 25)")
 def exclude_clusters(spark, sf_dir):
     f = B.feat(spark, sf_dir)
     return H.exclude_clusters(f, [0, 2], _exclusions(f), ["source_file", "source_row"])
 
 
+@query(f"""WITH {B.FEAT}, m AS (SELECT DISTINCT source_file, source_row FROM feat WHERE cluster IN (0, 1)), b AS (SELECT DISTINCT source_file, source_row FROM feat WHERE cluster = 1 AND duration > 25)
+SELECT '0,1' AS clusters, (SELECT count(*) FROM m) AS members, (SELECT count(*) FROM (SELECT * FROM m EXCEPT SELECT * FROM b)) AS n_new, (SELECT count(*) FROM (SELECT * FROM m UNION SELECT * FROM b)) AS total""")
+def exclusion_log(spark, sf_dir):
+    f = B.feat(spark, sf_dir)
+    return H.exclusion_log(f, [1, 0], _exclusions(f), ["source_file", "source_row"]).withColumn("clusters", F.array_join(F.col("clusters").cast("array<string>"), ","))
+
+
 @query("""WITH old AS (SELECT l_suppkey AS rec_id, l_orderkey AS id, l_discount = 0 AS deleted FROM lineitem WHERE l_orderkey % 2 = 0), new AS (SELECT l_suppkey AS rec_id, -l_orderkey AS id, FALSE AS deleted FROM lineitem WHERE l_orderkey % 3 = 0),
 o AS (SELECT rec_id, count(*) AS n FROM old WHERE NOT deleted GROUP BY 1), n AS (SELECT rec_id, count(*) AS m FROM new GROUP BY 1), take AS (SELECT coalesce(o.rec_id, n.rec_id) AS rec_id FROM o FULL JOIN n ON o.rec_id = n.rec_id WHERE n IS NULL OR (m > 0 AND n <> m))
 SELECT rec_id, id, deleted OR rec_id IN (SELECT rec_id FROM take) AS deleted FROM old UNION ALL SELECT * FROM new WHERE rec_id IN (SELECT rec_id FROM take)""")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.functions import dsp
 from corvane.operators import mixture as G
+from corvane.operators import landmarks as Z
+from corvane.operators import smoothing as L
 from corvane.operators import windows as W
 from corvane.operators import signal as S
 from corvane.plans import bindings as B
 from corvane.plans.q_signal import ROBUST
 from corvane.plans.registry import query
-from corvane.sources import files
+from corvane.sources import files, recordings
 from corvane.streaming import jobs
 
 
@@ -42,26 +45,35 @@ def list_files(spark, sf_dir):
 
 @query()
 def file_digests(spark, sf_dir):
-    return files.file_digests(spark, sf_dir, "*.parquet")
+    return recordings.file_digests(spark, sf_dir, "*.parquet")
 
 
-@query(f"WITH {B.SIG} SELECT key, i, round(round(v * 100) / 100, 2) AS v FROM sig")
-def decode_recordings(spark, sf_dir):
-    """Recordings written per key as int16 containers, decoded back in parallel."""
-    s = B.sig(spark, sf_dir)
-    arrays = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("key", F.col("s.v").alias("v"))
+def _written(spark, sf_dir):
+    """Each user's signal as a file of two sweeps at 10 samples a second."""
     root = jobs._scratch(spark)
+    spark.range(0).write.parquet(root)  # makes the folder
+    recordings.write_recordings(B.sig(spark, sf_dir), root, 10.0, 0.01, 300.0, 2).count()
+    return root
+
+
+def _key():
+    return F.regexp_extract("file", r"([0-9]+)[.]rec$", 1).cast("long").alias("key")
 
-    def pack(batches):
-        for batch in batches:
-            data = [files.write_int16(np.asarray(v)[:, None], 1.0, np.array([0.01]), np.array([300.0])) for v in batch["v"]]
-            yield batch[["key"]].assign(content=data)
 
-    arrays.mapInPandas(pack, "key long, content binary").write.parquet(root)
-    packed = spark.read.parquet(root).select(F.col("key").cast("string").alias("path"), "content")
-    chunks = files.decode_contents(packed, chunk=64)
-    rows = chunks.select(F.col("file").cast("long").alias("key"), "i0", F.posexplode("values").alias("k", "v"))
-    return rows.select("key", (F.col("i0") + F.col("k")).alias("i"), F.round(F.col("v").cast("double"), 2).alias("v"))
+@query(f"WITH {B.SIG}, n AS (SELECT key, count(*) AS n FROM sig GROUP BY 1) SELECT sig.key, i, CAST(least(i // greatest(1, n // 2), 1) AS INTEGER) AS sweep, round(round(v * 100) / 100, 2) AS v FROM sig JOIN n ON n.key = sig.key")
+def decode_recordings(spark, sf_dir):
+    """The files read in ranges of 64 samples; each sample's sweep by its time."""
+    root = _written(spark, sf_dir)
+    chunks = recordings.decode_recordings(spark, root, chunk=64)
+    rows = chunks.select("file", "i0", "fs", F.posexplode("values").alias("k", "v")).withColumn("i", F.col("i0") + F.col("k"))
+    sweeps = recordings.sweeps_of(recordings.recording_headers(spark, root)).where("s1 > s0")
+    at = rows.join(sweeps, "file").where((F.col("i") / F.col("fs") >= F.col("s0")) & (F.col("i") / F.col("fs") < F.col("s1")))
+    return at.select(_key(), "i", "sweep", F.round(F.col("v").cast("double"), 2).alias("v"))
+
+
+@query(f"WITH {B.SIG} SELECT key, count(*) AS n, 1 AS channels, 10.0 AS fs, 2 AS sweeps, count(*) / 10.0 AS duration FROM sig GROUP BY 1")
+def recording_headers(spark, sf_dir):
+    return recordings.recording_headers(spark, _written(spark, sf_dir)).select(_key(), "n", "channels", "fs", "sweeps", "duration")
 
 
 @query(f"WITH {B.FEAT} SELECT source_file, count(*) AS n, round(sum(base), 2) AS base FROM feat GROUP BY 1")
@@ -79,12 +91,14 @@ def write_results(spark, sf_dir):
     return spark.read.option("header", True).schema("cluster int, n long").csv(f"{root}/sizes")
 
 
-@query(f"WITH {B.EV} SELECT recording_id AS rec_id, set_id, number FROM ev WHERE recording_id % 10 <> 3")
+@query(f"WITH {B.EV} SELECT recording_id AS rec_id, set_id, number, 500 + row_number() OVER (ORDER BY recording_id, id, set_id) - 1 AS id, 'S10 (3)' AS experiment FROM ev WHERE recording_id % 10 <> 3")
 def bundle_roundtrip(spark, sf_dir):
     root = jobs._scratch(spark)
     ev, rec = B.ev(spark, sf_dir).withColumnRenamed("recording_id", "rec_id"), B.rec(spark, sf_dir)
-    files.export_bundle(ev, rec, root)
-    return files.import_bundle(spark, root, rec.where("rec_id % 10 <> 3"), 1).select("rec_id", "set_id", "number")
+    files.export_bundle(ev, rec, root, "S10")
+    known = B.table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "S10").when(F.col("r_regionkey") == 1, "S10 (2)").otherwise("S11").alias("experiment"))
+    name = files.bundle_experiment(spark, root, known)
+    return files.import_bundle(spark, root, rec.where("rec_id % 10 <> 3"), 500).select("rec_id", "set_id", "number", "id", F.lit(name).alias("experiment"))
 
 
 @query("""WITH e AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS bin FROM events) SELECT event_type AS channel, bin, min(value) AS vmin, max(value) AS vmax, count(*) AS n FROM e WHERE bin + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
@@ -114,40 +128,59 @@ def stream_edges(spark, sf_dir):
     return jobs.run_available(jobs.stream_edges(e, 2, 20, 1.0, 3, "1 day", 1e9)).withColumn("z", F.round("z", 6))
 
 
-def _arrays(spark, sf_dir):
-    """Each user's samples as one array, for the per-window helpers."""
+def _windows(spark, sf_dir):
+    """Event windows of up to 65 samples around purchases, 100 a second, in three channels."""
     s = B.sig(spark, sf_dir)
-    rows = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    return rows.select("key", F.col("s.v").alias("v"))
+    w = s.where("kind = 'purchase'").select("event", "key", (F.col("i") - 32.0).alias("t0"), (F.col("i") + 32.0).alias("t1"))
+    cut = S.cut_windows(w, s.select("key", "i", F.col("i").cast("double").alias("t"), "v"), 65.0)
+    at = (F.col("i") - F.min("i").over(Window.partitionBy("event"))).cast("long")  # 65 rows an event at most
+    v = F.col("v")
+    return cut.select("event", at.alias("i"), (F.col("i") / 100.0).alias("t"), v.alias("optical"), (0.4 * v + F.col("i") % 3).alias("reference"), ((v * 7) % 31).alias("electrical"))
 
 
 @query()
 def bessel_causal(spark, sf_dir):
     """Chunks of 16 samples at 10 samples a second, so that halos matter."""
-    a = _arrays(spark, sf_dir).select("key", F.posexplode(F.expr("transform(sequence(0, (size(v) - 1) div 16), c -> slice(v, c * 16 + 1, 16))")).alias("chunk_idx", "values"))
-    chunks = a.select(F.col("key").cast("string").alias("file"), F.lit(0).alias("channel"), F.col("chunk_idx").cast("long").alias("chunk_idx"), (F.col("chunk_idx") * 16).cast("long").alias("i0"), F.lit(10.0).alias("fs"), "values")
+    s = B.sig(spark, sf_dir)
+    rows = s.groupBy("key", F.floor(F.col("i") / 16).cast("long").alias("chunk_idx")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))  # 16 a chunk
+    chunks = rows.select(F.col("key").cast("string").alias("file"), F.lit(0).alias("channel"), "chunk_idx", (F.col("chunk_idx") * 16).alias("i0"), F.lit(10.0).alias("fs"), F.col("s.v").alias("values"))
     return W.causal_chunks(chunks, 8, 2.0, 1.6)
 
 
 @query()
 def zero_phase_lowpass(spark, sf_dir):
-    return W.map_windows(_arrays(spark, sf_dir), lambda x: dsp.zero_phase_filter(x, dsp.butterworth_sections(6, 2.0, 10.0), 10.0), "v", "smooth")
+    return L.zero_phase(B.sig(spark, sf_dir), 10.0, dsp.butterworth_sections(6, 2.0, 10.0))
 
 
 @query()
 def resample_windows(spark, sf_dir):
-    return W.map_windows(_arrays(spark, sf_dir), lambda x: dsp.resample(x, 10.0, 4.0)[0], "v", "resampled")
+    return L.resampled(B.sig(spark, sf_dir), 10.0, 4.0)[0]
 
 
-@query(f"WITH {B.SIG} SELECT key, CAST(ceil(count(*) / 5.0) AS BIGINT) AS n FROM sig GROUP BY 1")
+@query(f"""WITH {B.SIG}, n AS (SELECT key, max(i) + 1 AS n FROM sig GROUP BY 1), j AS (SELECT key, CAST(unnest(range(0, CAST(floor(n * 3 / 10.0) AS BIGINT))) AS BIGINT) AS j FROM n)
+SELECT j.key, 'between' AS kind, j.j AS i, round(a.v + (j.j * 10 / 3.0 - floor(j.j * 10 / 3.0 + 1e-9)) * (coalesce(b.v, a.v) - a.v), 5) AS v FROM j JOIN sig a ON a.key = j.key AND a.i = floor(j.j * 10 / 3.0 + 1e-9) LEFT JOIN sig b ON b.key = j.key AND b.i = a.i + 1
+UNION ALL SELECT key, 'every fifth', i // 5, round(v, 5) FROM sig WHERE i % 5 = 0""")
 def regrid(spark, sf_dir):
-    made = W.map_windows(_arrays(spark, sf_dir), lambda x: dsp.regrid(x, 10.0, 2.0)[0], "v", "grid")
-    return made.select("key", F.size("grid").cast("long").alias("n"))
+    """From 10 samples a second to 3, between samples, and to 2, every fifth one."""
+    s = B.sig(spark, sf_dir)
+    both = L.regridded(s, 10.0, 3.0)[0].withColumn("kind", F.lit("between")).unionByName(L.regridded(s, 10.0, 2.0)[0].withColumn("kind", F.lit("every fifth")))
+    return both.withColumn("v", F.round("v", 5))
 
 
-@query()
+SMALL = {"fs": 100.0, "points": 16, "smooth_fs": 50.0, "fast_ms": 60.0, "slow_ms": 120.0}
+
+
+@query(f"""WITH {B.SIG}, w AS (SELECT a.event AS key, s.i - max(0) OVER () AS i0, s.v, s.i - min(s.i) OVER (PARTITION BY a.event) AS i FROM sig a JOIN sig s ON s.key = a.key AND s.i BETWEEN a.i - 32 AND a.i + 32 WHERE a.kind = 'purchase'),
+k AS (SELECT key, i // 2 AS i, v FROM w WHERE i % 2 = 0), e AS (SELECT w.key, max(w.i) AS last, max(w.i) // 2 AS top FROM w GROUP BY 1), v0 AS (SELECT key, arg_min(v, i) AS a, arg_max(v, i) AS b FROM k GROUP BY 1),
+tr AS (SELECT key, 0 AS "row", i, v FROM k UNION ALL SELECT k.key, 1, k.i, (sum(v) OVER (PARTITION BY k.key ORDER BY k.i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + greatest(1 - k.i, 0) * a + greatest(k.i + 1 - top, 0) * b) / 3 FROM k JOIN e ON e.key = k.key JOIN v0 ON v0.key = k.key
+UNION ALL SELECT k.key, 2, k.i, (sum(v) OVER (PARTITION BY k.key ORDER BY k.i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(2 - k.i, 0) * a + greatest(k.i + 2 - top, 0) * b) / 5 FROM k JOIN e ON e.key = k.key JOIN v0 ON v0.key = k.key),
+g AS (SELECT key, point, least(point * (last / 15) / 2, top) AS x FROM e, (SELECT unnest(range(0, 16)) AS point)), r AS (SELECT g.key, a."row", point, a.v + (x - floor(x)) * (coalesce(b.v, a.v) - a.v) AS x FROM g JOIN tr a ON a.key = g.key AND a.i = floor(x) LEFT JOIN tr b ON b.key = a.key AND b."row" = a."row" AND b.i = a.i + 1 UNION ALL SELECT key, 3, point, point / 15 FROM g),
+m AS (SELECT key, "row", median(x) AS med FROM r GROUP BY 1, 2), d AS (SELECT r.*, x - med AS d FROM r JOIN m ON m.key = r.key AND m."row" = r."row"), s AS (SELECT key, "row", median(abs(d)) AS mad FROM d GROUP BY 1, 2)
+SELECT d.key, CAST(d."row" AS INTEGER) AS "row", CAST(point AS INTEGER) AS point, round(d / (1e-9 + mad), 4) AS value FROM d JOIN s ON s.key = d.key AND s."row" = d."row" """)
 def window_features(spark, sf_dir):
-    return W.map_windows(_arrays(spark, sf_dir), lambda x: dsp.window_features(x, 100.0), "v", "features").drop("v")
+    """The model's input on 16 points, at 50 samples a second."""
+    w = _windows(spark, sf_dir).select(F.col("event").alias("key"), "i", F.col("optical").alias("v"))
+    return L.window_features(w, **SMALL).withColumn("value", F.round("value", 4))
 
 
 @query()
@@ -156,33 +189,25 @@ def score_windows(spark, sf_dir):
     rng = np.random.default_rng(3)
     weights = {f"conv{i}_w": rng.normal(0, 0.3, (6, 4 if i == 0 else 6, 5)) for i in range(4)} | {f"conv{i}_b": np.zeros(6) for i in range(4)}
     weights |= {"dense0_w": rng.normal(0, 0.3, (8, 6)), "dense0_b": np.zeros(8), "dense1_w": rng.normal(0, 0.3, (3, 8)), "dense1_b": np.zeros(3)}
-    return W.map_windows(_arrays(spark, sf_dir), lambda x: dsp.score_landmarks(dsp.window_features(x, 100.0), weights), "v", "fractions").drop("v")
-
-
-def _event_windows(spark, sf_dir):
-    s = B.sig(spark, sf_dir)
-    w = s.where("kind = 'purchase'").select("event", "key", (F.col("t") - 172800).alias("t0"), (F.col("t") + 172800).alias("t1"))
-    arrays = S.gather_windows(S.cut_windows(w, s.select("key", "i", "t", "v"), 345600.0))
-    return arrays.select("event", "t", F.col("v").alias("optical"), F.col("v").alias("electrical"))
+    rows = L.window_features(_windows(spark, sf_dir).select(F.col("event").alias("key"), "i", F.col("optical").alias("v")), **SMALL)
+    inputs = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("row", "point", "value"))).alias("x")).select("key", F.col("x.value").alias("features"))  # 64 an event
+    return W.map_windows(inputs, lambda x: dsp.score_landmarks(x.reshape(4, -1), weights), "features", "fractions").drop("features")
 
 
 @query()
 def detect_landmarks(spark, sf_dir):
-    return W.detect_landmarks(_event_windows(spark, sf_dir), 100.0, 1.0, 8)
+    return Z.detect_landmarks(_windows(spark, sf_dir), 100.0, Z.EdgeConfig(threshold=1.5), fewest=8)
 
 
 @query()
 def electrical_landmarks(spark, sf_dir):
-    found = W.detect_landmarks(_event_windows(spark, sf_dir), 100.0, 1.0, 8)
-    return found.select("event", "method", *[f"{m}_{x}" for m in W.MARKS[3:] for x in ("t", "v")])
+    found = Z.detect_landmarks(_windows(spark, sf_dir), 100.0, Z.EdgeConfig(threshold=1.5), fewest=8)
+    return found.select("event", "method", *[f"{m}_{x}" for m in list(Z.MARKS)[3:] for x in ("t", "v")])
 
 
 @query()
 def event_measures(spark, sf_dir):
-    from corvane.functions.measures import spike, step_absolute
-
-    found = W.detect_landmarks(_event_windows(spark, sf_dir), 100.0, 1.0, 8)
-    return found.select("event", (F.col("end_t") - F.col("start_t")).alias("duration"), step_absolute(F.col("start_v"), F.col("plateau_v")).alias("osc"), spike(F.col("entry_base_v"), F.col("entry_peak_v")).alias("entry_spike"), spike(F.col("exit_base_v"), F.col("exit_peak_v")).alias("exit_spike"), F.col("method").alias("notes"))
+    return Z.event_measures(Z.detect_landmarks(_windows(spark, sf_dir), 100.0, Z.EdgeConfig(threshold=1.5), fewest=8))
 
 
 DIMS = ["x0", "x1", "x2", "x3"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import names as N
 from corvane.operators import levels as V
+from corvane.operators import marks as M
 from corvane.operators import searches as P
 from corvane.operators import signal as S
 from corvane.operators import trailing as T
@@ -213,6 +214,27 @@ def cut_windows(spark, sf_dir):
     return _r(arrays.select("event", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
 
+def _channels(s):
+    """Three channels out of a signal, one sample a second; the third one lacks some."""
+    v = F.col("v")
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), x.alias("v")) for c, x in ((0, v), (1, 2 * v + 1), (2, F.when(F.col("i") % 10 != 3, 50 - v)))])
+    rows = s.select(F.col("key").alias("recording"), "i", F.col("i").cast("double").alias("t"), F.explode(each).alias("c"))
+    return rows.select("recording", "c.channel", "i", "t", "c.v").where("v is not null")
+
+
+def _roles(s):
+    return s.select(F.col("key").alias("recording")).distinct().select("recording", F.lit(1.0).alias("fs"), F.lit(2).alias("electrical"), F.lit(0).alias("optical"), F.when(F.col("recording") % 2 == 0, 1).otherwise(0).alias("reference"))
+
+
+@query(f"""WITH {B.SIG} SELECT w.event, count(*) AS n, round(sum(50 - s.v), 6) AS electrical, round(sum(s.v), 6) AS optical, round(sum(CASE WHEN w.key % 2 = 0 THEN 2 * s.v + 1 ELSE s.v END), 6) AS reference FROM sig w JOIN sig s ON s.key = w.key AND s.i BETWEEN w.i - 7.5 AND w.i + 9 AND s.i % 10 <> 3 WHERE w.kind = 'purchase' GROUP BY 1""")
+def cut_roles(spark, sf_dir):
+    s = B.sig(spark, sf_dir)
+    windows = s.where("kind = 'purchase'").select("event", F.col("key").alias("recording"), (F.col("i") - 7.5).alias("t0"), (F.col("i") + 9.0).alias("t1"))
+    found = M.cut_roles(windows, _channels(s), _roles(s), 16.0)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6).alias(c)
+    return found.select("event", F.size("t").cast("long").alias("n"), *[total(c) for c in M.ROLES])
+
+
 @query(f"""WITH {B.SIG}, p AS (SELECT key, event AS point, t + 100.5 AS t FROM sig WHERE kind = 'purchase'), a AS (SELECT p.*, s.t AS ta, s.v AS va FROM p ASOF LEFT JOIN sig s ON p.key = s.key AND p.t >= s.t), b AS (SELECT a.*, s.t AS tb, s.v AS vb FROM a ASOF LEFT JOIN sig s ON a.key = s.key AND a.t <= s.t)
 SELECT key, point, round(CASE WHEN ta = t THEN va ELSE va + (t - ta) / (tb - ta) * (vb - va) END, 6) AS v FROM b""")
 def asof_interp(spark, sf_dir):
@@ -260,23 +282,29 @@ def snap_edge(spark, sf_dir):
     return S.snap_edge(e, e.groupBy("event").agg((F.min("t") + 5000).alias("estimate")), 1, 9000.0)
 
 
-@query("""WITH p AS (SELECT l_orderkey AS event, l_orderkey % 4 AS recording, k, CASE WHEN k < 3 THEN 10.0 - k * (o_custkey % 3) ELSE k + 0.5 END AS t FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey, (SELECT unnest(range(0, 7)) AS k) WHERE NOT (l_orderkey % 5 = 0 AND k = 6))
-SELECT event, recording, min(CASE WHEN k < 3 THEN t END) AS event_start, 10.0 - (event_c % 3) AS event_plateau, max(CASE WHEN k < 3 THEN t END) AS event_end, 3.5 AS entry_base_t, 6.5 AS exit_base_t FROM (SELECT p.*, o_custkey AS event_c FROM p JOIN orders ON o_orderkey = event) GROUP BY event, recording, event_c HAVING count(*) = 7""")
+@query(f"""WITH {B.SIG}, p AS (SELECT l_orderkey AS event, l_orderkey % 4 AS recording, k, o_custkey % 3 AS c, CASE WHEN k < 3 THEN 10.25 - k * (o_custkey % 3) ELSE k + 0.5 END AS t FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey, (SELECT unnest(range(0, 7)) AS k) WHERE NOT (l_orderkey % 5 = 0 AND k = 6)),
+e AS (SELECT event, recording, min(CASE WHEN k < 3 THEN t END) AS event_start, 10.25 - any_value(c) AS event_plateau, max(CASE WHEN k < 3 THEN t END) AS event_end, 3.5 AS entry_base_t, 6.5 AS exit_base_t FROM p GROUP BY 1, 2 HAVING count(*) = 7),
+ch AS (SELECT key, 0 AS channel, i, v FROM sig UNION ALL SELECT key, 1, i, 2 * v + 1 FROM sig UNION ALL SELECT key, 2, i, 50 - v FROM sig WHERE i % 10 <> 3)
+SELECT event, recording, event_start, event_plateau, event_end, entry_base_t, exit_base_t, {", ".join(f"round((SELECT a.v + ({t} - floor({t})) * (b.v - a.v) FROM ch a JOIN ch b ON b.key = a.key AND b.channel = a.channel AND b.i = a.i + 1 WHERE a.key = recording AND a.channel = {c} AND a.i = floor({t})), 6) AS {n}" for t, c, n in (("event_start", "0", "optical_base"), ("event_end", "CASE WHEN recording % 2 = 0 THEN 1 ELSE 0 END", "opticalre_end"), ("entry_base_t", "2", "entry_base"), ("exit_base_t", "2", "exit_base")))} FROM e""")
 def assemble_events(spark, sf_dir):
+    """Marked points as events, with the amplitudes at the marks."""
     o = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().join(B.table(spark, sf_dir, "orders"), "o_orderkey")
     k = F.col("mark")
     rows = o.select(F.col("o_orderkey").alias("event"), (F.col("o_orderkey") % 4).alias("recording"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("mark")).where(~((F.col("event") % 5 == 0) & (k == 6)))
-    points = rows.select("event", "recording", "mark", F.when(k < 3, "optical").otherwise("electrical").alias("kind"), F.when(k < 3, 10.0 - k * (F.col("o_custkey") % 3)).otherwise(k + 0.5).alias("t"))
-    return S.assemble_events(points).select("event", "recording", "event_start", "event_plateau", "event_end", "entry_base_t", "exit_base_t")
+    points = rows.select("event", "recording", "mark", F.when(k < 3, "optical").otherwise("electrical").alias("kind"), F.when(k < 3, 10.25 - k * (F.col("o_custkey") % 3)).otherwise(k + 0.5).alias("t"))
+    s = B.sig(spark, sf_dir).where("key < 4")
+    found = M.read_amplitudes(S.assemble_events(points), _channels(s), _roles(s))
+    return _r(found, "optical_base", "opticalre_end", "entry_base", "exit_base").select("event", "recording", "event_start", "event_plateau", "event_end", "entry_base_t", "exit_base_t", "optical_base", "opticalre_end", "entry_base", "exit_base")
 
 
-@query(f"""WITH {B.SIG}, m AS (SELECT key, event, CASE WHEN event % 3 = 0 THEN t - 50 ELSE t END AS t FROM sig WHERE kind = 'purchase'), a AS (SELECT m.*, s.t AS ta, s.v AS va FROM m ASOF LEFT JOIN sig s ON m.key = s.key AND m.t >= s.t), b AS (SELECT a.*, s.t AS tb, s.v AS vb FROM a ASOF LEFT JOIN sig s ON a.key = s.key AND a.t <= s.t)
-SELECT event, round(CASE WHEN ta = t THEN va ELSE va + (t - ta) / (tb - ta) * (vb - va) END, 6) AS v FROM b""")
+@query(f"""WITH {B.SIG}, e AS (SELECT event, key, CASE WHEN event % 3 = 0 THEN i - 0.25 ELSE i + 0.25 END AS event_start, CASE WHEN event % 3 = 1 THEN i + 2.5 ELSE i + 1.5 END AS entry_peak_t FROM sig WHERE kind = 'purchase')
+SELECT e.event, event_start, entry_peak_t, CASE WHEN e.event % 3 = 0 THEN round(a.v + (event_start - floor(event_start)) * (b.v - a.v), 6) ELSE -1.0 END AS optical_base, CASE WHEN e.event % 3 = 0 THEN round(CASE WHEN e.key % 2 = 0 THEN 2 ELSE 1 END * (a.v + (event_start - floor(event_start)) * (b.v - a.v)) + CASE WHEN e.key % 2 = 0 THEN 1 ELSE 0 END, 6) ELSE -2.0 END AS opticalre_base,
+CASE WHEN e.event % 3 = 1 THEN round(50 - (c.v + 0.5 * (d.v - c.v)), 6) ELSE -3.0 END AS entry_peak
+FROM e LEFT JOIN sig a ON a.key = e.key AND a.i = floor(event_start) LEFT JOIN sig b ON b.key = e.key AND b.i = floor(event_start) + 1 LEFT JOIN sig c ON c.key = e.key AND c.i = floor(entry_peak_t) AND c.i % 10 <> 3 LEFT JOIN sig d ON d.key = e.key AND d.i = floor(entry_peak_t) + 1 AND d.i % 10 <> 3""")
 def move_landmarks(spark, sf_dir):
-    from corvane.operators.events import move_landmarks as move
-
+    """Some starts and some peaks are moved; the amplitudes at the others stay."""
     s = B.sig(spark, sf_dir)
-    events = s.where("kind = 'purchase'").select("event", "key", "t")
-    edits = events.where("event % 3 = 0").select("event", (F.col("t") - 50).alias("t"))
-    points = move(events, edits, "t").select("key", F.col("event").alias("point"), "t")
-    return _r(S.asof_interp(points, s.select("key", "t", "v")), "v").select(F.col("point").alias("event"), "v")
+    at = s.where("kind = 'purchase'").select("event", F.col("key").alias("recording"), "i")
+    events = at.select("event", "recording", (F.col("i") + 0.25).alias("event_start"), (F.col("i") + 1.5).alias("entry_peak_t"), F.lit(-1.0).alias("optical_base"), F.lit(-2.0).alias("opticalre_base"), F.lit(-3.0).alias("entry_peak"))
+    edits = at.where("event % 3 <> 2").select("event", F.when(F.col("event") % 3 == 0, F.col("i") - 0.25).alias("event_start"), F.when(F.col("event") % 3 == 1, F.col("i") + 2.5).alias("entry_peak_t"))
+    return _r(M.move_landmarks(events, edits, _channels(s), _roles(s)), "optical_base", "opticalre_base", "entry_peak").drop("recording")

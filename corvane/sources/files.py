@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corvane.functions.names import unique_names
+from corvane.operators.events import numbered
 
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 
@@ -46,7 +48,9 @@ def decode_table(data: bytes, encodings=ENCODINGS) -> tuple[list[dict[str, str]]
     lines = text.splitlines()
     if not lines or not lines[0].strip():
         return [], "no header"
-    delimiter = max(",;\t|", key=lines[0].count)
+    # The delimiter that the header has and that most of the first lines have as often; then the more frequent one.
+    some = [x for x in lines[:20] if x.strip()]
+    delimiter = max(",;\t|", key=lambda d: (lines[0].count(d) > 0, sum(x.count(d) == lines[0].count(d) for x in some), lines[0].count(d)))
     rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
     header = [h.strip() for h in rows[0]]
     return [dict(zip(header, r, strict=False)) for r in rows[1:] if any(x.strip() for x in r)], None
@@ -70,59 +74,13 @@ def read_messy_csv(spark: SparkSession, root: str, pattern: str = "*.csv") -> Da
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str], recursive: bool = True) -> DataFrame:
-    """path, name and size of files with these extensions, without hidden names, sorted."""
+    """path, name and size of files with these extensions (also double ones), without hidden names, sorted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lower(F.regexp_extract(name, r"([.][^.]+)$", 1)).isin(extensions)
+    wanted = reduce(lambda a, b: a | b, [F.lower(name).endswith(x.lower()) for x in extensions])
     return files.where(wanted & ~name.startswith(".") & ~F.col("path").rlike("/[.][^/]+/")).select("path", name.alias("name"), F.col("length").alias("size")).orderBy("path")
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """name, size and SHA-256 of each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
-HEADER_BLOCKS, BLOCK = 12, 512
-
-
-def write_int16(samples: np.ndarray, fs: float, scales: np.ndarray, offsets: np.ndarray) -> bytes:
-    """A gap-free container: 12 header blocks, then int16 samples with channels interleaved."""
-    head = np.zeros(HEADER_BLOCKS * BLOCK // 8)
-    n, channels = samples.shape
-    head[:3] = n, channels, fs
-    head[3 : 3 + channels], head[3 + channels : 3 + 2 * channels] = scales, offsets
-    return head.tobytes() + np.round((samples - offsets) / scales).astype("<i2").tobytes()
-
-
-def read_int16(data: bytes) -> tuple[np.ndarray, float]:
-    """Samples (n, channels) and rate of such a container."""
-    head = np.frombuffer(data, np.float64, HEADER_BLOCKS * BLOCK // 8)
-    n, channels = int(head[0]), int(head[1])
-    scales, offsets = head[3 : 3 + channels], head[3 + channels : 3 + 2 * channels]
-    raw = np.frombuffer(data, "<i2", n * channels, HEADER_BLOCKS * BLOCK).reshape(n, channels)
-    return raw * scales + offsets, float(head[2])
-
-
-def decode_contents(files: DataFrame, decoder: Callable = read_int16, chunk: int = 131_072) -> DataFrame:
-    """signal_chunks (file, channel, chunk_idx, i0, fs, values) of recordings (path, content)."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                samples, fs = decoder(bytes(content))
-                for c in range(samples.shape[1]):
-                    for k, i0 in enumerate(range(0, len(samples), chunk)):
-                        yield pd.DataFrame({"file": [path], "channel": [c], "chunk_idx": [k], "i0": [i0], "fs": [fs], "values": [samples[i0 : i0 + chunk, c].astype(np.float32)]})
-
-    return files.select("path", "content").mapInPandas(decode, "file string, channel int, chunk_idx long, i0 long, fs double, values array<float>")
-
-
-def decode_recordings(spark: SparkSession, root: str, decoder: Callable = read_int16, chunk: int = 131_072, pattern: str = "*.rec") -> DataFrame:
-    """The chunks of all recordings under a folder, decoded in parallel, a file a row."""
-    return decode_contents(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root), decoder, chunk)
-
-
 def write_results(tables: dict[str, DataFrame], root: str, form: str = "parquet") -> None:
     """Each table under its name, with a header where the form has one."""
     for name, df in tables.items():
@@ -134,19 +92,25 @@ def write_partitioned(df: DataFrame, root: str, by: str, form: str = "parquet")
     df.write.mode("overwrite").partitionBy(by).option("header", True).format(form).save(root)
 
 
-def export_bundle(events: DataFrame, recordings: DataFrame, root: str) -> None:
-    """Events as JSON lines with their recording's file name, and the recordings as manifest."""
+def export_bundle(events: DataFrame, recordings: DataFrame, root: str, experiment: str = "experiment") -> None:
+    """Events as JSON lines with their recording's file name, and the recordings and the experiment's name as manifest."""
     named = events.join(recordings.select("rec_id", "file_name"), "rec_id").drop("rec_id")
     named.write.mode("overwrite").json(f"{root}/events")
-    recordings.select("file_name", "duration").write.mode("overwrite").json(f"{root}/manifest")
+    recordings.select("file_name", "duration", F.lit(experiment).alias("experiment")).write.mode("overwrite").json(f"{root}/manifest")
+
+
+def bundle_experiment(spark: SparkSession, root: str, experiments: DataFrame) -> str:
+    """A name for the bundle's experiment that none of experiments (experiment) has."""
+    base = spark.read.schema("experiment string").json(f"{root}/manifest").first()["experiment"]
+    new = spark.createDataFrame([(base, 1)], "name string, n int")
+    return unique_names(new, "name", ["n"], taken=experiments.select(F.col("experiment").alias("name"))).first()["unique_name"]
 
 
 def import_bundle(spark: SparkSession, root: str, recordings: DataFrame, next_id: int) -> DataFrame:
-    """The bundle's events under the ids of recordings here with the same file name; others are skipped."""
+    """The bundle's events under the ids of recordings here with the same file name; others are skipped.
+
+    Events are numbered from next_id by recording, then by their old id and set.
+    """
     events = spark.read.json(f"{root}/events")
     found = events.join(recordings.select("rec_id", "file_name"), "file_name").drop("file_name")
-    n = F.row_number().over(Window.partitionBy("rec_id").orderBy("id", "set_id"))
-    counts = found.groupBy("rec_id").agg(F.count(F.lit(1)).alias("_c"))
-    start = F.coalesce(F.sum("_c").over(Window.orderBy("rec_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per recording
-    starts = counts.select("rec_id", start.alias("_s"))
-    return found.withColumn("_n", n).join(starts, "rec_id").withColumn("id", (F.lit(next_id - 1) + F.col("_s") + F.col("_n")).cast("long")).drop("_n", "_s")
+    return numbered(found, ["rec_id", "id", "set_id"], "_n").withColumn("id", (F.lit(next_id - 1) + F.col("_n")).cast("long")).drop("_n")
