@@ -14,7 +14,7 @@ from corvane.functions import dsp
 from corvane.operators.quantiles import join_groups
 from corvane.operators.searches import smoothed
 from corvane.operators.signal import uniform_lookup
-from corvane.operators.trailing import CHUNK, in_chunks
+from corvane.operators.trailing import CHUNK, in_chunks, map_groups
 
 #: Seconds that a chunk sees beyond its ends: each pass of a filter remembers a quarter of a second.
 BORDER_S = 0.5
@@ -29,14 +29,13 @@ def _mapped(samples: DataFrame, border: int, chunk: int, helper) -> DataFrame:
     kind = pa.int64()
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
         start, total, c = int(table.column("i")[0].as_py()), int(table.column("_total")[0].as_py()), int(table.column("_chunk")[0].as_py())
         own = c * chunk, min(total, (c + 1) * chunk)
         i, v = helper(table.column("v").to_numpy().astype(np.float64), start, own, total)
         key = table.column("key").combine_chunks().take(pa.array(np.zeros(len(i), np.int64)))
         return pa.Table.from_arrays([key, pa.array(i, kind), pa.array(v, pa.float64())], names=["key", "i", "v"])
 
-    return source.groupBy("key", "_chunk").applyInArrow(run, schema)
+    return map_groups(source, ["key", "_chunk"], "i", run, schema)
 
 
 def zero_phase(samples: DataFrame, fs: float, sections, chunk: int = CHUNK) -> DataFrame:

@@ -59,6 +59,53 @@ def in_chunks(samples: DataFrame, reach: Column, chunk: int, ahead: Column | Non
     return samples.withColumn("_chunk", at).withColumn("_own", F.col("_chunk") == F.floor(F.col("i") / chunk))
 
 
+#: Rows of finished groups that are given out together.
+OUT_ROWS = 50_000
+
+
+def map_groups(df: DataFrame, keys: list[str], order: str, helper: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """helper on each group's rows in order, as groupBy().applyInArrow() has it, for groups that are many and small.
+
+    Groups of a partition pass through sorted, one after the other, without a call of Python for each; they
+    are told apart by 128 bits of hashes of the keys.
+    """
+    marks = {"_g1": F.xxhash64(*keys), "_g2": F.xxhash64(F.lit(1), *keys)}
+    source = df.withColumns(marks).repartition("_g1").sortWithinPartitions("_g1", "_g2", order)
+
+    def run(batches):
+        held: list[pa.Table] = []
+        at = None
+        out: list[pa.Table] = []
+
+        def made():
+            whole = pa.concat_tables(out).combine_chunks()
+            out.clear()
+            return whole.to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            a, b = table.column("_g1").to_numpy(), table.column("_g2").to_numpy()
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            table = table.drop_columns(["_g1", "_g2"])
+            for start, stop in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(a)].tolist(), strict=True):
+                mark = (a[start], b[start])
+                if mark != at and held:
+                    out.append(helper(pa.concat_tables(held).combine_chunks()))
+                    held = []
+                at = mark
+                held.append(table.slice(start, stop - start))
+            if sum(t.num_rows for t in out) >= OUT_ROWS:
+                yield from made()
+        if held:
+            out.append(helper(pa.concat_tables(held).combine_chunks()))
+        if out:
+            yield from made()
+
+    return source.mapInArrow(run, schema)
+
+
 def _by_chunk(samples: DataFrame, frame: int | str, reach: Column, chunk: int, made: dict[str, str], helper: Callable) -> DataFrame:
     """samples with the columns of helper(values, frame) -> arrays, made chunk by chunk."""
     source = in_chunks(samples.withColumn("_frame", F.col(frame) if isinstance(frame, str) else F.lit(frame)), reach, chunk)
@@ -66,7 +113,6 @@ def _by_chunk(samples: DataFrame, frame: int | str, reach: Column, chunk: int, m
     names = samples.columns
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
         v = table.column("_v").to_numpy().astype(np.float64)
         own = table.column("_own").combine_chunks().to_numpy(zero_copy_only=False)
         arrays = helper(v, int(table.column("_frame")[0].as_py()))
@@ -75,7 +121,7 @@ def _by_chunk(samples: DataFrame, frame: int | str, reach: Column, chunk: int, m
             kept = kept.append_column(c, pa.array(x[own], pa.float64(), from_pandas=True))
         return kept
 
-    return source.groupBy("key", "_chunk").applyInArrow(run, out)
+    return map_groups(source, ["key", "_chunk"], "i", run, out)
 
 
 def rolling_median(samples: DataFrame, n: int | str, least: int = LEAST, column: str = "v", chunk: int = CHUNK) -> DataFrame:

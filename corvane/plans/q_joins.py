@@ -8,7 +8,6 @@ from corvane.functions import names as N
 from corvane.operators import catalog as K
 from corvane.operators import edits as D
 from corvane.operators import events as E
-from corvane.operators import filters as X
 from corvane.operators import history as H
 from corvane.operators import matching as J
 from corvane.operators import signal as S

@@ -128,9 +128,9 @@ def test_edges_of_windows_equal_those_of_one_array(spark):
 
 def test_replicates_are_the_same_in_one_unit_or_many(spark):
     rng = np.random.default_rng(4)
-    x = np.r_[rng.normal(0, 1, (1500, 2)), rng.normal(3, 1, (1000, 2))]
+    x = np.r_[rng.normal(0, 1, (1500, 2)), rng.normal(6, 1, (1000, 2))]
     df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
-    best = G.gmm_sweep(df, ["a", "b"], [1, 2, 3], 1, 10)
+    best = G.gmm_sweep(df, ["a", "b"], [1, 2, 3], 3, 40)
     one = G.bootstrap_lrt(df, best, len(x), 4, 2, iterations=12).orderBy("k").collect()
     many = G.bootstrap_lrt(df, best, len(x), 4, 2, iterations=12, unit_rows=1024).orderBy("k").collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in many] and one[0]["p"] == 0.2
