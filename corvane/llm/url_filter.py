@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import ascii_lower, col, put_back, set_apart
+from corvane.llm.shared import ascii_lower, col, cut, put_back, set_apart
 
 #: Words of 64 bits in a row of the filter table, and bits set for a key in its one word.
 SEGMENT, PROBES = 4096, 5
@@ -88,7 +88,7 @@ def filter_urls(
     new = ["host", "path", "rule", "verdict"]
     kept = [c for c in (keep if keep is not None else pages.columns) if c.lower() not in new]
     key = listed.columns[0]
-    listed = listed.select(col(key).alias("_listed")).where("_listed is not null").distinct()
+    listed = cut(listed.select(col(key).alias("_listed")).where("_listed is not null").distinct())
     n = listed.count()
     host, path = url_host(col(url_col)), url_path(col(url_col))
     parts = pages.select(*set_apart(kept), host.alias("host"), path.alias("path"))
