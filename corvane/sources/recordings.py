@@ -71,7 +71,7 @@ class Int16Format:
 
 
 def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, name and size of the files under a folder; their contents are not read."""
+    """path, name and size of the files under a folder (Spark leaves out empty ones); their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
