@@ -112,15 +112,17 @@ def pair_crossings(pairs: DataFrame, samples: DataFrame, fs: float, cfg: EdgeCon
     return pairs.join(at, "key", "left").select("key", F.coalesce("onset", r0).alias("base"), F.coalesce("offset", f1).alias("end"))
 
 
-def snapped_edges(estimates: DataFrame, samples: DataFrame, fs: float, cfg: EdgeConfig) -> DataFrame:
+def snapped_edges(estimates: DataFrame, edges: DataFrame, samples: DataFrame, fs: float, cfg: EdgeConfig) -> DataFrame:
     """(key, side, at): for each estimate (key, side, estimate, t_lo, t_hi) the boundary of the nearest edge of the
     side's direction (base: begin of a rise, end: end of a fall) within reach; edges are told from the
-    samples of its surroundings."""
-    ranges = P.around(estimates, cfg.context_s, F.col("t_lo"), F.col("t_hi")).select("key", F.col("side").alias("point"), "lo", "hi")
+    samples of its surroundings, or are the window's own (edges) where these are the whole window."""
+    whole = (F.col("estimate") - cfg.context_s <= F.col("t_lo")) & (F.col("estimate") + cfg.context_s >= F.col("t_hi"))
+    own = edges.join(estimates.where(whole).select("key", "side"), "key").select("key", "side", "direction", "t_start", "t_end")
+    ranges = P.around(estimates.where(~whole), cfg.context_s, F.col("t_lo"), F.col("t_hi")).select("key", F.col("side").alias("point"), "lo", "hi")
     near = P.in_ranges(samples, ranges, 2 * cfg.context_s)
     first = F.min("i").over(Window.partitionBy("key", "point"))  # of bounded surroundings
     local = near.select(F.struct("key", "point").alias("key"), (F.col("i") - first).alias("i"), "t", "v")
-    found = window_edges(local, fs, cfg).select("key.key", F.col("key.point").alias("side"), "direction", "t_start", "t_end")
+    found = window_edges(local, fs, cfg).select("key.key", F.col("key.point").alias("side"), "direction", "t_start", "t_end").unionByName(own)
     bound = F.when(F.col("side") == "base", F.col("t_start")).otherwise(F.col("t_end"))
     right = F.when(F.col("side") == "base", F.col("direction") > 0).otherwise(F.col("direction") < 0)
     off = F.abs(F.col("at") - F.col("estimate"))
@@ -143,9 +145,9 @@ def optical_landmarks(samples: DataFrame, fs: float, cfg: EdgeConfig, estimates:
     edges = stored(window_edges(samples, fs, cfg))
     pairs = stored(best_pairs(edges, samples, cfg))
     crossed = pair_crossings(pairs, samples, fs, cfg)
-    alone = guess.join(pairs.select("key"), "key", "left_anti")
+    alone = stored(guess.join(pairs.select("key"), "key", "left_anti"))
     sides = alone.select("key", "t_lo", "t_hi", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}0").alias("estimate")) for s in ("base", "end")])).alias("s")).select("key", "t_lo", "t_hi", "s.*")
-    snaps = snapped_edges(sides, samples, fs, cfg).groupBy("key").agg(*[F.max(F.when(F.col("side") == s, F.col("at"))).alias(f"{s}_snap") for s in ("base", "end")])
+    snaps = snapped_edges(sides, edges, samples, fs, cfg).groupBy("key").agg(*[F.max(F.when(F.col("side") == s, F.col("at"))).alias(f"{s}_snap") for s in ("base", "end")])
     known = guess.join(crossed.withColumn("paired", F.lit(True)), "key", "left").join(snaps, "key", "left")
     base, end = F.coalesce("base", "base_snap", "base0"), F.coalesce("end", "end_snap", "end0")
     plateau = F.greatest("plateau0", base)
