@@ -33,6 +33,8 @@ LATER_CAPITALS = [
 ]
 _LATER = "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER)
 _LOWER = {c: chr(low + c - a) for a, b, low in LATER_CAPITALS for c in range(a, b + 1)}
+#: All of these lie above; a single range is searched much faster than many.
+_HIGH = re.compile("[\u0558-\U0010ffff]")
 _ODD = re.compile(f"[{_LATER}{''.join(map(chr, _LOWER))}]")
 _WORD_OF_ODD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|[\p{{N}}--[{_LATER}]]|[^\s[[\p{{L}}\p{{N}}]--[{_LATER}]]]+")
 _SPACE = regex.compile(r"\s+")
@@ -58,6 +60,6 @@ def words(chunk: str) -> list[str]:
             return _ASCII_WORD.findall(chunk.lower())
         return _WORD.findall(chunk.lower())
     folded = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-    if _ODD.search(folded):
+    if _HIGH.search(folded) and _ODD.search(folded):
         return _WORD_OF_ODD.findall(folded.translate(_LOWER))
     return _WORD.findall(folded)
