@@ -176,11 +176,11 @@ tr AS (SELECT key, 0 AS "row", i, v FROM k UNION ALL SELECT k.key, 1, k.i, (sum(
 UNION ALL SELECT k.key, 2, k.i, (sum(v) OVER (PARTITION BY k.key ORDER BY k.i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(2 - k.i, 0) * a + greatest(k.i + 2 - top, 0) * b) / 5 FROM k JOIN e ON e.key = k.key JOIN v0 ON v0.key = k.key),
 g AS (SELECT key, point, least(point * (last / 15) / 2, top) AS x FROM e, (SELECT unnest(range(0, 16)) AS point)), r AS (SELECT g.key, a."row", point, a.v + (x - floor(x)) * (coalesce(b.v, a.v) - a.v) AS x FROM g JOIN tr a ON a.key = g.key AND a.i = floor(x) LEFT JOIN tr b ON b.key = a.key AND b."row" = a."row" AND b.i = a.i + 1 UNION ALL SELECT key, 3, point, point / 15 FROM g),
 m AS (SELECT key, "row", median(x) AS med FROM r GROUP BY 1, 2), d AS (SELECT r.*, x - med AS d FROM r JOIN m ON m.key = r.key AND m."row" = r."row"), s AS (SELECT key, "row", median(abs(d)) AS mad FROM d GROUP BY 1, 2)
-SELECT d.key, CAST(d."row" AS INTEGER) AS "row", CAST(point AS INTEGER) AS point, round(d / (1e-9 + mad), 4) AS value FROM d JOIN s ON s.key = d.key AND s."row" = d."row" """)
+SELECT d.key, CAST(d."row" AS INTEGER) AS "row", CAST(point AS INTEGER) AS point, round(d / (1e-9 + mad), 4) + 0.0 AS value FROM d JOIN s ON s.key = d.key AND s."row" = d."row" """)
 def window_features(spark, sf_dir):
     """The model's input on 16 points, at 50 samples a second."""
     w = _windows(spark, sf_dir).select(F.col("event").alias("key"), "i", F.col("optical").alias("v"))
-    return L.window_features(w, **SMALL).withColumn("value", F.round("value", 4))
+    return L.window_features(w, **SMALL).withColumn("value", F.round("value", 4) + 0.0)  # no -0.0
 
 
 @query()
