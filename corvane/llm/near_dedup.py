@@ -1,12 +1,15 @@
 """Near-duplicate detection by MinHash with tensored banding.
 
 Two small collections of bands are computed, and the key of table (i, j) joins band i of the
-first with band j of the second: m * m tables from 2 * m bands. A text enters a table only if it
-shares both bands with some text. Texts with equal shingle sets count as one.
+first with band j of the second: m * m tables from 2 * m bands. Only buckets that need it are so
+divided: where band i alone brings together no more texts than a few blocks hold, they are one bucket,
+and a text has m rows, not m * m. A text enters a table only if it shares the bands with some text.
+Texts with equal shingle sets count as one.
 
 Links are found in rounds whose work follows the number of bucket rows. First each text is
 confirmed with one centre of its buckets; then with the most alike text of another component, as
-told by a sketch (a byte of each minhash and two of each band's hash). What is left are buckets with several components. Their pairs of different components go through the sketch in blocks of bounded size
+told by a sketch (a byte of each minhash and two of each band's hash). What is left are buckets with
+several components. Their pairs of different components go through the sketch in blocks of bounded size
 (pairs within the largest component of a bucket are never formed), and texts with a likely partner
 are compared on their full shingle sets in the same blocks, which give out only links that connect.
 A pair that shares several buckets is handled in the first of them only; which that is, the sketch tells
@@ -33,6 +36,8 @@ PARTNER_ROUNDS, PARTNER_PERCENT = 1, 70
 LABEL_ROWS = 200_000
 #: Texts and shingles of one side of a block, rows and shingles of a task's table, pairs looked at together.
 BLOCK_ROWS, BLOCK_SHINGLES, TABLE_ROWS, TABLE_SHINGLES, PAIRS = 1024, 1_000_000, 20_000, 2_000_000, 100_000
+#: Texts up to which the bucket of one band is not divided by the second collection's bands.
+WHOLE_ROWS = 4 * BLOCK_ROWS
 #: Standard deviations that a linked pair's sketch may lie below its similarity.
 DEVIATIONS = 4.6
 _seeds = np.random.default_rng(77).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64)
@@ -116,16 +121,29 @@ def _shared(nodes: DataFrame, band: str) -> DataFrame:
     return rows.join(again, "h").groupBy("node").agg(F.collect_set("i").alias(f"at_{band}"))
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """key, its least cell, c (its nodes) and two marks of who they are, of buckets with at least two."""
+    marks = [F.bit_xor(F.xxhash64("node")).alias("mix"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mix2")]
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cell").alias("cell"), *marks).where("c > 1")
+
+
 def buckets(nodes: DataFrame, at_a: DataFrame) -> DataFrame:
-    """(key, cell, node): members of all tables' buckets with at least two nodes."""
-    both = cut(nodes.join(at_a, "node").join(_shared(nodes, "b"), "node").select("node", "a", "b", "at_a", "at_b"))
-    left = both.select("node", "a", "b", "at_b", F.explode("at_a").alias("i"))
-    cells = left.select("node", "a", "b", "i", F.explode("at_b").alias("j"))
-    cell = F.col("i") * BANDS + F.col("j")
-    rows = cells.select(F.xxhash64(cell, F.get("a", F.col("i")), F.get("b", F.col("j"))).alias("key"), cell.alias("cell"), "node")
+    """(key, cell, node, c): members of all buckets with at least two nodes, and how many those are.
+
+    The cell of a whole bucket of band i is i * (BANDS + 1) + BANDS; if it is divided, + j instead, for band j
+    of the second collection.
+    """
+    places = nodes.join(at_a, "node").select("node", "a", F.explode("at_a").alias("i"))
+    rows = cut(places.select(F.xxhash64("i", F.get("a", F.col("i"))).alias("key"), (F.col("i") * (BANDS + 1) + BANDS).alias("cell"), "node"))
+    full = cut(_members(rows))
+    large = cut(full.where(F.col("c") > WHOLE_ROWS).select("key"))
+    if not large.isEmpty():
+        divided = rows.join(F.broadcast(large), "key").join(nodes.select("node", "b"), "node").select("key", "cell", "node", F.posexplode("b").alias("j", "h"))
+        cells = cut(divided.select(F.xxhash64("key", "j", "h").alias("key"), (F.col("cell") - BANDS + F.col("j")).alias("cell"), "node"))
+        rows = rows.join(F.broadcast(large), "key", "left_anti").unionByName(cells)
+        full = full.where(F.col("c") <= WHOLE_ROWS).unionByName(_members(cells))
     # Tables often have the same bucket again: of buckets with the same members the first is enough.
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cell").alias("cell"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mix2")).where("c > 1")
-    once = full.groupBy("c", "mix", "mix2").agg(F.min(F.struct("cell", "key")).alias("one")).select("one.key")
+    once = full.groupBy("c", "mix", "mix2").agg(F.min(F.struct("cell", "key")).alias("one")).select("one.key", "c")
     return cut(rows.join(once, "key"))
 
 
@@ -178,8 +196,8 @@ def _confirmed(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
 
 
 def _centre_pairs(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """(x, y): each node and one centre of its buckets, the one in most buckets."""
-    degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    """(x, y): each node and one centre of its buckets, the one with most others in its own."""
+    degree = members.groupBy("node").agg(F.sum("c").alias("degree"))
     known = members.select("key", "node").join(degree.join(info, "node"), "node")
     known = cut(known)
     centre = known.groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("c"))
@@ -196,7 +214,7 @@ def _blocks(members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame
     A small bucket is one block (p = q = 0). Of a larger one, the largest label's rows are the second
     side of blocks only; all other rows are paired with them and with each other.
     """
-    rows = members.join(labels, "node").join(info, "node")
+    rows = members.drop("c").join(labels, "node").join(info, "node")
     by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     whole = by_label.groupBy("key").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("labels > 1")
     parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_ROWS, s / BLOCK_SHINGLES))
@@ -237,6 +255,7 @@ def _likely(x: dict[str, np.ndarray], sketch: np.ndarray, stop: np.ndarray, perc
     """Chunks of (left, right, matches): pairs of a block that have their first bucket in common here and may be linked."""
     counts = stop - np.arange(len(stop)) - 1
     ends = np.concatenate([[0], np.cumsum(counts)])
+    lows = np.ascontiguousarray(sketch[:, :HASHES])
     begin = 0
     while begin < len(stop):
         until = max(begin + 1, int(np.searchsorted(ends, ends[begin] + PAIRS, "right")) - 1)
@@ -250,14 +269,16 @@ def _likely(x: dict[str, np.ndarray], sketch: np.ndarray, stop: np.ndarray, perc
         left, right = left[ok], right[ok]
         for k in range(0, len(left), PAIRS):
             a, b = left[k : k + PAIRS], right[k : k + PAIRS]
-            same = sketch[a] == sketch[b]
-            total = np.count_nonzero(same[:, :HASHES], axis=1)
+            total = np.count_nonzero(lows[a] == lows[b], axis=1)
             hit = total >= matches
+            a, b, total = a[hit], b[hit], total[hit]
+            same = sketch[a] == sketch[b]
             # Three bytes can agree by chance where a band's minhashes differ: its hash tells.
-            bytes_of, marks = same[hit, :HASHES].reshape(-1, 2, BANDS, ROWS).all(axis=3), same[hit, HASHES:].reshape(-1, 2, BANDS, 2).all(axis=3)
+            bytes_of, marks = same[:, :HASHES].reshape(-1, 2, BANDS, ROWS).all(axis=3), same[:, HASHES:].reshape(-1, 2, BANDS, 2).all(axis=3)
             bands = (bytes_of & marks).argmax(axis=2)
-            hit[hit] = bands[:, 0] * BANDS + bands[:, 1] == x["cell"][a[hit]]
-            yield a[hit], b[hit], total[hit]
+            first, second = np.divmod(x["cell"][a], BANDS + 1)
+            here = (bands[:, 0] == first) & ((second == BANDS) | (bands[:, 1] == second))
+            yield a[here], b[here], total[here]
 
 
 def _partners(table: pa.Table, percent: int) -> pa.Table:

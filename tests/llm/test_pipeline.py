@@ -21,6 +21,60 @@ def test_near_dedup_keeps_bridges(spark):
     assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 5 * 5] == []
 
 
+def near_copies(n, words, changed, seed):
+    """Copies of one text, of which every one has up to this many words changed."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        w = [f"w{k}" for k in range(words)]
+        for k in rng.sample(range(words), rng.randint(0, changed)):
+            w[k] = f"c{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def components_of(rows):
+    """The lowest id of each text's component, from all pairs."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    least = list(range(len(rows)))
+
+    def find(a):
+        while least[a] != a:
+            a = least[a]
+        return a
+
+    for a, one in enumerate(sets):
+        for b in range(a):
+            common = len(one & sets[b])
+            if 100 * common >= 75 * (len(one) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                least[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(rows))}
+
+
+def test_near_dedup_of_a_large_group_has_a_row_for_each_band(spark, monkeypatch):
+    """Buckets and blocks of a group of near copies have few rows for each text, not one for each of 400 tables."""
+    made, groups = [], near_copies(500, 140, 14, 3)
+    blocks, buckets = near_dedup._blocks, near_dedup.buckets
+    monkeypatch.setattr(near_dedup, "_blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    monkeypatch.setattr(near_dedup, "buckets", lambda *a: made.append(buckets(*a)) or made[-1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(groups, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components_of(groups)
+    counts = [df.count() for df in made]
+    assert len(counts) == 3 and 1000 < counts[0] and max(counts) <= near_dedup.BANDS * len(groups)
+
+
+def test_near_dedup_with_divided_buckets(spark, monkeypatch):
+    """Whole buckets, buckets that the second bands divide, and blocks of them give what all pairs give."""
+    rows = near_copies(240, 140, 14, 4)
+    rows += [(240 + i, t.replace("w", "v")) for i, t in near_copies(160, 90, 5, 5)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), components_of(rows)
+    for whole, block in ((60, 25), (4096, 25)):
+        monkeypatch.setattr(near_dedup, "WHOLE_ROWS", whole)
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+        got = near_dedup.near_duplicates(docs).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want, (whole, block)
+
+
 def odd_rows():
     rng = random.Random(8)
     prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
