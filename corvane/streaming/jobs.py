@@ -18,9 +18,10 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table's files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A Parquet table's files as a stream; the table is a file, or a folder of files under any names."""
+    path = f"{sf_dir}/{name}.parquet"
+    # As a pattern, for a stream takes a path without one to be a folder.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
 
 
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:

@@ -11,6 +11,7 @@ from corvane.operators import catalog as K
 from corvane.operators import history as H
 from corvane.operators import matching as J
 from corvane.sources import files, recordings
+from corvane.streaming import jobs
 
 
 def small_reads(most):
@@ -141,3 +142,13 @@ def test_exclusion_log_and_experiments(spark):
     assert tuple(H.exclusion_log(df.limit(0), [1], before.limit(0), ["f", "r"]).first()) == ([1], 0, 0, 0)
     plan = spark.createDataFrame([("e", " ", True, False, False), ("e", None, False, True, True), ("e", "DC", True, False, False)], "experiment string, condition string, selected boolean, exists boolean, differs boolean")
     assert tuple(J.plan_by_experiment(plan).first()) == ("e", 3, 2, 1, 1, {"DC": 1, "other": 2})
+
+
+def test_streams_of_tables_in_one_file_or_in_many(spark, tmp_path):
+    rows = spark.range(60).withColumn("text", F.col("id").cast("string"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    for name in ("one", "many"):
+        got = jobs.run_available(jobs.file_stream(spark, str(tmp_path), name)).collect()
+        assert sorted(map(tuple, got)) == [(i, str(i)) for i in range(60)]
