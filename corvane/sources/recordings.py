@@ -1,7 +1,7 @@
 """Recordings in byte ranges: written, read and digested without a file ever being a row.
 
 Spark lists the files; tasks open them by their URI and read the ranges that their rows name. A format
-says where the samples of a range lie; the one here is a header and gap-free int16 samples.
+says where the samples of a range lie; the one here is a header and gap-free samples of one width.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def open_uri(uri: str, mode: str = "rb"):
 
 @dataclass
 class Header:
-    """n samples of each channel, over all sweeps; fs a second; sweeps of equal length, the last takes the rest."""
+    """n samples of each channel, over all sweeps; fs a second; sweeps of equal length, the last takes the rest;
+    width: bytes of a sample."""
 
     n: int
     channels: int
@@ -41,33 +42,43 @@ class Header:
     sweeps: int
     scales: list[float]
     offsets: list[float]
+    width: int = 2
 
     def sweep_length(self) -> int:
         return max(1, self.n // max(1, self.sweeps))
 
 
 class Int16Format:
-    """Header of float64 numbers (n, channels, fs, scales, offsets, sweeps), then interleaved samples, sweep after sweep."""
+    """Header of float64 numbers (n, channels, fs, scales, offsets, sweeps, width), then interleaved samples, sweep after sweep.
+
+    Samples are counted in steps of their scale from their offset: as int16 (width 2, or none in the header), or
+    as float64 (width 8) in recordings with a value that int16 does not hold, or a missing one (NaN).
+    """
+
+    TYPES = {2: "<i2", 8: "<f8"}
 
     def header(self, file) -> Header:
         head = np.frombuffer(file.read_at(HEADER, 0), np.float64)
         c = int(head[1])
-        return Header(int(head[0]), c, float(head[2]), max(1, int(head[3 + 2 * c])), head[3 : 3 + c].tolist(), head[3 + c : 3 + 2 * c].tolist())
+        return Header(int(head[0]), c, float(head[2]), max(1, int(head[3 + 2 * c])), head[3 : 3 + c].tolist(), head[3 + c : 3 + 2 * c].tolist(), int(head[4 + 2 * c]) or 2)
 
     def samples(self, file, h: Header, start: int, stop: int) -> np.ndarray:
         """(stop - start, channels) samples in their units, of the sweeps joined end to end."""
-        width = 2 * h.channels
-        raw = np.frombuffer(file.read_at((stop - start) * width, HEADER + start * width), "<i2").reshape(-1, h.channels)
+        width = h.width * h.channels
+        raw = np.frombuffer(file.read_at((stop - start) * width, HEADER + start * width), self.TYPES[h.width]).reshape(-1, h.channels)
         return raw * np.asarray(h.scales) + np.asarray(h.offsets)
 
     def packed_header(self, h: Header) -> bytes:
         head = np.zeros(HEADER // 8)
-        values = [h.n, h.channels, h.fs, *h.scales, *h.offsets, h.sweeps]
+        values = [h.n, h.channels, h.fs, *h.scales, *h.offsets, h.sweeps, h.width]
         head[: len(values)] = values
         return head.tobytes()
 
     def packed(self, h: Header, samples: np.ndarray) -> bytes:
-        return np.round((samples - np.asarray(h.offsets)) / np.asarray(h.scales)).astype("<i2").tobytes()
+        steps = np.round((samples - np.asarray(h.offsets)) / np.asarray(h.scales))
+        if h.width == 2 and not ((steps >= -32768) & (steps <= 32767)).all():
+            raise ValueError("a sample is missing or beyond int16: give the header a width of 8")
+        return steps.astype(self.TYPES[h.width]).tobytes()
 
 
 def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -93,7 +104,7 @@ def file_digests(spark: SparkSession, root: str, pattern: str = "*", opener: Cal
     return listed(spark, root, pattern).repartition("path").mapInPandas(run, "name string, size long, sha256 string")
 
 
-HEADERS = "file string, n long, channels int, fs double, sweeps int, duration double, scales array<double>, offsets array<double>"
+HEADERS = "file string, n long, channels int, fs double, sweeps int, duration double, scales array<double>, offsets array<double>, width int"
 
 
 def recording_headers(spark: SparkSession, root: str, pattern: str = "*.rec", layout=None, opener: Callable = open_uri) -> DataFrame:
@@ -106,7 +117,7 @@ def recording_headers(spark: SparkSession, root: str, pattern: str = "*.rec", la
             for path in batch["path"]:
                 with opener(path) as file:
                     h = layout.header(file)
-                rows.append((path, h.n, h.channels, h.fs, h.sweeps, h.n / h.fs, h.scales, h.offsets))
+                rows.append((path, h.n, h.channels, h.fs, h.sweeps, h.n / h.fs, h.scales, h.offsets, h.width))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADERS.split(", ")])
 
     return listed(spark, root, pattern).repartition("path").mapInPandas(run, HEADERS)
@@ -129,7 +140,7 @@ def decode_recordings(spark: SparkSession, root: str, pattern: str = "*.rec", ch
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                h = Header(int(r.n), int(r.channels), r.fs, int(r.sweeps), list(r.scales), list(r.offsets))
+                h = Header(int(r.n), int(r.channels), r.fs, int(r.sweeps), list(r.scales), list(r.offsets), int(r.width))
                 i0 = int(r.chunk_idx) * chunk
                 with opener(r.file) as file:
                     values = layout.samples(file, h, i0, min(h.n, i0 + chunk)).astype(np.float32)
@@ -151,15 +162,18 @@ def write_recordings(samples: DataFrame, root: str, fs: float, scale: float, off
     """Write {root}/{key}.rec of each key's samples (key, i, v), one channel; gives (key, file, n).
 
     Samples pass through sorted, so a file of any length is written as it comes. The folder must be there.
+    A recording has the width that holds all of its values.
     """
     layout = layout or Int16Format()
-    sized = join_groups(samples.select("key", "i", "v"), samples.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"])
+    holds = F.coalesce(F.rint((F.col("v") - offset) / scale).between(-32768, 32767), F.lit(False))
+    sizes = samples.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.when(F.min(holds), 2).otherwise(8).alias("width"))
+    sized = join_groups(samples.select("key", "i", "v"), sizes, ["key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, out, done = None, None, []
         for batch in batches:
             for k, part in batch.groupby("key", sort=False):
-                h = Header(int(part["n"].iloc[0]), 1, fs, sweeps, [scale], [offset])
+                h = Header(int(part["n"].iloc[0]), 1, fs, sweeps, [scale], [offset], int(part["width"].iloc[0]))
                 if k != key:
                     if out:
                         out.close()

@@ -59,6 +59,17 @@ def test_recordings_of_several_sweeps_and_channels(spark, tmp_path):
     assert [(r["s0"], r["s1"]) for r in sweeps] == [(0.0, 0.06), (0.06, 0.12), (0.12, 0.2)]  # the last sweep takes the rest
 
 
+def test_values_beyond_int16_and_missing_ones(spark, tmp_path):
+    values = {1: [0.0, -27.68, 627.67], 2: [0.0, 627.68, -5000.25, 1e7], 3: [1.5, None, 2.25], 4: [-27.69]}
+    rows = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "key long, i long, v double")
+    assert recordings.write_recordings(rows, f"file://{tmp_path}", 10.0, 0.01, 300.0).count() == 4
+    got = recordings.decode_recordings(spark, str(tmp_path), "*.rec", 2).orderBy("file", "i0").collect()
+    for k, vs in values.items():
+        found = np.concatenate([r["values"] for r in got if r["file"].endswith(f"/{k}.rec")])
+        assert np.allclose(found, np.array(vs, float), atol=1e-4, rtol=1e-7, equal_nan=True)
+    assert [os.path.getsize(tmp_path / f"{k}.rec") - recordings.HEADER for k in values] == [6, 32, 24, 8]
+
+
 def test_digests_block_by_block(spark, tmp_path, monkeypatch):
     contents = {"x.bin": os.urandom(100_000), "sub/y.bin": b"abc"}
     for name, data in contents.items():
