@@ -1,4 +1,4 @@
-"""Filters of one array and the scoring of one window, in numpy; operators/smoothing.py and windows.py apply them."""
+"""Filters along the last axis and the scoring of one window, in numpy; operators/smoothing.py, windows.py and landmarks.py apply them."""
 
 from __future__ import annotations
 
@@ -47,23 +47,24 @@ def impulse_response(sections: np.ndarray, n: int) -> np.ndarray:
 
 def causal_filter(x: np.ndarray, sections: np.ndarray, fs: float, memory_s: float = 0.25) -> np.ndarray:
     """Filtered from zero state: convolution with the response, cut where it has died away."""
-    if len(x) == 0:
+    n = x.shape[-1]
+    if n == 0:
         return x
     h = impulse_response(sections, max(8, int(memory_s * fs)))
-    size = 1 << (len(x) + len(h) - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[: len(x)]
+    size = 1 << (n + len(h) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[..., :n]
 
 
 def zero_phase_filter(x: np.ndarray, sections: np.ndarray, fs: float) -> np.ndarray:
     """Forward and backward, ends continued by odd reflection; under 8 samples unchanged."""
-    if len(x) < 8:
+    if x.shape[-1] < 8:
         return x
-    n = min(len(x) - 1, max(1, int(0.25 * fs)))
-    ahead, behind = 2 * x[0] - x[n:0:-1], 2 * x[-1] - x[-2 : -n - 2 : -1]
-    wide = np.r_[ahead, x, behind]
-    once = causal_filter(wide - wide[0], sections, fs) + wide[0]
-    back = causal_filter(once[::-1] - once[-1], sections, fs)[::-1] + once[-1]
-    return back[len(ahead) : len(ahead) + len(x)]
+    n = min(x.shape[-1] - 1, max(1, int(0.25 * fs)))
+    ahead, behind = 2 * x[..., :1] - x[..., n:0:-1], 2 * x[..., -1:] - x[..., -2 : -n - 2 : -1]
+    wide = np.concatenate([ahead, x, behind], -1)
+    once = causal_filter(wide - wide[..., :1], sections, fs) + wide[..., :1]
+    back = causal_filter(once[..., ::-1] - once[..., -1:], sections, fs)[..., ::-1] + once[..., -1:]
+    return back[..., n : n + x.shape[-1]]
 
 
 def score_landmarks(features: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:

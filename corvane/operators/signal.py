@@ -79,6 +79,23 @@ def gather_windows(cut: DataFrame) -> DataFrame:
     return rows.select("event", "key", F.col("s.t").alias("t"), F.col("s.v").alias("v"))
 
 
+def cut_arrays(windows: DataFrame, samples: DataFrame, width: float) -> DataFrame:
+    """One row per window (event, key, t0, t1) with its samples as arrays in order (i, t, v); none without samples.
+
+    width: seconds that no window is longer than. Samples are gathered in blocks of it, which each begin in
+    one and end in the next at most: a window finds all of its samples in the block where it begins, and
+    only the samples are dealt, twice, not those of each window.
+    """
+    wide = width * (1 + 1e-9)
+    block = lambda t: F.floor(t / wide).cast("long")
+    dealt = samples.select("key", F.explode(F.array(block(F.col("t")) - 1, block(F.col("t")))).alias("_b"), F.struct("i", "t", "v").alias("_s"))
+    blocks = dealt.groupBy("key", "_b").agg(F.sort_array(F.collect_list("_s")).alias("_s"))  # two blocks of samples
+    fits = F.when(F.col("t1") - F.col("t0") > width, F.raise_error(F.lit("a window is longer than width"))).otherwise(F.lit(True))
+    near = windows.where(fits).withColumn("_b", block(F.col("t0"))).join(blocks, ["key", "_b"])
+    cut = near.select("event", "key", F.filter("_s", lambda s: s["t"].between(F.col("t0"), F.col("t1"))).alias("_s")).where(F.size("_s") > 0)
+    return cut.select("event", "key", *[F.col(f"_s.{c}").alias(c) for c in ("i", "t", "v")])
+
+
 def uniform_lookup(points: DataFrame, samples: DataFrame, fs: float) -> DataFrame:
     """Linear interpolation at t of (key, point, t) on samples at rate fs: two equi-joins by index."""
     at = points.withColumn("_x", F.col("t") * fs).withColumn("_i", F.floor("_x").cast("long"))

@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import dsp
+from corvane.functions import dsp, picks
 from corvane.operators.quantiles import join_groups
-from corvane.operators.searches import smoothed
-from corvane.operators.signal import uniform_lookup
 from corvane.operators.trailing import CHUNK, in_chunks, map_groups
+from corvane.operators.windows import arrays_of, map_columns
 
 #: Seconds that a chunk sees beyond its ends: each pass of a filter remembers a quarter of a second.
 BORDER_S = 0.5
@@ -83,29 +82,46 @@ def regridded(samples: DataFrame, fs: float, target: float, chunk: int = CHUNK)
     return _mapped(samples, 2, chunk, lambda v, start, own, total: _read_at(v, start, own, total, k, int(total / k))), target
 
 
-def window_features(samples: DataFrame, fs: float, points: int = 256, smooth_fs: float = 500.0, fast_ms: float = 20.0, slow_ms: float = 80.0) -> DataFrame:
-    """(key, row, point, value): the model's input of each window (key, i, v): the trace at about smooth_fs,
-    its two centred means and the position, on a number of points from the window's first sample to its
-    last, each row less its median over its median deviation.
+def feature_arrays(windows: DataFrame, fs: float, points: int = 256, smooth_fs: float = 500.0, fast_ms: float = 20.0, slow_ms: float = 80.0) -> DataFrame:
+    """windows (v, arrays of samples in order, ...) with features, the model's input of each: the trace at about
+    smooth_fs, its two centred means and the position, on a number of points from the window's first sample
+    to its last, each row less its median over its median deviation, one row after the other.
 
-    Windows are of bounded length; their points are looked up by index and a row's medians taken over its points.
+    Windows are of bounded length; those of one length go through together.
     """
     k = max(1, round(fs / smooth_fs))
-    timed = samples.select("key", "i", (F.col("i") / fs).alias("t"), F.col("v").cast("double").alias("v"))
     widths = [1, *[max(1, round(ms / 1000 * fs / k)) for ms in (fast_ms, slow_ms)]]
-    traces = None
-    for row, width in enumerate(widths):
-        one = smoothed(timed, k, width).select(F.struct("key", F.lit(row).alias("row")).alias("key"), "i", "v")
-        traces = one if traces is None else traces.unionByName(one)
-    ends = samples.groupBy("key").agg(F.max("i").alias("last"))
-    position = F.col("point") / (points - 1)
-    grid = ends.select("key", "last", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    # The thinned trace ends at or before the window's last sample: points beyond take its end.
-    place = F.least(F.col("point") * (F.col("last") / (points - 1)) / k, F.floor(F.col("last") / k).cast("double"))
-    asked = grid.select("key", "point", place.alias("t"), F.explode(F.array(*[F.lit(r) for r in range(3)])).alias("row")).select(F.struct("key", "row").alias("key"), "point", "t")
-    read = uniform_lookup(asked, traces, 1.0).select("key.key", "key.row", "point", F.col("v").alias("x"))
-    rows = read.unionByName(grid.select("key", F.lit(3).alias("row"), "point", position.alias("x")))
-    middle = rows.groupBy("key", "row").agg(F.median("x").alias("med"))  # over a row's points
-    off = rows.join(middle, ["key", "row"]).withColumn("d", F.col("x") - F.col("med"))
-    spread = off.groupBy("key", "row").agg(F.median(F.abs("d")).alias("mad"))
-    return off.join(spread, ["key", "row"]).select("key", "row", "point", (F.col("d") / (1e-9 + F.col("mad"))).alias("value"))
+
+    def made(v: np.ndarray) -> np.ndarray:
+        last = v.shape[-1] - 1
+        # The thinned trace ends at or before the window's last sample: points beyond take its end.
+        place = np.minimum(np.arange(points) * (last / (points - 1)) / k, last // k)
+        i = np.floor(place).astype(int)
+        traces = [picks.centred(v[:, ::k], width) for width in widths]
+        between = [np.where(place == i, x[:, i], x[:, i] + (place - i) * (x[:, np.minimum(i + 1, last // k)] - x[:, i])) for x in traces]
+        rows = np.stack([*between, np.broadcast_to(np.arange(points) / (points - 1), between[0].shape)], 1)
+        middle = np.nanmedian if np.isnan(rows).any() else np.median
+        d = rows - middle(rows, -1, keepdims=True)
+        return (d / (1e-9 + middle(np.abs(d), -1, keepdims=True))).reshape(len(v), -1)
+
+    def helper(table: pa.Table) -> list[list]:
+        windows = arrays_of(table, "v")
+        lengths = np.array([len(v) for v in windows])
+        out: list = [None] * len(windows)
+        for n in np.unique(lengths[lengths > 0]):
+            alike = np.flatnonzero(lengths == n)
+            for at in np.array_split(alike, -(-len(alike) * int(n) // 65_536)):
+                for w, x in zip(at, made(np.stack([windows[w] for w in at])), strict=True):
+                    out[w] = x
+        return [out]
+
+    return map_columns(windows, helper, ["features"], "array<double>")
+
+
+def window_features(samples: DataFrame, fs: float, points: int = 256, smooth_fs: float = 500.0, fast_ms: float = 20.0, slow_ms: float = 80.0) -> DataFrame:
+    """(key, row, point, value): the features of each window, (key, v) as an array or (key, i, v) with a row a sample."""
+    if "i" in samples.columns:
+        rows = samples.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("s"))  # bounded by the longest window
+        samples = rows.select("key", F.col("s.v").alias("v"))
+    found = feature_arrays(samples, fs, points, smooth_fs, fast_ms, slow_ms).select("key", F.posexplode("features").alias("_at", "value"))
+    return found.select("key", F.floor(F.col("_at") / points).cast("int").alias("row"), (F.col("_at") % points).alias("point"), F.when(~F.isnan("value"), F.col("value")).alias("value"))

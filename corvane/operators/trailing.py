@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 CHUNK = 65_536
 #: The factor from median deviations to standard ones, and a frame's least count of values.
 NORMAL, LEAST = 0.6745, 5
+#: Values in all frames of a row up to which these are sorted at once.
+SHORT = 16_384
 
 
 def trailing_frame(n: Column, fs: float, longest_s: float = 8.0, share: float = 0.4, shortest_s: float = 0.5) -> Column:
@@ -51,6 +53,31 @@ def lag_z(v: np.ndarray, lag: int, frame: int, least: int, floor: float) -> tupl
     return d, np.nan_to_num(z, nan=0.0, posinf=0.0, neginf=0.0)
 
 
+def _medians_of_rows(v: np.ndarray, frame: int, least: int) -> np.ndarray:
+    """Rolling medians along the rows of v, of short rows at once."""
+    if v.shape[-1] * frame > SHORT:
+        return np.stack([pd.Series(row).rolling(frame, min_periods=least).median().to_numpy() for row in v])
+    ahead = np.full((len(v), frame - 1), np.nan)
+    frames = np.sort(np.lib.stride_tricks.sliding_window_view(np.concatenate([ahead, v], -1), frame, -1), -1)  # NaN last
+    n = frame - np.isnan(frames).sum(-1)
+    at = lambda k: np.take_along_axis(frames, np.maximum(k, 0)[..., None], -1)[..., 0]
+    return np.where(n >= least, (at((n - 1) // 2) + at(n // 2)) / 2, np.nan)
+
+
+def lag_z_of_rows(v: np.ndarray, lag: int, frame: int, least: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """lag_z of each row of v: many signals of one length."""
+    d = np.full(v.shape, np.nan)
+    if lag < v.shape[-1]:
+        d[:, lag:] = v[:, lag:] - v[:, : v.shape[-1] - lag]
+    least = min(least, frame)
+    own = _medians_of_rows(d, frame, least)
+    mad = _medians_of_rows(np.abs(d - own), frame, least)
+    before, spread = (np.concatenate([np.full((len(v), 1), np.nan), x[:, :-1]], -1) for x in (own, mad))
+    with np.errstate(all="ignore"):
+        z = NORMAL * (d - before) / np.where(np.isnan(spread), np.nan, np.maximum(spread, floor))
+    return d, np.nan_to_num(z, nan=0.0, posinf=0.0, neginf=0.0)
+
+
 def in_chunks(samples: DataFrame, reach: Column, chunk: int, ahead: Column | None = None) -> DataFrame:
     """samples (key, i, ...) with _chunk and _own: each in its chunk, and again in those that reach back (or ahead) to it."""
     last = F.floor((F.col("i") + reach) / chunk)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,32 @@ def map_windows(windows: DataFrame, helper: Callable[[np.ndarray], np.ndarray],
     return windows.mapInPandas(run, schema)
 
 
+#: Windows that go to a helper together.
+WINDOWS = 1024
+
+
+def arrays_of(table: pa.Table, column: str) -> list[np.ndarray]:
+    """The arrays of numbers of a column, missing ones as NaN."""
+    lists = table.column(column).combine_chunks()
+    values, at = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def map_columns(windows: DataFrame, helper: Callable[[pa.Table], list], names: list[str], kind: str = "double") -> DataFrame:
+    """Add columns: helper(table of some windows) gives the values of each; rows stay where they are."""
+    schema = windows.select("*", *[F.lit(None).cast(kind).alias(c) for c in names]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, WINDOWS):
+                table = pa.Table.from_batches([batch.slice(start, WINDOWS)])
+                for name, made in zip(names, helper(table), strict=True):
+                    table = table.append_column(name, pa.array(made, pa.list_(pa.float64()) if kind.startswith("array") else pa.float64()))
+                yield from table.combine_chunks().to_batches()
+
+    return windows.mapInArrow(run, schema)
+
+
 def causal_chunks(chunks: DataFrame, order: int = 8, cutoff: float = 100.0, halo_s: float = 0.25) -> DataFrame:
     """Causal low-pass of signal chunks (file, channel, chunk_idx, i0, fs, values).
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.functions import dsp
 from corvane.operators import mixture as G
@@ -129,13 +128,12 @@ def stream_edges(spark, sf_dir):
 
 
 def _windows(spark, sf_dir):
-    """Event windows of up to 65 samples around purchases, 100 a second, in three channels."""
+    """Event windows of up to 65 samples around purchases, 100 a second, as arrays of three channels."""
     s = B.sig(spark, sf_dir)
     w = s.where("kind = 'purchase'").select("event", "key", (F.col("i") - 32.0).alias("t0"), (F.col("i") + 32.0).alias("t1"))
-    cut = S.cut_windows(w, s.select("key", "i", F.col("i").cast("double").alias("t"), "v"), 65.0)
-    at = (F.col("i") - F.min("i").over(Window.partitionBy("event"))).cast("long")  # 65 rows an event at most
-    v = F.col("v")
-    return cut.select("event", at.alias("i"), (F.col("i") / 100.0).alias("t"), v.alias("optical"), (0.4 * v + F.col("i") % 3).alias("reference"), ((v * 7) % 31).alias("electrical"))
+    cut = S.cut_arrays(w, s.select("key", "i", F.col("i").cast("double").alias("t"), "v"), 65.0)
+    reference, electrical = F.zip_with("v", "i", lambda v, i: 0.4 * v + i % 3), F.transform("v", lambda v: (v * 7) % 31)
+    return cut.select("event", F.transform("i", lambda i: i / 100.0).alias("t"), F.col("v").alias("optical"), reference.alias("reference"), electrical.alias("electrical"))
 
 
 @query()
@@ -179,7 +177,7 @@ m AS (SELECT key, "row", median(x) AS med FROM r GROUP BY 1, 2), d AS (SELECT r.
 SELECT d.key, CAST(d."row" AS INTEGER) AS "row", CAST(point AS INTEGER) AS point, round(d / (1e-9 + mad), 4) + 0.0 AS value FROM d JOIN s ON s.key = d.key AND s."row" = d."row" """)
 def window_features(spark, sf_dir):
     """The model's input on 16 points, at 50 samples a second."""
-    w = _windows(spark, sf_dir).select(F.col("event").alias("key"), "i", F.col("optical").alias("v"))
+    w = _windows(spark, sf_dir).select(F.col("event").alias("key"), F.col("optical").alias("v"))
     return L.window_features(w, **SMALL).withColumn("value", F.round("value", 4) + 0.0)  # no -0.0
 
 
@@ -189,8 +187,8 @@ def score_windows(spark, sf_dir):
     rng = np.random.default_rng(3)
     weights = {f"conv{i}_w": rng.normal(0, 0.3, (6, 4 if i == 0 else 6, 5)) for i in range(4)} | {f"conv{i}_b": np.zeros(6) for i in range(4)}
     weights |= {"dense0_w": rng.normal(0, 0.3, (8, 6)), "dense0_b": np.zeros(8), "dense1_w": rng.normal(0, 0.3, (3, 8)), "dense1_b": np.zeros(3)}
-    rows = L.window_features(_windows(spark, sf_dir).select(F.col("event").alias("key"), "i", F.col("optical").alias("v")), **SMALL)
-    inputs = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("row", "point", "value"))).alias("x")).select("key", F.col("x.value").alias("features"))  # 64 an event
+    w = _windows(spark, sf_dir).select(F.col("event").alias("key"), F.col("optical").alias("v"))
+    inputs = L.feature_arrays(w, **SMALL).select("key", "features")  # 64 an event
     return W.map_windows(inputs, lambda x: dsp.score_landmarks(x.reshape(4, -1), weights), "features", "fractions").drop("features")
 
 
