@@ -45,6 +45,15 @@ def test_filters_of_many_rows_equal_those_of_one():
         assert np.allclose(many, [dsp.zero_phase_filter(x, dsp.bessel_sections(8, 25, 100.0), 100.0) for x in v[:, :n]], atol=1e-12)
 
 
+def test_scores_of_many_windows_equal_those_of_one():
+    rng = np.random.default_rng(5)
+    weights = {f"conv{i}_w": rng.normal(0, 0.3, (6, 4 if i == 0 else 6, 5)) for i in range(4)} | {f"conv{i}_b": rng.normal(size=6) for i in range(4)}
+    weights |= {"dense0_w": rng.normal(0, 0.3, (8, 6)), "dense0_b": rng.normal(size=8), "dense1_w": rng.normal(0, 0.3, (3, 8)), "dense1_b": rng.normal(size=3)}
+    x = rng.normal(size=(4, 4, 16))
+    many = dsp.score_landmarks(x, weights)
+    assert many.shape == (4, 3) and np.allclose(many, [dsp.score_landmarks(w, weights) for w in x], atol=1e-12)
+
+
 @pytest.mark.parametrize("fs", [100.0, 4000.0])
 def test_edges_of_arrays_equal_those_of_the_joined_form(spark, fs):
     rng = np.random.default_rng(2)
@@ -75,7 +84,7 @@ def test_searches_in_arrays_equal_the_joined_ones(spark):
         assert picks.settled(t, v, lo, hi, 0.5, 2.5, 3, p % 2 == 0) == back[k, p]
 
 
-@pytest.mark.parametrize("name", ["detect_landmarks"])
+@pytest.mark.parametrize("name", ["detect_landmarks", "electrical_landmarks"])
 def test_windows_are_neither_stored_nor_shuffled_again(spark, name):
     """Samples are dealt to recordings and blocks, and windows to blocks; nothing follows with a row a sample."""
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
