@@ -68,15 +68,15 @@ def zero_phase_filter(x: np.ndarray, sections: np.ndarray, fs: float) -> np.ndar
 
 
 def score_landmarks(features: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Three ordered fractions of the window from a small convolutional network's weights."""
+    """Three ordered fractions of each window (..., rows, points) from a small convolutional network's weights."""
     x = features.astype(np.float64)
     for i in range(4):
         w, b = weights[f"conv{i}_w"], weights[f"conv{i}_b"]
         k = w.shape[2] // 2
-        padded = np.pad(x, ((0, 0), (k, k)))
-        x = np.stack([sum(np.convolve(padded[c], w[o, c, ::-1], "valid") for c in range(w.shape[1])) + b[o] for o in range(w.shape[0])])
-        x = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-5)
+        frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, [(0, 0)] * (x.ndim - 1) + [(k, k)]), w.shape[2], -1)
+        x = np.moveaxis(np.tensordot(frames, w, axes=([-3, -1], [1, 2])), -1, -2) + b[:, None]
+        x = (x - x.mean(-1, keepdims=True)) / (x.std(-1, keepdims=True) + 1e-5)
         x = x / (1 + np.exp(-x))
-    h = weights["dense0_w"] @ x.mean(1) + weights["dense0_b"]
+    h = x.mean(-1) @ weights["dense0_w"].T + weights["dense0_b"]
     h = h / (1 + np.exp(-h))
-    return np.sort(1 / (1 + np.exp(-(weights["dense1_w"] @ h + weights["dense1_b"]))))
+    return np.sort(1 / (1 + np.exp(-(h @ weights["dense1_w"].T + weights["dense1_b"]))), -1)

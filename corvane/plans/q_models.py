@@ -189,7 +189,8 @@ def score_windows(spark, sf_dir):
     weights |= {"dense0_w": rng.normal(0, 0.3, (8, 6)), "dense0_b": np.zeros(8), "dense1_w": rng.normal(0, 0.3, (3, 8)), "dense1_b": np.zeros(3)}
     w = _windows(spark, sf_dir).select(F.col("event").alias("key"), F.col("optical").alias("v"))
     inputs = L.feature_arrays(w, **SMALL).select("key", "features")  # 64 an event
-    return W.map_windows(inputs, lambda x: dsp.score_landmarks(x.reshape(4, -1), weights), "features", "fractions").drop("features")
+    score = lambda table: [list(dsp.score_landmarks(np.stack(W.arrays_of(table, "features")).reshape(-1, 4, SMALL["points"]), weights))]
+    return W.map_columns(inputs, score, ["fractions"], "array<double>").drop("features")
 
 
 @query()
