@@ -84,7 +84,7 @@ def test_searches_in_arrays_equal_the_joined_ones(spark):
         assert picks.settled(t, v, lo, hi, 0.5, 2.5, 3, p % 2 == 0) == back[k, p]
 
 
-@pytest.mark.parametrize("name", ["detect_landmarks", "electrical_landmarks", "window_features", "score_windows"])
+@pytest.mark.parametrize("name", ["detect_landmarks", "electrical_landmarks", "window_features", "score_windows", "event_measures"])
 def test_windows_are_neither_stored_nor_shuffled_again(spark, name):
     """Samples are dealt to recordings and blocks, and windows to blocks; nothing follows with a row a sample."""
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
